@@ -255,7 +255,7 @@ def label_centres(spark: SparkSession, folder: str) -> np.ndarray:
     """Mean vector of each label; the number of labels is checked before they are fetched."""
     rows = table(spark, folder, "embeddings").select("label", F.posexplode("embedding").alias("dim", "value"))
     means = rows.groupBy("label", "dim").agg(F.avg(F.col("value").cast("double")).alias("mean"))
-    centres = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("dim", "mean")))["mean"].alias("vec"))
+    centres = means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("dim", "mean")))["mean"].alias("vec"))
     found = centres.limit(MAX_CENTRES + 1).collect()
     if len(found) > MAX_CENTRES:
         raise ValueError(f"more than {MAX_CENTRES} labels")

@@ -111,7 +111,7 @@ def term_counts(words: Column) -> Column:
             ),
         )
 
-    return let(F.array_sort(words), runs)
+    return let(F.sort_array(words), runs)
 
 
 def alphabetic_words(text: Column, min_length: int = 2, max_length: int = 15) -> Column:

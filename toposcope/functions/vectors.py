@@ -48,7 +48,7 @@ def top_of(scores: Column, n: int, ascending: bool = False) -> Column:
             F.when(~missing, s).alias("weight"),
         )
 
-    best = F.slice(F.array_sort(F.transform(scores, key)), 1, n)
+    best = F.slice(F.sort_array(F.transform(scores, key)), 1, n)
     return F.transform(
         best, lambda e, r: F.struct((r + 1).alias("rank"), e["topic"].alias("topic"), e["weight"].alias("weight"))
     )

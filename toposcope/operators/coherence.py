@@ -31,7 +31,7 @@ def topic_hits(topics: DataFrame, doc_term: DataFrame, key: tuple[str, ...] = KE
     """
     hits = doc_term.join(small(topics.select("topic", "rank", "term")), "term")
     if n > MASK_BITS:
-        ranks = F.array_sort(F.collect_set("rank"))
+        ranks = F.sort_array(F.collect_set("rank"))
         sets = hits.groupBy(*key, "topic").agg(ranks.alias("ranks"))
         return sets.groupBy("topic", "ranks").agg(F.count("*").alias("n_docs"))
     bit = F.expr("shiftleft(1L, cast(rank AS int))")

@@ -93,7 +93,7 @@ def lemma_text(looked_up: DataFrame, ends: list[str] = SENTENCE_ENDS, key: tuple
         F.col("tok_no"), F.coalesce((F.col("fate") == "removed") & is_end, F.lit(False)).alias("ends"), F.col("lemma")
     )
     # Tokens without a lemma stay in the group: a line of nothing else still gives its (empty) text lines.
-    lines = looked_up.groupBy(*key).agg(F.array_sort(F.collect_list(token)).alias("tokens"))
+    lines = looked_up.groupBy(*key).agg(F.sort_array(F.collect_list(token)).alias("tokens"))
 
     def texts(items: Column) -> Column:
         def one(span: Column) -> Column:

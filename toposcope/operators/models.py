@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from toposcope.functions.vectors import centre_scores, top_of
 from toposcope.operators.nearest import top_rows
 from toposcope.operators.terms import KEY
+from toposcope.settings import term_table
 
 
 def fit_lda(
@@ -49,7 +50,7 @@ def lda_topics(model: LDAModel, terms: list[str], n: int = 10) -> DataFrame:
     """``(topic, rank, term_id, term, weight)``: the ``n`` heaviest terms of each topic."""
     described = model.describeTopics(n)
     spark = described.sparkSession
-    names = spark.createDataFrame(pd.DataFrame({"term_id": np.arange(len(terms), dtype=np.int32), "term": terms}))
+    names = term_table(spark, terms)
     pairs = F.arrays_zip(F.col("termIndices").alias("term_id"), F.col("termWeights").alias("weight"))
     rows = described.select("topic", F.posexplode(pairs).alias("_place", "_pair")).select(
         "topic", (F.col("_place") + 1).alias("rank"), "_pair.term_id", "_pair.weight"
@@ -67,8 +68,7 @@ def lda_term_profiles(model: LDAModel, terms: list[str]) -> DataFrame:
     """``(term_id, term, profile)``: each term's probability in every topic."""
     columns = model.topicsMatrix().toArray()
     columns = columns / columns.sum(axis=0)
-    table = pd.DataFrame({"term_id": np.arange(len(terms)), "term": terms, "profile": list(columns)})
-    return SparkSession.active().createDataFrame(table, "term_id long, term string, profile array<double>")
+    return term_table(SparkSession.active(), terms, columns, "profile")
 
 
 def fit_kmeans(
@@ -102,7 +102,7 @@ def centre_terms(spark: SparkSession, centres: np.ndarray, terms: list[str], n:
         [(i, c.tolist()) for i, c in enumerate(centres)], "topic int, centre array<double>"
     )
     best = rows.select("topic", F.inline(top_of(F.col("centre"), n)).alias("rank", "term_id", "weight"))
-    names = spark.createDataFrame(pd.DataFrame({"term_id": np.arange(len(terms), dtype=np.int32), "term": terms}))
+    names = term_table(spark, terms)
     return names.join(F.broadcast(best), "term_id").select("topic", "rank", "term_id", "term", "weight")
 
 

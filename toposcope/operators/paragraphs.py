@@ -112,7 +112,7 @@ def assemble_paragraphs(paragraph_lines: DataFrame, doc: str = "doc_id", order:
     line = F.struct(F.col(order), F.col("words"))
     return (
         paragraph_lines.groupBy(doc, "para_no")
-        .agg(F.array_sort(F.collect_list(line)).alias("lines"))
+        .agg(F.sort_array(F.collect_list(line)).alias("lines"))
         .select(doc, "para_no", F.flatten("lines.words").alias("words"))
     )
 
@@ -127,8 +127,13 @@ def remove_stop_words(
     remover = StopWordsRemover(
         inputCol="words", outputCol="kept", stopWords=stop_words, caseSensitive=case_sensitive, locale="en_US"
     )
-    out = remover.transform(paragraphs).drop("words").withColumnRenamed("kept", "words")
-    return out.where(F.size("words") > 0) if drop_empty else out
+    out = remover.transform(paragraphs).drop("words")
+    others = [c for c in out.columns if c != "kept"]
+    if not drop_empty:
+        return out.withColumnRenamed("kept", "words")
+    # A plain filter on the size would make Spark look every word up twice, once for the filter.
+    full = F.filter(F.array("kept"), lambda w: F.size(w) > 0)
+    return out.select(*others, F.explode(full).alias("words"))
 
 
 def stop_list(words: DataFrame, max_words: int = 100_000) -> list[str]:

@@ -166,7 +166,7 @@ def topic_captions(topics: DataFrame, labels: DataFrame, n: int = 5) -> DataFram
     words = (
         topics.where(F.col("rank") <= n)
         .groupBy(F.col("topic").alias("raw_topic"))
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("words"))
+        .agg(F.sort_array(F.collect_list(F.struct("rank", "term"))).alias("words"))
     )
     return words.join(small(named), "raw_topic").select(
         "topic", F.concat_ws(" ", F.format_string("[%s]", F.col("label")), F.col("words.term")).alias("caption")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.feature import ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from toposcope.functions.vectors import sparse_indices, sparse_values, top_of, weighted_rows
 from toposcope.operators.nearest import top_rows
 from toposcope.operators.terms import KEY
+from toposcope.settings import term_table
 
 
 def relative_vectors(rows: DataFrame, idf: np.ndarray, name: str = "relative") -> DataFrame:
@@ -60,8 +60,7 @@ class Decomposition:
     def term_vectors(self, spark: SparkSession, scaled: bool = False, concepts: int | None = None) -> DataFrame:
         """``(term_id, term, vec)``: rows of V, or of V diag(sigma)."""
         m = (self.v * self.sigma[None, :] if scaled else self.v)[:, : concepts or self.rank]
-        table = pd.DataFrame({"term_id": np.arange(len(m)), "term": self.terms, "vec": list(m)})
-        return spark.createDataFrame(table, "term_id long, term string, vec array<double>")
+        return term_table(spark, self.terms, m)
 
     def topics(self, spark: SparkSession, concepts: int, n: int = 10) -> DataFrame:
         """``(topic, rank, term_id, term, weight)``: terms with the largest absolute component of a concept."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from toposcope.functions.text import alphabetic_words, let, term_counts
+from toposcope.functions.text import alphabetic_words, term_counts
 from toposcope.settings import checkpointed
 
 KEY = ("doc_id", "para_no")
@@ -108,12 +108,7 @@ def min_nonzeros(
 
 
 def inconsistent_terms(doc_term: DataFrame, paragraphs: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
-    """Counted terms that do not occur in the document's words, or have no count; expected empty.
-
-    Both sides are joined on the whole document key and compared inside the row.
-    """
-    terms = doc_term.groupBy(*key).agg(F.collect_list(F.struct("term", "tf")).alias("terms"))
-    both = terms.join(paragraphs.select(*key, F.array_distinct("words").alias("words")), list(key), "left")
-    missing = F.array_except(F.col("terms.term"), F.coalesce("words", F.array().cast("array<string>")))
-    bad = let(missing, lambda m: F.filter("terms", lambda t: F.array_contains(m, t["term"]) | (t["tf"] <= 0)))
-    return both.select(*key, F.inline(bad))
+    """Counted terms that do not occur in the document's words, or have no count; expected empty."""
+    words = paragraphs.select(*key, F.explode(F.array_distinct("words")).alias("term"))
+    absent = doc_term.join(words, [*key, "term"], "left_anti")
+    return absent.unionByName(doc_term.where(F.col("tf") <= 0))

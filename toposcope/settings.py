@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +46,13 @@ def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
 def row_count(df: DataFrame) -> Column:
     """Row count as a scalar subquery, so that a plan that needs it stays one lazy plan."""
     return df.agg(F.count("*")).scalar()
+
+
+def term_table(spark: SparkSession, terms: list[str], matrix: np.ndarray | None = None, name: str = "vec") -> DataFrame:
+    """``(term_id, term)`` of a fitted model's vocabulary, with the rows of a parameter matrix as ``name``."""
+    columns = {"term_id": pa.array(np.arange(len(terms), dtype=np.int32)), "term": pa.array(terms, pa.string())}
+    if matrix is not None:
+        flat = pa.array(np.ascontiguousarray(matrix, dtype=np.float64).ravel())
+        offsets = pa.array(np.arange(len(matrix) + 1, dtype=np.int64) * matrix.shape[1])
+        columns[name] = pa.LargeListArray.from_arrays(offsets, flat)
+    return spark.createDataFrame(pa.table(columns))
