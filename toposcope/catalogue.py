@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from toposcope.functions.vectors import symmetric_divergence
 from toposcope.operators import coherence, embeddings, lemma, nearest, paragraphs, report, split, terms, tfidf
 from toposcope.plans import workflows
-from toposcope.settings import checkpointed, row_count
+from toposcope.settings import checkpointed, row_count, spread, stored
 from toposcope.sources.text import document_lines
 from toposcope.sources.words import parse_word_vectors
 
@@ -34,6 +34,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents"), "doc_id")
+
+
 def r6(value: Column) -> Column:
     """Six digits, without a negative zero."""
     return F.round(value, 6) + F.lit(0.0)
@@ -41,7 +45,7 @@ def r6(value: Column) -> Column:
 
 def text_rows(spark: SparkSession, folder: str, **options) -> DataFrame:
     """Every paragraph of every document, the unclosed last ones included."""
-    return paragraphs.segment_documents(table(spark, folder, "documents"), keep_trailing=True, **options)
+    return paragraphs.segment_documents(documents(spark, folder), keep_trailing=True, **options)
 
 
 def word_rows(spark: SparkSession, folder: str, **options) -> DataFrame:
@@ -64,17 +68,17 @@ def joined_words(df: DataFrame) -> DataFrame:
 
 
 def line_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    lines = paragraphs.tagged_lines(table(spark, folder, "documents"))
+    lines = paragraphs.tagged_lines(documents(spark, folder))
     return lines.select("doc_id", "line_no", F.posexplode("tokens").alias("token_no", "token"))
 
 
 def separator_lines(spark: SparkSession, folder: str) -> DataFrame:
-    lines = paragraphs.tagged_lines(table(spark, folder, "documents"))
+    lines = paragraphs.tagged_lines(documents(spark, folder))
     return lines.where("is_separator").select("doc_id", "line_no", F.size("tokens").alias("n_tokens"))
 
 
 def paragraphs_closed(spark: SparkSession, folder: str) -> DataFrame:
-    return joined_words(paragraphs.segment_documents(table(spark, folder, "documents")))
+    return joined_words(paragraphs.segment_documents(documents(spark, folder)))
 
 
 def paragraphs_all(spark: SparkSession, folder: str) -> DataFrame:
@@ -82,7 +86,7 @@ def paragraphs_all(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def paragraphs_next_line(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
+    docs = documents(spark, folder)
     return joined_words(
         paragraphs.segment_documents(docs, emit="next_line", drop_words=STOP_WORDS, strip=True)
     )
@@ -90,7 +94,7 @@ def paragraphs_next_line(spark: SparkSession, folder: str) -> DataFrame:
 
 def paragraph_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Segmentation of a table of lines (no document has to fit one row)."""
-    lines = document_lines(table(spark, folder, "documents"))
+    lines = document_lines(documents(spark, folder))
     found = paragraphs.segment_lines(lines)
     return found.select(*KEY, "line_no", F.concat_ws(" ", "words").alias("content"))
 
@@ -160,7 +164,7 @@ def min_nonzeros(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dict_filter(spark: SparkSession, folder: str) -> DataFrame:
-    docs = terms.normalise_words(table(spark, folder, "documents"), ("doc_id",))
+    docs = terms.normalise_words(documents(spark, folder), ("doc_id",))
     counts = terms.document_frequency(terms.term_frequency(docs, ("doc_id",)), 1)
     return terms.filter_extremes(counts, row_count(docs)).select("term", "df")
 
@@ -193,7 +197,7 @@ def weighted_vectors(weighting: str) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         words = word_rows(spark, folder)
         vectors = tfidf.TermVectors.of(vocabulary(spark, folder), words.count())
-        rows = vectors.weights(vectors.add_tfidf(vectors.add_tf(words)), weighting)
+        rows = vectors.weights(vectors.rows(words), weighting)
         return vectors.long(rows).select(*KEY, "term_id", r6(F.col("weight")).alias("weight"))
 
     return run
@@ -268,7 +272,7 @@ def doc_vectors(spark: SparkSession, folder: str) -> DataFrame:
     words = word_rows(spark, folder)
     vocab = checkpointed(vocabulary(spark, folder))
     vectors = tfidf.TermVectors.of(vocab, words.count())
-    rows = vectors.weights(vectors.add_tfidf(vectors.add_tf(words)), "product")
+    rows = vectors.weights(vectors.rows(words), "product")
     known = checkpointed(embeddings.vocabulary_vectors(vocab, word_vectors(spark, folder)))
     found = embeddings.document_vectors(rows, known, len(vectors.terms))
     return found.select(*KEY, F.posexplode("vec").alias("dim", "value")).withColumn("value", r6(F.col("value")))
@@ -389,7 +393,7 @@ TOKEN = r"[\p{L}\p{N}-]+|[.,!?;:]"
 
 def tagged_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every line with a tag made by rule from the token's form."""
-    lines = document_lines(table(spark, folder, "documents"))
+    lines = document_lines(documents(spark, folder))
     found = lines.select(
         "doc_id", "line_no", F.posexplode(F.regexp_extract_all("line", F.lit(TOKEN), F.lit(0))).alias("tok_no", "token")
     )
@@ -541,7 +545,7 @@ FEW = {"max_iter": 10}
 
 
 def corpus(spark: SparkSession, folder: str) -> workflows.Corpus:
-    return workflows.prepare(table(spark, folder, "documents"), STOP_WORDS, keep_trailing=True, min_df=MIN_DF)
+    return workflows.prepare(documents(spark, folder), STOP_WORDS, keep_trailing=True, min_df=MIN_DF)
 
 
 def lda_topics(spark: SparkSession, folder: str) -> DataFrame:
@@ -567,9 +571,7 @@ def lda_cluster_words(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def svd_values(spark: SparkSession, folder: str) -> DataFrame:
-    data = corpus(spark, folder)
-    rows = workflows.relative_vectors(data.rows, data.vectors.idf)
-    svd = workflows.Decomposition.of(rows, "relative", data.terms, 10)
+    svd = workflows.decompose(corpus(spark, folder), 10)
     return report.singular_value_curve(svd.values(spark))
 
 
@@ -627,6 +629,7 @@ SQL_CHECKED |= {
     "tfidf_ntc": weighted("ntc"),
     "tfidf_lsa_vectors": weighted_vectors("relative"),
     "tf2idf_norm_vectors": weighted_vectors("tf2idf"),
+    "tfidf_ntc_vectors": weighted_vectors("ntc"),
 }
 
 ROWS_ONLY: dict[str, Query] = {

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,14 +25,35 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size)
 
 
-def sparse_indices(vector: Column) -> Column:
-    """Indices of a sparse ML vector column."""
-    return F.unwrap_udt(vector)["indices"]
+def known_terms(spark: SparkSession, words: Column, terms: list[str], idf: np.ndarray) -> Column:
+    """``array<struct<term_id, idf>>`` of a word array, nulls for words outside the vocabulary.
 
+    ``terms`` is a vocabulary of bounded size. Each batch is looked up by Arrow as one column.
+    """
+    shared = spark.sparkContext.broadcast((pa.array(terms, pa.string()), pa.array(idf, pa.float64())))
+
+    @F.arrow_udf("array<struct<term_id:int,idf:double>>")
+    def find(batch: pa.Array) -> pa.Array:
+        names, values = shared.value
+        ids = pc.index_in(batch.flatten(), value_set=names)
+        entries = pa.StructArray.from_arrays([ids, values.take(ids)], names=["term_id", "idf"])
+        ends = np.cumsum(pc.list_value_length(batch).to_numpy(zero_copy_only=False))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), entries)
+
+    return find(words)
+
+
+def sparse_vector(ids: Column, values: Column, size: int) -> Column:
+    """Sparse ML vector of id and value arrays; ids ascending."""
+
+    @F.pandas_udf(VectorUDT())
+    def build(indices: pd.Series, numbers: pd.Series) -> pd.DataFrame:
+        n = len(indices)
+        return pd.DataFrame(
+            {"type": np.zeros(n, dtype=np.int8), "size": np.full(n, size, dtype=np.int32), "indices": indices, "values": numbers}
+        )
 
-def sparse_values(vector: Column) -> Column:
-    """Stored values of a sparse ML vector column."""
-    return F.unwrap_udt(vector)["values"]
+    return build(ids, values)
 
 
 def top_of(scores: Column, n: int, ascending: bool = False) -> Column:

@@ -6,26 +6,17 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml.feature import ElementwiseProduct, Normalizer
-from pyspark.ml.linalg import Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from toposcope.functions.vectors import sparse_indices, sparse_values, top_of, weighted_rows
+from toposcope.functions.vectors import norm, top_of, weighted_rows
 from toposcope.operators.nearest import top_rows
 from toposcope.operators.terms import KEY
 from toposcope.settings import term_table
 
 
-def relative_vectors(rows: DataFrame, idf: np.ndarray, name: str = "relative") -> DataFrame:
-    """Add ``name``: idf times tf over the document's counted terms, as a sparse vector."""
-    shares = Normalizer(inputCol="tf", outputCol="_share", p=1.0)
-    scaled = ElementwiseProduct(inputCol="_share", outputCol=name, scalingVec=Vectors.dense(idf))
-    return scaled.transform(shares.transform(rows)).drop("_share")
-
-
 @dataclass(frozen=True)
 class Decomposition:
     """Singular values and right vectors of documents x terms.
@@ -72,12 +63,13 @@ class Decomposition:
             "topic", "rank", "term_id", "term", "weight"
         )
 
-    def project(self, rows: DataFrame, vector: str, key: tuple[str, ...] = KEY) -> DataFrame:
-        """``(key, vec, size)``: document times V (which is U diag(sigma)) and the document's length."""
-        values = sparse_values(F.col(vector))
-        product = weighted_rows(rows.sparkSession, sparse_indices(F.col(vector)), values, self.v)
-        size = F.sqrt(F.aggregate(values, F.lit(0.0), lambda s, x: s + x * x))
-        return rows.select(*key, product.alias("vec"), size.alias("size"))
+    def project(self, rows: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
+        """``(key, vec, size)``: document times V (which is U diag(sigma)) and the document's length.
+
+        ``rows`` has ``ids`` and ``weights``.
+        """
+        product = weighted_rows(rows.sparkSession, F.col("ids"), F.col("weights"), self.v)
+        return rows.select(*key, product.alias("vec"), norm(F.col("weights")).alias("size"))
 
     def documents(self, projected: DataFrame, key: tuple[str, ...] = KEY, n: int = 10, ascending: bool = False) -> DataFrame:
         """``(key, rank, topic, weight)``: concept weights of a document divided by its length, best ``n``."""

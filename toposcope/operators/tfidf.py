@@ -5,14 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from toposcope.functions.vectors import sparse_indices, sparse_values
+from toposcope.functions.text import let, term_counts
+from toposcope.functions.vectors import known_terms, norm, sparse_vector
 from toposcope.functions.weights import idf, relative_tfidf, tf2idf
 from toposcope.operators.terms import KEY, MAX_TERMS
+from toposcope.settings import computed_once
 
 
 def inverse_document_frequency(doc_freq: DataFrame, n_docs: int | Column) -> DataFrame:
@@ -50,10 +50,10 @@ def weigh_terms(
 
 @dataclass(frozen=True)
 class TermVectors:
-    """A bounded vocabulary as vector transformers. All transforms work row by row, without a shuffle.
+    """A bounded vocabulary that turns documents into (id, count, idf) arrays and sparse vectors.
 
-    Holds the terms and their idf on the driver, as the vector models themselves do; the number of
-    terms is limited by ``vocabulary(max_terms=...)``.
+    Works row by row without a shuffle: the vocabulary, limited by ``vocabulary(max_terms=...)``, is
+    shared with the tasks and looked up in Arrow batches.
     """
 
     terms: list[str]
@@ -63,50 +63,59 @@ class TermVectors:
     @classmethod
     def of(cls, vocab: DataFrame, n_docs: int, max_terms: int = MAX_TERMS) -> TermVectors:
         table = (
-            inverse_document_frequency(vocab, n_docs)
-            .select("term_id", "term", "idf")
-            .limit(max_terms + 1)
-            .collect()
+            inverse_document_frequency(vocab, n_docs).select("term_id", "term", "idf").limit(max_terms + 1).toArrow()
         )
-        if len(table) > max_terms:
+        if table.num_rows > max_terms:
             raise ValueError(f"vocabulary has more than {max_terms} terms; cut it with vocabulary(max_terms=...)")
-        table.sort(key=lambda r: r["term_id"])
-        return cls([r["term"] for r in table], np.array([r["idf"] for r in table]), n_docs)
+        table = table.sort_by("term_id")
+        return cls(table["term"].to_pylist(), table["idf"].to_numpy(), n_docs)
+
+    def rows(self, paragraphs: DataFrame, key: tuple[str, ...] = KEY, min_nonzeros: int = 0) -> DataFrame:
+        """``(key, ids, counts, idfs)`` of the documents with more than ``min_nonzeros`` vocabulary terms."""
+        counted = paragraphs.select(*key, term_counts(F.col("words")).alias("terms"))
+        found = known_terms(counted.sparkSession, F.col("terms.term"), self.terms, self.idf)
+        entries = F.filter(
+            F.zip_with(
+                found,
+                "terms",
+                lambda k, t: F.struct(k["term_id"].alias("id"), t["tf"].cast("double").alias("tf"), k["idf"].alias("idf")),
+            ),
+            lambda e: e["id"].isNotNull(),
+        )
+        kept = computed_once(counted, F.sort_array(entries), "entries").where(F.size("entries") > min_nonzeros)
+        return kept.select(
+            *key, F.col("entries.id").alias("ids"), F.col("entries.tf").alias("counts"), F.col("entries.idf").alias("idfs")
+        )
 
-    def add_tf(self, paragraphs: DataFrame, min_nonzeros: int = 0) -> DataFrame:
-        """Add ``tf``; keep rows with more than ``min_nonzeros`` vocabulary terms."""
-        model = CountVectorizerModel.from_vocabulary(self.terms, inputCol="words", outputCol="tf")
-        return model.transform(paragraphs).where(F.size(sparse_indices(F.col("tf"))) > min_nonzeros)
+    def weights(self, rows: DataFrame, weighting: str) -> DataFrame:
+        """Add ``weights``, one per id.
 
-    def add_tfidf(self, rows: DataFrame) -> DataFrame:
-        """Add ``tfidf`` = tf times idf."""
-        return ElementwiseProduct(
-            inputCol="tf", outputCol="tfidf", scalingVec=Vectors.dense(self.idf)
-        ).transform(rows)
+        ``tf``, ``tfidf``, ``relative``, ``tf2idf`` and ``ntc`` as in ``weigh_terms``; ``product`` is
+        tf times tf idf without a division.
+        """
+        tf, idfs = F.col("counts"), F.col("idfs")
+        tfidf = F.zip_with(tf, idfs, lambda a, b: a * b)
+        product = F.zip_with(tf, idfs, lambda a, b: a * (a * b))
+
+        def divided(values: Column, size: Column) -> Column:
+            return let(size, lambda s: F.transform(values, lambda x: F.when(s > 0, x / s).otherwise(F.lit(0.0))))
 
-    def weights(self, rows: DataFrame, weighting: str) -> DataFrame:
-        """Add ``ids`` and ``weights``, the document's term ids and weights as arrays."""
-        tf, tfidf = sparse_values(F.col("tf")), sparse_values(F.col("tfidf"))
         total = F.aggregate(tf, F.lit(0.0), lambda s, x: s + x)
-        rows = rows.withColumn("ids", sparse_indices(F.col("tf")))
-        if weighting == "tfidf":
-            return rows.withColumn("weights", tfidf)
-        if weighting == "product":
-            return rows.withColumn("weights", F.zip_with(tf, tfidf, lambda a, b: a * b))
-        rows = rows.withColumn("_total", total)
-        if weighting == "relative":
-            value = F.transform(tfidf, lambda x: x / F.col("_total"))
-        elif weighting == "tf2idf":
-            value = F.zip_with(tf, tfidf, lambda a, b: a * b / F.col("_total"))
-        else:
-            raise ValueError(f"unknown weighting {weighting!r}")
-        return rows.withColumn("weights", value).drop("_total")
+        choices = {
+            "tf": tf,
+            "tfidf": tfidf,
+            "product": product,
+            "relative": divided(tfidf, total),
+            "tf2idf": divided(product, total),
+            "ntc": let(tfidf, lambda v: divided(v, norm(v))),
+        }
+        return computed_once(rows, choices[weighting], "weights")
+
+    def vectors(self, rows: DataFrame, weighting: str, name: str, key: tuple[str, ...] = KEY) -> DataFrame:
+        """``(key, name)`` with the weights as a sparse ML vector."""
+        weighted = self.weights(rows, weighting)
+        return weighted.select(*key, sparse_vector(F.col("ids"), F.col("weights"), len(self.terms)).alias(name))
 
     def long(self, rows: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
-        """``(key, term_id, weight)`` of the arrays made by ``weights``."""
+        """``(key, term_id, weight)`` of weighted rows."""
         return rows.select(*key, F.inline(F.arrays_zip(F.col("ids").alias("term_id"), F.col("weights").alias("weight"))))
-
-
-def unit_length(rows: DataFrame, vector: str, name: str) -> DataFrame:
-    """Add ``name``: the vector divided by its length."""
-    return Normalizer(inputCol=vector, outputCol=name, p=2.0).transform(rows)

@@ -514,6 +514,7 @@ UNION ALL SELECT 'embedding', 'wsse', k, {r6("wsse")} FROM (SELECT * FROM by_ran
             MEASURES, f"SELECT k AS topic, {r6('wsse')} AS wsse, {r6('word2vec')} AS word2vec FROM by_rank"
         ),
     }
+    sql["tfidf_ntc_vectors"] = sql["tfidf_ntc"].replace("para_no, term,", "para_no, term_id,", 1)
     sql["stopword_filter_join"] = sql["term_freq"]
     sql["heldout_by_difference"] = sql["heldout_split"]
     unknown = (

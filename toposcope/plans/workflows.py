@@ -7,7 +7,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeansModel, LDAModel
+from pyspark.ml.clustering import KMeansModel
+from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,17 +20,17 @@ from toposcope.operators.lemma import lemma_statistics, lemma_text, look_up, rem
 from toposcope.operators.nearest import nearest_centres, nearest_rows
 from toposcope.operators.paragraphs import remove_stop_words, segment_documents
 from toposcope.operators.split import train_held_out
-from toposcope.operators.svd import Decomposition, relative_vectors
+from toposcope.operators.svd import Decomposition
 from toposcope.operators.terms import KEY, MAX_TERMS, document_frequency, term_frequency, vocabulary
-from toposcope.operators.tfidf import TermVectors, unit_length
-from toposcope.settings import checkpointed
+from toposcope.operators.tfidf import TermVectors
+from toposcope.settings import checkpointed, spread
 
 DISTANCES = {"cosine": "cosine", "euclidean": "sqeuclidean"}
 
 
 @dataclass
 class Corpus:
-    """A prepared corpus. ``rows`` has the key, ``words``, ``tf`` and ``tfidf`` and is kept on the executors."""
+    """A prepared corpus: ``rows`` ``(key, ids, counts, idfs)``, kept on the executors, and the vocabulary."""
 
     rows: DataFrame
     vocab: DataFrame
@@ -47,8 +48,16 @@ class Corpus:
 
     @property
     def document_terms(self) -> DataFrame:
-        """``(key, term)``: the different words of each document."""
-        return self.rows.select(*self.key, F.explode(F.array_distinct("words")).alias("term"))
+        """``(key, term)``: the different vocabulary terms of each document, by id."""
+        return self.rows.select(*self.key, F.explode("ids").alias("term"))
+
+    def weighted(self, weighting: str) -> DataFrame:
+        """``rows`` with ``weights``."""
+        return self.vectors.weights(self.rows, weighting)
+
+    def vector(self, weighting: str, name: str) -> DataFrame:
+        """``(key, name)``: sparse vectors, kept because a fit reads them once per iteration."""
+        return self.keep(self.vectors.vectors(self.rows, weighting, name, self.key))
 
     def sizes(self) -> dict[str, int]:
         return {"documents": self.rows.count(), "terms": len(self.terms), "documents_read": self.vectors.n_docs}
@@ -80,14 +89,14 @@ def prepare_paragraphs(
     n_docs = words.count()
     vocab = checkpointed(vocabulary(document_frequency(term_frequency(words, key), min_df), max_terms))
     vectors = TermVectors.of(vocab, n_docs, max_terms)
-    rows = vectors.add_tfidf(vectors.add_tf(words, min_nonzeros))
-    corpus = Corpus(rows, vocab, vectors, key, [words])
-    corpus.rows = corpus.keep(rows)
+    corpus = Corpus(vectors.rows(words, key, min_nonzeros), vocab, vectors, key, [words])
+    corpus.keep(corpus.rows)
     return corpus
 
 
 def prepare(docs: DataFrame, stop_words: list[str], keep_trailing: bool = False, **options) -> Corpus:
     """Corpus of the paragraphs of ``(doc_id, text)`` rows; ``options`` as in ``prepare_paragraphs``."""
+    docs = spread(docs.select("doc_id", "text"), "doc_id")
     return prepare_paragraphs(segment_documents(docs, keep_trailing=keep_trailing), stop_words, **options)
 
 
@@ -100,7 +109,8 @@ def measures_table(spark: SparkSession, model: str, k: int, values: dict[str, fl
 def coherence_measures(corpus: Corpus, topics: DataFrame, word_vectors: DataFrame | None, k: int, n: int, eta: float) -> dict:
     """Mean UMass and, with word vectors, mean embedding coherence of a topic table."""
     topics = checkpointed(topics)
-    out = {"umass": umass(topics, corpus.document_terms, corpus.key, n, eta).agg(F.sum("umass") / k).first()[0]}
+    by_id = topics.select("topic", "rank", F.col("term_id").alias("term"))
+    out = {"umass": umass(by_id, corpus.document_terms, corpus.key, n, eta).agg(F.sum("umass") / k).first()[0]}
     if word_vectors is not None:
         out["word2vec"] = embedding_coherence(topics, word_vectors).agg(F.sum("coherence") / k).first()[0]
     return out
@@ -117,8 +127,7 @@ def embed_documents(corpus: Corpus, word_vectors: DataFrame, weighting: str = "t
     """``(key, vec, vector)`` of the documents and ``(term_id, term, vec)`` of the known terms."""
     term_vectors = corpus.keep(vocabulary_vectors(corpus.vocab, word_vectors))
     weights = {"tf2idf": "product", "tfidf": "tfidf"}[weighting]
-    weighted = corpus.vectors.weights(corpus.rows, weights)
-    vectors = document_vectors(weighted, term_vectors, len(corpus.terms), corpus.key)
+    vectors = document_vectors(corpus.weighted(weights), term_vectors, len(corpus.terms), corpus.key)
     return corpus.keep(models.with_vector(vectors, "vec", "vector")), term_vectors
 
 
@@ -150,13 +159,14 @@ def sweep_lda(
     ``fit_on='all'`` fits on every document although a part of them is scored; ``prior='asymmetric'``
     uses falling document concentrations.
     """
-    train, held_out = train_held_out(corpus.rows, fraction, corpus.key, seed)
+    rows = corpus.vector("tf", "tf")
+    train, held_out = train_held_out(rows, fraction, corpus.key, seed)
     parts = []
     for k in ks:
         if prior == "asymmetric":
             lda["doc_concentration"] = models.asymmetric_prior(k)
-        model = models.fit_lda(train if fit_on == "train" else corpus.rows, k, seed=seed, **lda)
-        mixed = model.transform(corpus.rows).select("topicDistribution").persist(StorageLevel.MEMORY_AND_DISK)
+        model = models.fit_lda(train if fit_on == "train" else rows, k, seed=seed, **lda)
+        mixed = model.transform(rows).select("topicDistribution").persist(StorageLevel.MEMORY_AND_DISK)
         clusters = models.fit_kmeans(mixed, k, "topicDistribution", prediction="featureTopic", **(kmeans or {}))
         values = {
             "logLikelihood": model.logLikelihood(held_out),
@@ -170,12 +180,16 @@ def sweep_lda(
     return union_all(parts)
 
 
+def decompose(corpus: Corpus, rank: int = 200) -> Decomposition:
+    """Truncated SVD of the documents' idf-weighted term shares."""
+    return Decomposition.of(corpus.vectors.vectors(corpus.rows, "relative", "relative", corpus.key), "relative", corpus.terms, rank)
+
+
 def sweep_lsa(
     corpus: Corpus, ks: Iterable[int], word_vectors: DataFrame | None = None, rank: int = 200, n: int = 10, eta: float = 1.0
 ) -> tuple[DataFrame, Decomposition]:
     """Per k: both coherences of the first k concepts. One decomposition serves every k."""
-    rows = relative_vectors(corpus.rows, corpus.vectors.idf)
-    svd = Decomposition.of(rows, "relative", corpus.terms, rank)
+    svd = decompose(corpus, rank)
     parts = [
         measures_table(
             corpus.spark, "lsa", k, coherence_measures(corpus, svd.topics(corpus.spark, k, n), word_vectors, k, n, eta)
@@ -201,7 +215,7 @@ def sweep_embedding(
     parts = []
     for k in ks:
         fit = cluster_embeddings(documents, k, scaling, **kmeans)
-        topics = nearest_rows(term_vectors, ("term",), "vec", fit.centres, n, DISTANCES[distance])
+        topics = nearest_rows(term_vectors, ("term", "term_id"), "vec", fit.centres, n, DISTANCES[distance])
         values = {"wsse": fit.model.summary.trainingCost}
         values |= coherence_measures(corpus, topics, word_vectors, k, n, eta)
         parts.append(measures_table(corpus.spark, "embedding", k, values))
@@ -224,10 +238,11 @@ def sweep(model: str, corpus: Corpus, ks: Iterable[int], **options) -> DataFrame
 
 def analyse_lda(corpus: Corpus, k: int, n: int = 10, top: int = 5, **lda) -> dict[str, DataFrame]:
     """Topic words and topic map of one LDA fit."""
-    model = models.fit_lda(corpus.rows, k, **lda)
+    rows = corpus.vector("tf", "tf")
+    model = models.fit_lda(rows, k, **lda)
     return {
         "topics": models.lda_topics(model, corpus.terms, n),
-        "doc_topics": models.lda_documents(model, corpus.rows, corpus.key, top),
+        "doc_topics": models.lda_documents(model, rows, corpus.key, top),
     }
 
 
@@ -235,8 +250,9 @@ def analyse_lda_clusters(
     corpus: Corpus, k: int, lda_k: int = 200, n: int = 10, kmeans: dict | None = None, **lda
 ) -> dict[str, DataFrame]:
     """Clusters of LDA mixtures, described by the terms with the least divergence from the centres."""
-    model: LDAModel = models.fit_lda(corpus.rows, lda_k, **lda)
-    mixed = model.transform(corpus.rows).select(*corpus.key, "topicDistribution")
+    rows = corpus.vector("tf", "tf")
+    model = models.fit_lda(rows, lda_k, **lda)
+    mixed = model.transform(rows).select(*corpus.key, "topicDistribution")
     mixed = corpus.keep(mixed)
     clusters = models.fit_kmeans(mixed, k, "topicDistribution", prediction="topic", **(kmeans or {}))
     profiles = models.lda_term_profiles(model, corpus.terms)
@@ -251,19 +267,18 @@ def analyse_lsa(
 ) -> dict[str, DataFrame]:
     """Words of raw clusters, of concepts and of concept-space clusters; topic map; singular values."""
     spark, key = corpus.spark, corpus.key
-    raw = corpus.keep(unit_length(corpus.rows, "tfidf", "unit").select(*key, "unit"))
-    raw_clusters = models.fit_kmeans(raw, k, "unit", **kmeans)
+    raw_clusters = models.fit_kmeans(corpus.vector("ntc", "unit"), k, "unit", **kmeans)
 
-    rows = relative_vectors(corpus.rows, corpus.vectors.idf)
-    svd = Decomposition.of(rows, "relative", corpus.terms, rank)
-    projected = corpus.keep(svd.project(rows, "relative", key))
-    points = unit_length(models.with_vector(projected, "vec", "point"), "point", "unit")
+    svd = decompose(corpus, rank)
+    projected = corpus.keep(svd.project(corpus.weighted("relative"), key))
+    points = models.with_vector(projected, "vec", "point")
+    points = corpus.keep(Normalizer(inputCol="point", outputCol="unit", p=2.0).transform(points).select("unit"))
     svd_clusters = models.fit_kmeans(points, k, "unit", **kmeans)
     words = svd.term_vectors(spark, scaled=True)
     return {
         "raw_topics": models.centre_terms(spark, models.centre_matrix(raw_clusters), corpus.terms, n),
         "topics": svd.topics(spark, k, n),
-        "svd_topics": nearest_rows(words, ("term",), "vec", models.centre_matrix(svd_clusters), n),
+        "svd_topics": nearest_rows(words, ("term", "term_id"), "vec", models.centre_matrix(svd_clusters), n),
         "doc_topics": svd.documents(projected, key, top, ascending),
         "concept_documents": svd.concept_documents(projected, key, n),
         "singular_values": svd.values(spark),
@@ -286,7 +301,7 @@ def analyse_embedding(
     fit = cluster_embeddings(documents, k, scaling, **kmeans)
     metric = DISTANCES[distance]
     return {
-        "topics": nearest_rows(term_vectors, ("term",), "vec", fit.centres, n, metric),
+        "topics": nearest_rows(term_vectors, ("term", "term_id"), "vec", fit.centres, n, metric),
         "doc_topics": nearest_centres(documents, corpus.key, "vec", fit.centres, top, metric),
         "unknown": corpus.vocab.join(term_vectors.select("term_id"), "term_id", "left_anti").select("term"),
     }
@@ -294,9 +309,7 @@ def analyse_embedding(
 
 def analyse_tfidf_clusters(corpus: Corpus, k: int, n: int = 10, weighting: str = "tf2idf", **kmeans) -> dict[str, DataFrame]:
     """Clusters of length-normalised TF-IDF products, described by the centres' largest components."""
-    weighted = corpus.vectors.weights(corpus.rows, weighting)
-    vector = models.sparse_vector(F.col("ids"), F.col("weights"), len(corpus.terms))
-    rows = corpus.keep(weighted.select(*corpus.key, vector.alias("vector")))
+    rows = corpus.vector(weighting, "vector")
     model = models.fit_kmeans(rows, k, "vector", prediction="topic", **kmeans)
     return {
         "topics": models.centre_terms(corpus.spark, models.centre_matrix(model), corpus.terms, n),

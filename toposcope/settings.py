@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,38 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write a large intermediate table as parquet beside the checkpoints and read it back.
+
+    For tables that several later passes read, each with few columns: the lineage ends here, a lost
+    executor costs a read, and unused columns are not read.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """Spread a table with fewer splits than cores over all cores; leave larger tables as they are.
+
+    Text work costs far more per byte than reading, so one file's few splits would leave cores idle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= 2 * cores:
+        return df
+    return df.repartition(cores, *key)
+
+
+def computed_once(df: DataFrame, column: Column, name: str) -> DataFrame:
+    """Add a costly column (a vector transform, say) so that later uses do not compute it again.
+
+    Spark merges neighbouring projections and repeats the expression for each use; it does not merge
+    across a generator.
+    """
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(column)).alias(name))
+
+
 def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting at most ``max_rows`` rows; otherwise leave the join to AQE.
 
