@@ -67,12 +67,13 @@ def _joined_vectors(rows: DataFrame, term_vectors: DataFrame, key: tuple[str, ..
         .join(term_vectors.select("term_id", array_to_vector("vec").alias("v")), "term_id")
         .groupBy(*key)
         .agg(Summarizer.mean(F.col("v"), F.col("weight")).alias("v"))
+        .select(*key, vector_to_array("v").alias("vec"))
     )
     zero = F.array_repeat(F.lit(0.0), width)
     return (
         rows.select(*key)
         .join(means, list(key), "left")
-        .select(*key, F.coalesce(vector_to_array("v"), zero).alias("vec"))
+        .select(*key, F.coalesce("vec", zero).alias("vec"))
     )
 
 
