@@ -49,6 +49,8 @@ def test_svd_equals_dense_svd(spark, corpus):
     projected = svd.project(corpus.weighted("relative"), corpus.key)
     vec = np.array([r["vec"] for r in projected.orderBy(*corpus.key).collect()])
     assert np.allclose(vec, a @ svd.v)
+    joined = svd.project(corpus.weighted("relative"), corpus.key, max_bytes=0).orderBy(*corpus.key).collect()
+    assert np.allclose(np.array([r["vec"] for r in joined]), vec) and np.all([r["size"] > 0 for r in joined])
     left = svd.left_vectors(projected, corpus.key).where("concept = 2").orderBy(*corpus.key).collect()
     assert np.allclose(np.abs([r["u"] for r in left]), np.abs(u[:, 2]), atol=1e-4)
 

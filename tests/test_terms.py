@@ -66,7 +66,7 @@ def test_long_weights_equal_vectors(words, counts, weighting):
     vocab = terms.vocabulary(freq)
     long = tfidf.weigh_terms(counts, freq, row_count(words), weighting, KEY).join(vocab, "term")
     vectors = tfidf.TermVectors.of(vocab, 3)
-    narrow = vectors.long(vectors.weights(vectors.rows(words, KEY), weighting), KEY)
+    narrow = vectors.long(vectors.weights(vectors.rows(terms.count_terms(words), KEY), weighting), KEY)
     a = {(r["doc_id"], r["term_id"]): r["weight"] for r in long.collect()}
     b = {(r["doc_id"], r["term_id"]): r["weight"] for r in narrow.collect()}
     assert a.keys() == b.keys() and all(math.isclose(a[k], b[k], rel_tol=1e-12) for k in a)
@@ -75,8 +75,8 @@ def test_long_weights_equal_vectors(words, counts, weighting):
 def test_vectors_and_minimum(words, counts):
     vocab = terms.vocabulary(terms.document_frequency(counts, 2))
     vectors = tfidf.TermVectors.of(vocab, 3)
-    assert vectors.rows(words, KEY, 2).count() == 0
-    dense = {r["doc_id"]: r["tf"].toArray() for r in vectors.vectors(vectors.rows(words, KEY), "tf", "tf", KEY).collect()}
+    assert vectors.rows(terms.count_terms(words), KEY, 2).count() == 0
+    dense = {r["doc_id"]: r["tf"].toArray() for r in vectors.vectors(vectors.rows(terms.count_terms(words), KEY), "tf", "tf", KEY).collect()}
     assert np.array_equal(dense[3], [3, 0, 1]) and np.array_equal(dense[1], [0, 2, 1])
     with pytest.raises(ValueError):
         tfidf.TermVectors.of(vocab, 3, max_terms=2)

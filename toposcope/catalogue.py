@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from toposcope.functions.vectors import symmetric_divergence
 from toposcope.operators import coherence, embeddings, lemma, nearest, paragraphs, report, split, terms, tfidf
 from toposcope.plans import workflows
-from toposcope.settings import checkpointed, row_count, spread, stored
+from toposcope.settings import checkpointed, row_count, small, spread, stored
 from toposcope.sources.text import document_lines
 from toposcope.sources.words import parse_word_vectors
 
@@ -60,6 +60,11 @@ def doc_freqs(spark: SparkSession, folder: str) -> DataFrame:
     return terms.document_frequency(doc_terms(spark, folder), MIN_DF)
 
 
+def counted_rows(spark: SparkSession, folder: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Counted terms of every paragraph, stored: for queries that need them more than once."""
+    return stored(terms.count_terms(word_rows(spark, folder, carry=carry)))
+
+
 def joined_words(df: DataFrame) -> DataFrame:
     return df.select(*KEY, F.size("words").alias("n_words"), F.concat_ws(" ", "words").alias("content"))
 
@@ -160,7 +165,8 @@ def trim_vocab_least(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def min_nonzeros(spark: SparkSession, folder: str) -> DataFrame:
-    return terms.min_nonzeros(doc_terms(spark, folder), doc_freqs(spark, folder), 20)
+    counts = terms.listed_terms(counted_rows(spark, folder))
+    return terms.min_nonzeros(counts, terms.document_frequency(counts, MIN_DF), 20)
 
 
 def dict_filter(spark: SparkSession, folder: str) -> DataFrame:
@@ -170,34 +176,43 @@ def dict_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def corpus_sizes(spark: SparkSession, folder: str) -> DataFrame:
-    frequencies = doc_freqs(spark, folder)
+    counted = counted_rows(spark, folder)
+    frequencies = terms.document_frequency(terms.listed_terms(counted), MIN_DF)
     return frequencies.agg(
         F.count("*").alias("n_terms"), F.sum("df").alias("n_pairs"), F.sum("cf").alias("n_words")
-    ).withColumn("n_docs", row_count(word_rows(spark, folder)))
+    ).withColumn("n_docs", row_count(counted))
 
 
 def idf(spark: SparkSession, folder: str) -> DataFrame:
-    found = tfidf.inverse_document_frequency(doc_freqs(spark, folder), row_count(word_rows(spark, folder)))
+    counted = counted_rows(spark, folder)
+    frequencies = terms.document_frequency(terms.listed_terms(counted), MIN_DF)
+    found = tfidf.inverse_document_frequency(frequencies, row_count(counted))
     return found.select("term", "df", r6(F.col("idf")).alias("idf"))
 
 
 def weighted(weighting: str) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        out = tfidf.weigh_terms(
-            doc_terms(spark, folder), doc_freqs(spark, folder), row_count(word_rows(spark, folder)), weighting
-        )
+        counted = counted_rows(spark, folder)
+        counts = terms.listed_terms(counted)
+        out = tfidf.weigh_terms(counts, terms.document_frequency(counts, MIN_DF), row_count(counted), weighting)
         return out.select(*KEY, "term", r6(F.col("weight")).alias("weight"))
 
     return run
 
 
+def term_vectors(counted: DataFrame) -> tuple[DataFrame, tfidf.TermVectors]:
+    """Bounded vocabulary of counted rows, as a table and as vector maker."""
+    vocab = checkpointed(terms.vocabulary(terms.document_frequency(terms.listed_terms(counted), MIN_DF)))
+    return vocab, tfidf.TermVectors.of(vocab, counted.count())
+
+
 def weighted_vectors(weighting: str) -> Query:
     """The same weights from vectors over the bounded vocabulary, without a shuffle of terms."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        words = word_rows(spark, folder)
-        vectors = tfidf.TermVectors.of(vocabulary(spark, folder), words.count())
-        rows = vectors.weights(vectors.rows(words), weighting)
+        counted = counted_rows(spark, folder)
+        vectors = term_vectors(counted)[1]
+        rows = vectors.weights(vectors.rows(counted), weighting)
         return vectors.long(rows).select(*KEY, "term_id", r6(F.col("weight")).alias("weight"))
 
     return run
@@ -213,46 +228,58 @@ def tf_consistency(spark: SparkSession, folder: str) -> DataFrame:
 # --- topics and coherence -----------------------------------------------------------------------
 
 
-def language_topics(spark: SparkSession, folder: str) -> DataFrame:
-    """Ten terms with the greatest summed weight per language: ``(topic, rank, term, weight)``."""
+def topics_of(counted: DataFrame) -> DataFrame:
+    """Ten terms with the greatest summed weight per language."""
     key = (*KEY, "lang")
-    counts = terms.term_frequency(word_rows(spark, folder, carry=("lang",)), key)
+    counts = terms.listed_terms(counted, key)
     frequencies = terms.document_frequency(counts, MIN_DF)
-    weights = tfidf.weigh_terms(counts, frequencies, row_count(word_rows(spark, folder)), "relative", key)
+    weights = tfidf.weigh_terms(counts, frequencies, row_count(counted), "relative", key)
     sums = weights.groupBy(F.col("lang").alias("topic"), "term").agg(r6(F.sum("weight")).alias("weight"))
     return nearest.top_rows(sums, "topic", [F.desc("weight"), F.asc("term")], 10).select(
         "topic", "rank", "term", "weight"
     )
 
 
+def language_topics(spark: SparkSession, folder: str) -> DataFrame:
+    """``(topic, rank, term, weight)`` with a language as topic."""
+    return topics_of(counted_rows(spark, folder, carry=("lang",)))
+
+
+def topics_and_terms(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Language topics and the documents' terms, from one pass over the texts."""
+    counted = counted_rows(spark, folder, carry=("lang",))
+    return checkpointed(topics_of(counted)), terms.contained_terms(counted)
+
+
 def cooccurrence(spark: SparkSession, folder: str) -> DataFrame:
-    topics = checkpointed(language_topics(spark, folder))
-    found = coherence.cooccurrence(topics, doc_terms(spark, folder))
+    found = coherence.cooccurrence(*topics_and_terms(spark, folder))
     return found.select("topic", "wi", "wj", "n_both", "n_wj")
 
 
 def umass_by_topic(spark: SparkSession, folder: str) -> DataFrame:
-    topics = checkpointed(language_topics(spark, folder))
-    found = coherence.umass(topics, doc_terms(spark, folder))
+    found = coherence.umass(*topics_and_terms(spark, folder))
     return found.select("topic", r6(F.col("umass")).alias("umass"), "null_pairs")
 
 
 def umass_mean(spark: SparkSession, folder: str) -> DataFrame:
-    topics = checkpointed(language_topics(spark, folder))
-    found = coherence.umass(topics, doc_terms(spark, folder))
+    found = coherence.umass(*topics_and_terms(spark, folder))
     return found.agg(r6(F.sum("umass") / F.count("*")).alias("umass"))
 
 
 # --- word vectors -------------------------------------------------------------------------------
 
 
-def word_vectors(spark: SparkSession, folder: str) -> DataFrame:
+def numbered_vectors(vocab: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
     """The term with id i has the i-th vector of the table: ``(word, vec)``."""
     vectors = table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("term_id"), F.col("embedding").cast("array<double>").alias("vec")
     )
-    vocab = vocabulary(spark, folder).select("term_id", F.col("term").alias("word"))
-    return checkpointed(vectors.join(vocab, "term_id").select("word", "vec"))
+    names = vocab.select("term_id", F.col("term").alias("word"))
+    return stored(vectors.join(names, "term_id").select("word", "vec"))
+
+
+def word_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return numbered_vectors(vocabulary(spark, folder), spark, folder)
 
 
 def label_centres(spark: SparkSession, folder: str) -> np.ndarray:
@@ -269,18 +296,19 @@ def label_centres(spark: SparkSession, folder: str) -> np.ndarray:
 
 def doc_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """Mean of the documents' word vectors, weighted by tf times tf idf."""
-    words = word_rows(spark, folder)
-    vocab = checkpointed(vocabulary(spark, folder))
-    vectors = tfidf.TermVectors.of(vocab, words.count())
-    rows = vectors.weights(vectors.rows(words), "product")
-    known = checkpointed(embeddings.vocabulary_vectors(vocab, word_vectors(spark, folder)))
+    counted = counted_rows(spark, folder)
+    vocab, vectors = term_vectors(counted)
+    rows = vectors.weights(vectors.rows(counted), "product")
+    known = checkpointed(embeddings.vocabulary_vectors(vocab, numbered_vectors(vocab, spark, folder)))
     found = embeddings.document_vectors(rows, known, len(vectors.terms))
     return found.select(*KEY, F.posexplode("vec").alias("dim", "value")).withColumn("value", r6(F.col("value")))
 
 
 def embed_coherence(spark: SparkSession, folder: str) -> DataFrame:
-    topics = checkpointed(language_topics(spark, folder))
-    found = coherence.embedding_coherence(topics, word_vectors(spark, folder))
+    counted = counted_rows(spark, folder, carry=("lang",))
+    frequencies = terms.document_frequency(terms.listed_terms(counted), MIN_DF)
+    vectors = numbered_vectors(terms.vocabulary(frequencies), spark, folder)
+    found = coherence.embedding_coherence(checkpointed(topics_of(counted)), vectors)
     return found.select("topic", r6(F.col("coherence")).alias("coherence"), "unknown")
 
 
@@ -339,14 +367,14 @@ def nearest_words_euclidean(spark: SparkSession, folder: str) -> DataFrame:
     return raw_nearest_words(spark, folder, "sqeuclidean").withColumn("weight", r6(F.col("weight")))
 
 
-def language_profiles(spark: SparkSession, folder: str) -> DataFrame:
+def language_profiles(counted: DataFrame) -> DataFrame:
     """``(term, feature, w)``: a term's share of each language's words, for the terms of the vocabulary."""
-    words = word_rows(spark, folder, carry=("lang",)).select("lang", F.explode("words").alias("term"))
-    counts = terms.group_term_frequency(words, ("lang",))
-    totals = counts.groupBy("lang").agg(F.sum("tf").alias("total"))
+    pairs = terms.listed_terms(counted, (*KEY, "lang"))
+    counts = pairs.groupBy("lang", "term").agg(F.sum("tf").alias("tf"))
+    totals = checkpointed(pairs.groupBy("lang").agg(F.sum("tf").alias("total")))
     return (
-        counts.join(F.broadcast(totals), "lang")
-        .join(doc_freqs(spark, folder).select("term"), "term")
+        counts.join(small(totals), "lang")
+        .join(terms.document_frequency(pairs, MIN_DF).select("term"), "term")
         .select("term", F.col("lang").alias("feature"), (F.col("tf") / F.col("total")).alias("w"))
     )
 
@@ -361,7 +389,8 @@ def divergence_words(spark: SparkSession, folder: str) -> DataFrame:
     centres = mix.join(totals, "source").select(
         F.col("source").alias("topic"), F.col("lang").alias("feature"), (F.col("n") / F.col("total")).alias("c")
     )
-    return divergence_from(language_profiles(spark, folder), checkpointed(centres))
+    profiles = language_profiles(counted_rows(spark, folder, carry=("lang",)))
+    return divergence_from(profiles, checkpointed(centres))
 
 
 def divergence_from(profiles: DataFrame, centres: DataFrame, n: int = 10) -> DataFrame:
@@ -373,12 +402,12 @@ def divergence_from(profiles: DataFrame, centres: DataFrame, n: int = 10) -> Dat
     alone = symmetric_divergence(F.lit(0.0), F.col("c"))
     whole = centres.groupBy("topic").agg(F.sum(alone).alias("whole"))
     changes = (
-        profiles.join(F.broadcast(centres), "feature")
+        profiles.join(small(centres), "feature")
         .withColumn("change", symmetric_divergence(F.col("w"), F.col("c")) - alone)
         .groupBy("topic", "term")
         .agg(F.sum("change").alias("change"))
     )
-    scored = changes.join(F.broadcast(whole), "topic").select(
+    scored = changes.join(small(whole), "topic").select(
         "topic", "term", r6(F.col("change") + F.col("whole")).alias("weight")
     )
     return nearest.top_rows(scored, "topic", [F.asc("weight"), F.asc("term")], n).select(
@@ -424,7 +453,7 @@ def word_lexicon(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def looked_up(spark: SparkSession, folder: str) -> DataFrame:
-    return lemma.look_up(tagged_tokens(spark, folder), checkpointed(word_lexicon(spark, folder)))
+    return lemma.look_up(tagged_tokens(spark, folder), word_lexicon(spark, folder))
 
 
 def lemmatise(spark: SparkSession, folder: str) -> DataFrame:
@@ -577,7 +606,7 @@ def svd_values(spark: SparkSession, folder: str) -> DataFrame:
 
 def lsa(name: str) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return workflows.analyse("lsa", corpus(spark, folder), 5, rank=10, max_iter=20)[name]
+        return workflows.analyse("lsa", corpus(spark, folder), 5, rank=10, max_iter=20, tables=(name,))[name]
 
     return run
 

@@ -12,7 +12,8 @@ from toposcope.functions.vectors import weighted_rows
 from toposcope.operators.terms import KEY
 from toposcope.settings import small
 
-MATRIX_BYTES = 1 << 30
+MATRIX_BYTES = 512 << 20  # per Python worker
+JOIN_BYTES = 4 << 30  # per executor
 
 
 def vocabulary_vectors(vocab: DataFrame, word_vectors: DataFrame) -> DataFrame:
@@ -43,12 +44,12 @@ def document_vectors(
     """``(key, vec)``: weighted mean of the known terms' vectors; a zero vector where no term is known.
 
     ``rows`` has ``ids`` and ``weights`` (see ``TermVectors.weights``). If the vocabulary's vectors fit
-    ``max_bytes`` they are shared with the tasks and no row moves; otherwise terms are joined with
-    their vectors and averaged by a shuffle on the document key. Both give the same values.
+    ``max_bytes`` they are shared with the tasks and no row moves; otherwise see ``joined_means``.
+    Both give the same values.
     """
     matrix = word_matrix(term_vectors, n_terms, max_bytes)
     if matrix is None:
-        return _joined_vectors(rows, term_vectors, key)
+        return joined_means(rows, term_vectors, n_terms, key).select(*key, "vec")
     summed = rows.select(
         *key, weighted_rows(rows.sparkSession, F.col("ids"), F.col("weights"), matrix).alias("sums")
     )
@@ -59,21 +60,32 @@ def document_vectors(
     )
 
 
-def _joined_vectors(rows: DataFrame, term_vectors: DataFrame, key: tuple[str, ...]) -> DataFrame:
+def joined_means(
+    rows: DataFrame, term_vectors: DataFrame, n_terms: int, key: tuple[str, ...], join_bytes: int = JOIN_BYTES
+) -> DataFrame:
+    """``(key, vec, total)``: weighted means by a join of (document, term) pairs with the terms' vectors.
+
+    Up to ``join_bytes`` the vectors are a broadcast join's table (one copy per executor, not per
+    Python worker); beyond that both sides are shuffled on the term. A document's pairs are next to
+    each other, so averaging per task leaves about one vector per document to shuffle.
+    """
     pairs = rows.select(*key, F.inline(F.arrays_zip(F.col("ids").alias("term_id"), F.col("weights").alias("weight"))))
-    width = F.lit(term_vectors.agg(F.max(F.size("vec"))).first()[0] or 0)
+    width = term_vectors.agg(F.max(F.size("vec"))).first()[0] or 0
+    vectors = term_vectors.select("term_id", array_to_vector("vec").alias("v"))
+    if n_terms * width * 8 <= join_bytes:
+        vectors = F.broadcast(vectors)
     means = (
         pairs.where("weight <> 0")
-        .join(term_vectors.select("term_id", array_to_vector("vec").alias("v")), "term_id")
+        .join(vectors, "term_id")
         .groupBy(*key)
-        .agg(Summarizer.mean(F.col("v"), F.col("weight")).alias("v"))
-        .select(*key, vector_to_array("v").alias("vec"))
+        .agg(Summarizer.mean(F.col("v"), F.col("weight")).alias("v"), F.sum("weight").alias("total"))
+        .select(*key, vector_to_array("v").alias("vec"), "total")
     )
-    zero = F.array_repeat(F.lit(0.0), width)
+    zero = F.array_repeat(F.lit(0.0), F.lit(width))
     return (
         rows.select(*key)
         .join(means, list(key), "left")
-        .select(*key, F.coalesce("vec", zero).alias("vec"))
+        .select(*key, F.coalesce("vec", zero).alias("vec"), F.coalesce("total", F.lit(0.0)).alias("total"))
     )
 
 

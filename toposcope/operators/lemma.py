@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from toposcope.functions.text import cut_at, let
-from toposcope.settings import small
+from toposcope.settings import small, stored
 from toposcope.sources.lexicon import SENTENCE_ENDS, STOP_TAGS, TREEBANK_TAGS
 
 LINE_KEY = ("doc_id", "line_no")
@@ -49,7 +49,7 @@ def look_up(tagged: DataFrame, lexicon: DataFrame, stop_tags: list[str] = STOP_T
     ``skipped`` (numbers and short tokens). ``match``: ``pair``, ``form`` or ``none`` for lemma tokens.
     """
     tokens = clean_tokens(tagged)
-    words = small(lexicon_by_form(lexicon), 5_000_000)
+    words = small(stored(lexicon_by_form(lexicon)))
     usable = ~F.col("raw").rlike("^[0-9]+$") & (F.length("raw") > 2)
     fate = (
         F.when(F.coalesce(F.col("pos").isin(stop_tags), F.lit(False)), "removed")

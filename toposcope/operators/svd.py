@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from toposcope.functions.vectors import norm, top_of, weighted_rows
+from toposcope.operators.embeddings import MATRIX_BYTES, joined_means
 from toposcope.operators.nearest import top_rows
 from toposcope.operators.terms import KEY
 from toposcope.settings import term_table
@@ -63,13 +64,19 @@ class Decomposition:
             "topic", "rank", "term_id", "term", "weight"
         )
 
-    def project(self, rows: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
+    def project(self, rows: DataFrame, key: tuple[str, ...] = KEY, max_bytes: int = MATRIX_BYTES) -> DataFrame:
         """``(key, vec, size)``: document times V (which is U diag(sigma)) and the document's length.
 
-        ``rows`` has ``ids`` and ``weights``.
+        ``rows`` has ``ids`` and ``weights``. V is shared with the tasks if it fits ``max_bytes``,
+        otherwise joined.
         """
-        product = weighted_rows(rows.sparkSession, F.col("ids"), F.col("weights"), self.v)
-        return rows.select(*key, product.alias("vec"), norm(F.col("weights")).alias("size"))
+        size = norm(F.col("weights")).alias("size")
+        if self.v.nbytes <= max_bytes:
+            product = weighted_rows(rows.sparkSession, F.col("ids"), F.col("weights"), self.v)
+            return rows.select(*key, product.alias("vec"), size)
+        means = joined_means(rows, self.term_vectors(rows.sparkSession), len(self.terms), key)
+        sums = means.select(*key, F.transform("vec", lambda x: x * F.col("total")).alias("vec"))
+        return sums.join(rows.select(*key, size), list(key))
 
     def documents(self, projected: DataFrame, key: tuple[str, ...] = KEY, n: int = 10, ascending: bool = False) -> DataFrame:
         """``(key, rank, topic, weight)``: concept weights of a document divided by its length, best ``n``."""

@@ -22,6 +22,16 @@ def term_frequency(paragraphs: DataFrame, key: tuple[str, ...] = KEY, words: str
     return paragraphs.select(*key, F.inline(term_counts(F.col(words))))
 
 
+def listed_terms(counted: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
+    """``(key, term, tf)`` of counted rows (see ``count_terms``)."""
+    return counted.select(*key, F.inline("terms"))
+
+
+def contained_terms(counted: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
+    """``(key, term)`` of counted rows; the counts are not read."""
+    return counted.select(*key, F.explode("terms.term").alias("term"))
+
+
 def group_term_frequency(words: DataFrame, key: tuple[str, ...]) -> DataFrame:
     """``(key, term, tf)`` of a table with one word per row, for groups that span rows."""
     return words.groupBy(*key, "term").agg(F.count("*").alias("tf"))
@@ -48,11 +58,25 @@ def vocabulary(doc_freq: DataFrame, max_terms: int | None = MAX_TERMS) -> DataFr
     order = [F.desc("cf"), F.asc("term")]
     if max_terms is None:
         return number_rows(doc_freq, order, "term_id").select("term_id", "term", "df", "cf")
-    # The limit bounds what the single ranking task sees.
-    kept = doc_freq.orderBy(*order).limit(max_terms)
+    kept = most_frequent(doc_freq, "cf", max_terms)
+    # At most max_terms rows reach the ranking task.
     return kept.select((F.row_number().over(Window.orderBy(*order)) - 1).alias("term_id"), "term", "df", "cf")
 
 
+def most_frequent(doc_freq: DataFrame, by: str, n: int) -> DataFrame:
+    """The ``n`` terms with the greatest ``by``, ties by term.
+
+    A limit over a sort lets every task send n rows to one. A coarse histogram (a few hundred rows)
+    gives a frequency that at least n terms reach, so that little more than n rows are sent in all.
+    """
+    level = F.floor(F.log2(F.col(by)) * 16).cast("int")
+    from_top = Window.orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, -1)
+    levels = doc_freq.groupBy(level.alias("level")).agg(F.count("*").alias("n"))
+    needed = levels.withColumn("above", F.coalesce(F.sum("n").over(from_top), F.lit(0))).where(F.col("above") < n)
+    lowest = needed.agg(F.min("level")).scalar()
+    return doc_freq.where(level >= lowest).orderBy(F.desc(by), F.asc("term")).limit(n)
+
+
 def number_rows(df: DataFrame, order: list, name: str) -> DataFrame:
     """Number the rows of a total order from 0 without bringing them into one task.
 
@@ -78,8 +102,9 @@ def number_rows(df: DataFrame, order: list, name: str) -> DataFrame:
 
 def trim_vocabulary(doc_freq: DataFrame, n: int, keep: str = "most") -> DataFrame:
     """The ``n`` terms with the highest (``most``) or lowest (``least``) document frequency."""
-    order = F.desc("df") if keep == "most" else F.asc("df")
-    return doc_freq.orderBy(order, F.asc("term")).limit(n)
+    if keep == "most":
+        return most_frequent(doc_freq, "df", n)
+    return doc_freq.orderBy(F.asc("df"), F.asc("term")).limit(n)
 
 
 def filter_extremes(
@@ -87,7 +112,7 @@ def filter_extremes(
 ) -> DataFrame:
     """Terms in at least ``no_below`` documents and at most a share ``no_above``, then the ``keep_n`` most frequent."""
     kept = doc_freq.where((F.col("df") >= no_below) & (F.col("df") <= F.lit(n_docs) * no_above))
-    return kept if keep_n is None else kept.orderBy(F.desc("df"), F.asc("term")).limit(keep_n)
+    return kept if keep_n is None else most_frequent(kept, "df", keep_n)
 
 
 def normalise_words(docs: DataFrame, key: tuple[str, ...], text: str = "text") -> DataFrame:

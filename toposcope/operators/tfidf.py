@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from toposcope.functions.text import let, term_counts
+from toposcope.functions.text import let
 from toposcope.functions.vectors import known_terms, norm, sparse_vector
 from toposcope.functions.weights import idf, relative_tfidf, tf2idf
 from toposcope.operators.terms import KEY, MAX_TERMS
@@ -70,9 +70,12 @@ class TermVectors:
         table = table.sort_by("term_id")
         return cls(table["term"].to_pylist(), table["idf"].to_numpy(), n_docs)
 
-    def rows(self, paragraphs: DataFrame, key: tuple[str, ...] = KEY, min_nonzeros: int = 0) -> DataFrame:
-        """``(key, ids, counts, idfs)`` of the documents with more than ``min_nonzeros`` vocabulary terms."""
-        counted = paragraphs.select(*key, term_counts(F.col("words")).alias("terms"))
+    def rows(self, counted: DataFrame, key: tuple[str, ...] = KEY, min_nonzeros: int = 0) -> DataFrame:
+        """``(key, ids, counts, idfs)`` of the documents with more than ``min_nonzeros`` vocabulary terms.
+
+        ``counted`` comes from ``terms.count_terms``.
+        """
+        counted = counted.select(*key, "terms")
         found = known_terms(counted.sparkSession, F.col("terms.term"), self.terms, self.idf)
         entries = F.filter(
             F.zip_with(

@@ -21,9 +21,9 @@ from toposcope.operators.nearest import nearest_centres, nearest_rows
 from toposcope.operators.paragraphs import remove_stop_words, segment_documents
 from toposcope.operators.split import train_held_out
 from toposcope.operators.svd import Decomposition
-from toposcope.operators.terms import KEY, MAX_TERMS, document_frequency, term_frequency, vocabulary
+from toposcope.operators.terms import KEY, MAX_TERMS, count_terms, document_frequency, listed_terms, vocabulary
 from toposcope.operators.tfidf import TermVectors
-from toposcope.settings import checkpointed, spread
+from toposcope.settings import checkpointed, spread, stored
 
 DISTANCES = {"cosine": "cosine", "euclidean": "sqeuclidean"}
 
@@ -83,13 +83,13 @@ def prepare_paragraphs(
     case_sensitive: bool = False,
     key: tuple[str, ...] = KEY,
 ) -> Corpus:
-    """Stop words out, vocabulary, ``tf`` and ``tfidf``. Only the vocabulary counts are shuffled."""
+    """Stop words out, terms counted and stored, vocabulary. Only the vocabulary counts are shuffled."""
     words = remove_stop_words(paragraphs.select(*key, "words"), stop_words, case_sensitive)
-    words = words.persist(StorageLevel.MEMORY_AND_DISK)
-    n_docs = words.count()
-    vocab = checkpointed(vocabulary(document_frequency(term_frequency(words, key), min_df), max_terms))
+    counted = stored(count_terms(words))
+    n_docs = counted.count()
+    vocab = checkpointed(vocabulary(document_frequency(listed_terms(counted, key), min_df), max_terms))
     vectors = TermVectors.of(vocab, n_docs, max_terms)
-    corpus = Corpus(vectors.rows(words, key, min_nonzeros), vocab, vectors, key, [words])
+    corpus = Corpus(vectors.rows(counted, key, min_nonzeros), vocab, vectors, key)
     corpus.keep(corpus.rows)
     return corpus
 
@@ -262,27 +262,47 @@ def analyse_lda_clusters(
     }
 
 
+LSA_TABLES = ("raw_topics", "topics", "svd_topics", "doc_topics", "concept_documents", "singular_values")
+
+
 def analyse_lsa(
-    corpus: Corpus, k: int, rank: int = 200, n: int = 10, top: int = 10, ascending: bool = False, **kmeans
+    corpus: Corpus,
+    k: int,
+    rank: int = 200,
+    n: int = 10,
+    top: int = 10,
+    ascending: bool = False,
+    tables: tuple[str, ...] = LSA_TABLES,
+    **kmeans,
 ) -> dict[str, DataFrame]:
-    """Words of raw clusters, of concepts and of concept-space clusters; topic map; singular values."""
+    """Words of raw clusters, of concepts and of concept-space clusters; topic map; singular values.
+
+    ``tables`` selects results, so that no model is fitted for a result that is not wanted.
+    """
     spark, key = corpus.spark, corpus.key
-    raw_clusters = models.fit_kmeans(corpus.vector("ntc", "unit"), k, "unit", **kmeans)
+    out: dict[str, DataFrame] = {}
+    if "raw_topics" in tables:
+        clusters = models.fit_kmeans(corpus.vector("ntc", "unit"), k, "unit", **kmeans)
+        out["raw_topics"] = models.centre_terms(spark, models.centre_matrix(clusters), corpus.terms, n)
+    if set(tables) == {"raw_topics"}:
+        return out
 
     svd = decompose(corpus, rank)
-    projected = corpus.keep(svd.project(corpus.weighted("relative"), key))
-    points = models.with_vector(projected, "vec", "point")
-    points = corpus.keep(Normalizer(inputCol="point", outputCol="unit", p=2.0).transform(points).select("unit"))
-    svd_clusters = models.fit_kmeans(points, k, "unit", **kmeans)
-    words = svd.term_vectors(spark, scaled=True)
-    return {
-        "raw_topics": models.centre_terms(spark, models.centre_matrix(raw_clusters), corpus.terms, n),
+    projected = svd.project(corpus.weighted("relative"), key)
+    if {"svd_topics", "doc_topics", "concept_documents"} & set(tables):
+        projected = corpus.keep(projected)
+    if "svd_topics" in tables:
+        points = models.with_vector(projected, "vec", "point")
+        points = corpus.keep(Normalizer(inputCol="point", outputCol="unit", p=2.0).transform(points).select("unit"))
+        centres = models.centre_matrix(models.fit_kmeans(points, k, "unit", **kmeans))
+        out["svd_topics"] = nearest_rows(svd.term_vectors(spark, scaled=True), ("term", "term_id"), "vec", centres, n)
+    out |= {
         "topics": svd.topics(spark, k, n),
-        "svd_topics": nearest_rows(words, ("term", "term_id"), "vec", models.centre_matrix(svd_clusters), n),
         "doc_topics": svd.documents(projected, key, top, ascending),
         "concept_documents": svd.concept_documents(projected, key, n),
         "singular_values": svd.values(spark),
     }
+    return {name: table for name, table in out.items() if name in tables}
 
 
 def analyse_embedding(
