@@ -75,6 +75,18 @@ def test_ranking_is_limited_before_the_shuffle(spark):
     assert plan(catalogue.language_topics(spark, FOLDER)).count("WindowGroupLimit") == 2
 
 
+def test_python_functions_run_once_per_row(spark):
+    assert plan(catalogue.nearest_words(spark, FOLDER)).count("EvalPython") == 1
+    assert plan(catalogue.nearest_clusters(spark, FOLDER)).count("EvalPython") == 1
+    # Term look-up and weighted sum.
+    assert plan(catalogue.doc_vectors(spark, FOLDER)).count("EvalPython") == 2
+
+
+def test_hits_are_read_once(spark):
+    text = plan(catalogue.umass_by_topic(spark, FOLDER))
+    assert text.count("FileScan parquet") == 1
+
+
 def test_no_cartesian_product(spark):
     for name in ("cooccurrence", "umass_by_topic", "divergence_words", "embed_coherence", "topic_merge", "nearest_words"):
         text = plan(entry.queries()[name](spark, FOLDER))

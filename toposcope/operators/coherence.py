@@ -6,7 +6,7 @@ broadcast. Only documents' hits on these terms are grouped, never all term pairs
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from toposcope.functions.vectors import cosine
@@ -16,11 +16,11 @@ from toposcope.settings import small
 MASK_BITS = 62
 
 
-def topic_pairs(topics: DataFrame) -> DataFrame:
-    """``(topic, i, j, wi, wj)``: each term of a topic with every better-ranked term of it."""
+def topic_pairs(topics: DataFrame, with_self: bool = False) -> DataFrame:
+    """``(topic, i, j, wi, wj)``: each term of a topic with every better-ranked term of it (and itself)."""
     later = topics.select("topic", F.col("rank").alias("i"), F.col("term").alias("wi"))
     earlier = topics.select("topic", F.col("rank").alias("j"), F.col("term").alias("wj"))
-    return later.join(small(earlier), "topic").where("j < i")
+    return later.join(small(earlier), "topic").where("j <= i" if with_self else "j < i")
 
 
 def topic_hits(topics: DataFrame, doc_term: DataFrame, key: tuple[str, ...] = KEY, n: int = 10) -> DataFrame:
@@ -50,21 +50,20 @@ def cooccurrence(topics: DataFrame, doc_term: DataFrame, key: tuple[str, ...] =
             F.filter(F.col("ranks"), lambda j: j <= i), lambda j: F.struct(i.alias("i"), j.alias("j"))
         ),
     )
-    # i = j counts the documents of one term.
     counted = (
         hits.select("topic", "n_docs", F.inline(F.flatten(inner)))
         .groupBy("topic", "i", "j")
         .agg(F.sum("n_docs").alias("n"))
     )
-    both = counted.where("i <> j").withColumnRenamed("n", "n_both")
-    single = counted.where("i = j").select("topic", "j", F.col("n").alias("n_wj"))
+    # The pair (j, j) holds the documents of wj; reading it by a window keeps this one pass over the hits.
+    alone = F.max(F.when(F.col("i") == F.col("j"), F.col("n"))).over(Window.partitionBy("topic", "j"))
     return (
-        topic_pairs(topics)
-        .join(both, ["topic", "i", "j"], "left")
-        .join(single, ["topic", "j"], "left")
-        .select("topic", "i", "j", "wi", "wj", F.coalesce("n_both", F.lit(0)).alias("n_both"),
-                F.coalesce("n_wj", F.lit(0)).alias("n_wj"))
-    )
+        topic_pairs(topics, with_self=True)
+        .join(counted, ["topic", "i", "j"], "left")
+        .withColumn("n_wj", F.coalesce(alone, F.lit(0)))
+        .where("i <> j")
+        .select("topic", "i", "j", "wi", "wj", F.coalesce("n", F.lit(0)).alias("n_both"), "n_wj")
+    )
 
 
 def umass(

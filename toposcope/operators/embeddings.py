@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from toposcope.functions.vectors import weighted_rows
 from toposcope.operators.terms import KEY
-from toposcope.settings import small
+from toposcope.settings import computed_once, small
 
 MATRIX_BYTES = 512 << 20  # per Python worker
 JOIN_BYTES = 4 << 30  # per executor
@@ -50,14 +50,12 @@ def document_vectors(
     matrix = word_matrix(term_vectors, n_terms, max_bytes)
     if matrix is None:
         return joined_means(rows, term_vectors, n_terms, key).select(*key, "vec")
-    summed = rows.select(
-        *key, weighted_rows(rows.sparkSession, F.col("ids"), F.col("weights"), matrix).alias("sums")
-    )
+    product = weighted_rows(rows.sparkSession, F.col("ids"), F.col("weights"), matrix)
+    summed = computed_once(rows.select(*key, "ids", "weights"), product, "sums")
     total = F.element_at("sums", -1)
     parts = F.slice("sums", 1, matrix.shape[1] - 1)
-    return summed.select(
-        *key, F.transform(parts, lambda x: F.when(total != 0, x / total).otherwise(F.lit(0.0))).alias("vec")
-    )
+    means = F.transform(parts, lambda x: F.when(total != 0, x / total).otherwise(F.lit(0.0)))
+    return computed_once(summed, means, "vec").select(*key, "vec")
 
 
 def joined_means(

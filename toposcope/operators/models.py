@@ -107,7 +107,7 @@ def centre_terms(spark: SparkSession, centres: np.ndarray, terms: list[str], n:
 def divergent_terms(profiles: DataFrame, centres: np.ndarray, n: int = 10) -> DataFrame:
     """``(topic, rank, term_id, term, weight)``: the ``n`` terms with the smallest symmetric divergence."""
     scores = centre_scores(profiles.sparkSession, F.col("profile"), centres, "divergence")
-    long = profiles.withColumn("_s", scores).select("term_id", "term", F.posexplode("_s").alias("topic", "weight"))
+    long = profiles.withColumn("_s", scores).select("term_id", "term", F.posexplode_outer("_s").alias("topic", "weight"))
     return top_rows(long, "topic", [F.asc("weight"), F.asc("term")], n).select(
         "topic", "rank", "term_id", "term", "weight"
     )

@@ -20,7 +20,7 @@ def nearest_centres(
     """
     scores = centre_scores(rows.sparkSession, F.col(vector), centres, metric)
     best = top_of(F.col("_scores"), n, metric in CLOSER_IS_LESS)
-    return rows.withColumn("_scores", scores).select(*key, F.inline(best))
+    return rows.withColumn("_scores", scores).select(*key, F.inline_outer(best))
 
 
 def nearest_rows(
@@ -28,10 +28,11 @@ def nearest_rows(
 ) -> DataFrame:
     """``(topic, rank, key, weight)``: the ``n`` best rows of each centre, ties by key.
 
+    (The outer generator keeps Spark from adding a filter that would score every row a second time.)
     Each task ranks its own rows first (window group limit), so only n rows per task and centre move.
     """
     scores = centre_scores(rows.sparkSession, F.col(vector), centres, metric)
-    long = rows.withColumn("_scores", scores).select(*key, F.posexplode("_scores").alias("topic", "weight"))
+    long = rows.withColumn("_scores", scores).select(*key, F.posexplode_outer("_scores").alias("topic", "weight"))
     long = long.withColumn("weight", F.nanvl("weight", F.lit(None).cast("double")))
     order = F.asc_nulls_last("weight") if metric in CLOSER_IS_LESS else F.desc_nulls_last("weight")
     return top_rows(long, "topic", [order, *key], n).select("topic", "rank", *key, "weight")

@@ -15,7 +15,7 @@ from toposcope.functions.vectors import norm, top_of, weighted_rows
 from toposcope.operators.embeddings import MATRIX_BYTES, joined_means
 from toposcope.operators.nearest import top_rows
 from toposcope.operators.terms import KEY
-from toposcope.settings import term_table
+from toposcope.settings import computed_once, term_table
 
 
 @dataclass(frozen=True)
@@ -73,7 +73,7 @@ class Decomposition:
         size = norm(F.col("weights")).alias("size")
         if self.v.nbytes <= max_bytes:
             product = weighted_rows(rows.sparkSession, F.col("ids"), F.col("weights"), self.v)
-            return rows.select(*key, product.alias("vec"), size)
+            return computed_once(rows.select(*key, "ids", "weights", size), product, "vec").select(*key, "vec", "size")
         means = joined_means(rows, self.term_vectors(rows.sparkSession), len(self.terms), key)
         sums = means.select(*key, F.transform("vec", lambda x: x * F.col("total")).alias("vec"))
         return sums.join(rows.select(*key, size), list(key))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from toposcope.functions.text import alphabetic_words, term_counts
-from toposcope.settings import checkpointed
+from toposcope.settings import checkpointed, stored
 
 KEY = ("doc_id", "para_no")
 MAX_TERMS = 1 << 18  # the vector models' default vocabulary size
@@ -68,7 +68,9 @@ def most_frequent(doc_freq: DataFrame, by: str, n: int) -> DataFrame:
 
     A limit over a sort lets every task send n rows to one. A coarse histogram (a few hundred rows)
     gives a frequency that at least n terms reach, so that little more than n rows are sent in all.
+    The frequencies are stored first: they are read twice, and may rest on a pass over all texts.
     """
+    doc_freq = stored(doc_freq)
     level = F.floor(F.log2(F.col(by)) * 16).cast("int")
     from_top = Window.orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, -1)
     levels = doc_freq.groupBy(level.alias("level")).agg(F.count("*").alias("n"))

@@ -61,9 +61,9 @@ def computed_once(df: DataFrame, column: Column, name: str) -> DataFrame:
     """Add a costly column (a vector transform, say) so that later uses do not compute it again.
 
     Spark merges neighbouring projections and repeats the expression for each use; it does not merge
-    across a generator.
+    across a generator. (An outer generator, as for others Spark adds a filter on the array.)
     """
-    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(column)).alias(name))
+    return df.select(*[c for c in df.columns if c != name], F.explode_outer(F.array(column)).alias(name))
 
 
 def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

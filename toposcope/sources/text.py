@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from toposcope.functions.text import lines_of
-from toposcope.settings import checkpointed
+from toposcope.settings import checkpointed, small
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -48,6 +48,6 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
             F.coalesce(F.sum("n_lines").over(before), F.lit(0)).alias("offset"),
         )
     )
-    return tagged.join(splits, ["doc_id", "split_start"]).select(
+    return tagged.join(small(checkpointed(splits)), ["doc_id", "split_start"]).select(
         "doc_id", (F.col("position") - F.col("first_position") + F.col("offset")).alias("line_no"), "line"
     )
