@@ -156,7 +156,7 @@ def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def planes(values: np.ndarray) -> bytes:
     """Numbers as byte planes: small ones leave planes of zeros, which shuffle compression removes."""
-    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
 
 
 def from_planes(data: memoryview, n: int, kind: type) -> np.ndarray:
