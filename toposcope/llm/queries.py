@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from toposcope.llm import quality, substring
+from toposcope.llm import jaccard, quality, substring
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -25,9 +25,15 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.apply_policy(rows, quality.CURRENT).withColumn("base_failed", ~quality.passes(quality.BASE)).drop("policy")
 
 
+def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose 4-word shingles have a Jaccard similarity of 0.85 or more."""
+    return jaccard.similar_groups(table(spark, folder, "documents"), width=4, percent=85).drop("node")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op6_jaccard_join": op6_jaccard_join,
 }
 
 SQL = {
@@ -54,4 +60,14 @@ m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''
 b AS (SELECT *, (n_words < 20)::BIGINT + 2 * (100 * n_repeat_words > 30 * n_words)::BIGINT + 4 * (100 * n_symbols > 20 * n_words)::BIGINT + 8 * (100 * n_stutter > 30 * n_words)::BIGINT
   + 16 * (100 * n_upper > 60 * (n_upper + n_lower))::BIGINT + 32 * (100 * n_dup_lines > 60 * n_lines)::BIGINT + 64 * (word_chars > 15 * n_words)::BIGINT + 128 * (2 * n_words > word_chars)::BIGINT AS fail_bits FROM m)
 SELECT *, fail_bits & 3 <> 0 AS base_failed, fail_bits & 31 = 0 AS kept FROM b""",
+    "op6_jaccard_join": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, s FROM (
+  SELECT doc_id, array_to_string(ws[i:i + 3], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 2)) AS i FROM w WHERE len(ws) >= 4)
+  UNION ALL SELECT doc_id, array_to_string(ws, ' ') || ' ' FROM w WHERE len(ws) BETWEEN 1 AND 3)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s AS a JOIN s AS b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pair JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+SELECT a AS doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(b) AS component_id FROM reach LEFT JOIN n ON n.doc_id = a GROUP BY a""",
 }
