@@ -28,6 +28,7 @@ from toposcope.settings import stored
 KEY_BITS = 40  # of a shingle's hash, to count by; a clash only changes the order of shingles
 LIST_COST = 8  # of a list entry with its share of the checks, against 1 for a subset
 MOST_ENUMERATED = 40
+FILTER_BITS = 1 << 24  # 2 MB
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -277,11 +278,28 @@ def light_links(texts: DataFrame, width: int, percent: int, light: int) -> DataF
     return rows.join(stored(sizes), ["key", "common", "size"]).where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
 
 
-def _set_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for chunk in W.text_chunks(batches):
+def _wanted_bits(ids: DataFrame, bits: int) -> np.ndarray:
+    """A one-hash Bloom filter of ``bits`` bits over ``doc_id``, as bytes; its size doesn't grow with the data."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    words = ids.select((slot / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {bits}) % 64 as int))").alias("bit"))
+    got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, dtype=np.int64)
+    out[got["word"].to_numpy()] = got["bits"].to_numpy()
+    return out
+
+
+def _set_rows(batches: Iterator[pa.RecordBatch], wanted: object, width: int) -> Iterator[pa.RecordBatch]:
+    words = wanted.value
+    for batch in batches:
+        slot = batch.column("slot").to_numpy(zero_copy_only=False)
+        hit = (words[slot // 64].view(np.uint64) >> (slot % 64).astype(np.uint64)) & np.uint64(1) == 1
+        yield from _sets_of(batch.filter(pa.array(hit)), width)
+
+
+def _sets_of(batch: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
+    for chunk in W.text_chunks([batch]):
         shingles, offsets, ids = _sets(chunk, width)
-        same = np.flatnonzero(ids == chunk.column("node").to_numpy(zero_copy_only=False))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[same]), pa.array([shingles[offsets[r] : offsets[r + 1]].tobytes() for r in same], pa.binary())], names=["node", "shingles"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([shingles[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], names=["node", "shingles"])
 
 
 def _check(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -297,12 +315,17 @@ def _check(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
 
 
 def _checked(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` of nodes whose whole sets are linked."""
+    """The pairs ``(a, b)`` of nodes whose whole sets are linked.
+
+    Whole texts stay where they are: a filter of fixed size tells the tasks that read them which documents
+    (one per node) to make sets of; what it lets through by chance meets no pair.
+    """
     pairs = stored(pairs)
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node", "left_semi")
-    sets = texts.join(wanted, "doc_id").mapInArrow(partial(_set_rows, width=width), "node long, shingles binary")
-    sets = stored(sets)
+    bits = texts.sparkSession.sparkContext.broadcast(_wanted_bits(wanted, FILTER_BITS))
+    slots = texts.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
+    sets = stored(slots.mapInArrow(partial(_set_rows, wanted=bits, width=width), "node long, shingles binary"))
     one, other = sets.toDF("a", "one"), sets.toDF("b", "other")
     return pairs.join(one, "a").join(other, "b").select("a", "b", "one", "other").mapInArrow(partial(_check, percent=percent), "a long, b long").distinct()
 
