@@ -18,7 +18,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from toposcope.llm import words as W
@@ -201,13 +201,26 @@ def _entries(batches: Iterator[pa.RecordBatch], frequent: object, width: int, pe
         yield pa.RecordBatch.from_arrays([pa.array(bucket[low]), pa.array(payload, pa.binary())], names=["bucket", "payload"])
 
 
-def possible(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets of sizes n and m can be linked if their first common shingle is at places i and j."""
-    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (1 + np.minimum(n - i - 1, m - j - 1) >= overlap_needed(n, m, percent))
+def _possible(one: str, other: str, percent: int) -> Column:
+    """Whether the sets of two entries of a list can be linked, if it is the list of their first common shingle."""
+    n, i, m, j = F.col(f"{one}.size"), F.col(f"{one}.place"), F.col(f"{other}.size"), F.col(f"{other}.place")
+    needed = F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (1 + F.least(n - i - 1, m - j - 1) >= needed)
+
+
+def _led(lists: DataFrame, percent: int) -> DataFrame:
+    """Entries with the leader of their list, and whether the two ``fits``.
+
+    The leader is the member with most entries in shared lists. The text that others are changed copies of has
+    no shingles of its own among its rarest, so it leads, and one comparison each joins its copies.
+    """
+    weights = lists.groupBy("node").agg(F.count("*").alias("weight"))
+    heads = lists.join(weights, "node").groupBy("token").agg(F.max(F.struct("weight", "node", "size", "place")).alias("head"))
+    return stored(lists.join(stored(heads), "token").withColumn("own", F.struct("size", "place")).withColumn("fits", _possible("own", "head", percent)).withColumn("leader", F.col("head.node")).drop("own", "head"))
 
 
 def _lists(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Inverted lists of one bucket: entries of lists with two nodes or more, each with the list's leader."""
+    """Inverted lists of one bucket: entries of lists with two nodes or more."""
     token, node, size, place = [], [], [], []
     for batch in batches:
         for payload in batch.column("payload"):
@@ -228,17 +241,15 @@ def _lists(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
     order, token, node = order[new], token[new], node[new]
     low, high = _split(token)
     length = np.repeat(high - low, high - low)
-    leader = np.repeat(low, high - low)
     more = length > 1
-    size, place = size[order].astype(np.int64), place[order].astype(np.int64)
-    fits = possible(size, place, size[leader], place[leader], percent)
+    size, place = size[order], place[order]
     for a in range(0, len(token), 1 << 18):
         m = more[a : a + (1 << 18)]
         own = np.flatnonzero(m) + a
         if len(own):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(token[own].view(np.int64)), pa.array(node[own]), pa.array(size[own].astype(np.int32)), pa.array(place[own].astype(np.int32)), pa.array(length[own].astype(np.int32)), pa.array(node[leader[own]]), pa.array(fits[own])],
-                names=["token", "node", "size", "place", "length", "leader", "fits"],
+                [pa.array(token[own].view(np.int64)), pa.array(node[own]), pa.array(size[own].astype(np.int32)), pa.array(place[own].astype(np.int32)), pa.array(length[own].astype(np.int32))],
+                names=["token", "node", "size", "place", "length"],
             )
 
 
@@ -353,8 +364,9 @@ def similar_groups(docs: DataFrame, width: int = 4, percent: int = 85, least_fre
     lists = stored(
         texts.mapInArrow(partial(_entries, frequent=frequent, width=width, percent=percent, light=light, buckets=buckets), "bucket int, payload binary")
         .repartitionById(buckets, F.col("bucket"))
-        .mapInArrow(partial(_lists, percent=percent), "token long, node long, size int, place int, length int, leader long, fits boolean")
+        .mapInArrow(partial(_lists, percent=percent), "token long, node long, size int, place int, length int")
     )
+    lists = _led(lists, percent)
     near = lists.where("fits and node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     links = stored(light_links(texts, width, percent, light).unionByName(_checked(near, texts, linked, width, percent)))
     label = components(links)
@@ -364,11 +376,9 @@ def similar_groups(docs: DataFrame, width: int = 4, percent: int = 85, least_fre
     apart = stored(at.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most"))
     open_ = stored(at.join(apart, "token", "left_semi").select("token", "node", "size", "place", "label", "leader"))
     one, other = open_.alias("one"), open_.alias("other")
-    n, m, i, j = F.col("one.size"), F.col("other.size"), F.col("one.place"), F.col("other.place")
-    fits = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (1 + F.least(n - i - 1, m - j - 1) >= F.ceil(percent * (n + m) / F.lit(100 + percent)))
     rest = (
         one.join(other, "token")
-        .where((F.col("one.label") < F.col("other.label")) & fits & (F.col("one.node") != F.col("other.leader")) & (F.col("other.node") != F.col("one.leader")))
+        .where((F.col("one.label") < F.col("other.label")) & _possible("one", "other", percent) & (F.col("one.node") != F.col("other.leader")) & (F.col("other.node") != F.col("one.leader")))
         .select(F.least("one.node", "other.node").alias("a"), F.greatest("one.node", "other.node").alias("b")).distinct()
     )
     rest = stored(rest)
