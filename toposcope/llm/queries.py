@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from toposcope.llm import jaccard, quality, substring
+from toposcope.llm import decontaminate, jaccard, pieces, quality, substring
 
+PIECE_MODEL = os.environ.get("TOPOSCOPE_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
@@ -19,6 +22,11 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring.remove_repeats(table(spark, folder, "documents"), width=50, keep_text=False).drop("intervals")
 
 
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items found in documents, verbatim or with other numbers, names and units."""
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Ledger of all rules, the base policy's verdict and the current policy's."""
     rows = quality.ledger(table(spark, folder, "documents"))
@@ -30,10 +38,17 @@ def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar_groups(table(spark, folder, "documents"), width=4, percent=85).drop("node")
 
 
+def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """A sampled segmentation of every document, checked by decoding it."""
+    return pieces.encode(table(spark, folder, "documents"), PIECE_MODEL)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_decontamination": op2_decontamination,
     "op4_quality_rules": op4_quality_rules,
     "op6_jaccard_join": op6_jaccard_join,
+    "op9_sentencepiece": op9_sentencepiece,
 }
 
 SQL = {
