@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ from toposcope.llm import words as W
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stutter", "n_upper", "n_lower"]
+_DDL = ", ".join(f"{m} long" for m in MEASURES)
 
 
 @dataclass(frozen=True)
@@ -69,9 +71,9 @@ def mask(names: Sequence[str], rules: Sequence[Rule] = RULES) -> int:
     return sum(1 << at[n] for n in names)
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for chunk in W.text_chunks(batches):
-        found = W.find_words(chunk.column("text"))
+def _measure(batches: Iterator[pa.RecordBatch], keep: list[str]) -> Iterator[pa.RecordBatch]:
+    for chunk in W.text_chunks(batches, "measured_text"):
+        found = W.find_words(chunk.column("measured_text"))
         data, offsets, n = found.data, found.offsets, chunk.num_rows
         rows = np.arange(n, dtype=np.uint64)
         row_of_word = np.repeat(rows, found.counts)
@@ -104,7 +106,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found.counts, W.row_sums(inside & ((data & 0xC0) != 0x80), offsets), W.row_sums(symbols, offsets), n_lines - np.bincount(line_row[first], minlength=n),
             W.row_sums(repeated, found.first), n_lines, W.row_sums(same, found.first), W.row_sums((data >= 65) & (data <= 90), offsets), W.row_sums((data >= 97) & (data <= 122), offsets),
         ]
-        yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), *(pa.array(c.astype(np.int64)) for c in columns)], names=["doc_id", *MEASURES])
+        yield pa.RecordBatch.from_arrays([*(chunk.column(k) for k in keep), *(pa.array(c.astype(np.int64)) for c in columns)], names=[*keep, *MEASURES])
 
 
 def ledger(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -113,9 +115,11 @@ def ledger(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     Null and empty texts have no words: all measures are 0 and ``few_words`` fails. Repeated rows and null
     ids stay as they are; columns other than ``doc_id`` and ``text`` are not read.
     """
-    measured = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _measure, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES)
-    )
+    measured = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("measured_text"))
+    return _with_bits(measured.mapInArrow(partial(_measure, keep=["doc_id"]), "doc_id long, " + _DDL), rules)
+
+
+def _with_bits(measured: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     bits = [F.when(r.fails, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, r in enumerate(rules)]
     total = bits[0]
     for b in bits[1:]:
@@ -123,6 +127,15 @@ def ledger(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     return measured.withColumn("fail_bits", total)
 
 
+def keep(docs: DataFrame, policy: Policy, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """Rows of ``docs``, all columns, that the policy accepts; ledger and verdict are made beside each row, without a join."""
+    own = {c: f"own_{i}" for i, c in enumerate(docs.columns)}  # the measures' names may be taken
+    renamed = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in own.items()], F.col("text").cast("string").alias("measured_text"))
+    fields = ", ".join(f"{own[f.name]} {f.dataType.simpleString()}" for f in docs.schema)
+    rows = _with_bits(renamed.mapInArrow(partial(_measure, keep=list(own.values())), f"{fields}, {_DDL}"), rules)
+    return rows.where(passes(policy, rules)).select(*[F.col(a).alias(c) for c, a in own.items()])
+
+
 def passes(policy: Policy, rules: Sequence[Rule] = RULES, bits: Column | None = None, without: int = 0) -> Column:
     """Whether ``bits`` (default: column ``fail_bits``) satisfy the policy, ignoring the bits in ``without``."""
     bits = F.col("fail_bits") if bits is None else bits

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from toposcope.llm import decontaminate, jaccard, pieces, quality, substring
+from toposcope.llm import decontaminate, jaccard, pieces, quality, secrets, substring
 
 PIECE_MODEL = os.environ.get("TOPOSCOPE_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -27,6 +27,11 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Candidates for secrets in all documents, scored by the forest."""
+    return secrets.find_secrets(table(spark, folder, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Ledger of all rules, the base policy's verdict and the current policy's."""
     rows = quality.ledger(table(spark, folder, "documents"))
@@ -46,6 +51,7 @@ def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_decontamination": op2_decontamination,
+    "op3_secret_scan": op3_secret_scan,
     "op4_quality_rules": op4_quality_rules,
     "op6_jaccard_join": op6_jaccard_join,
     "op9_sentencepiece": op9_sentencepiece,
