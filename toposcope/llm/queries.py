@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from toposcope.llm import decontaminate, jaccard, pieces, quality, secrets, substring
+from toposcope.llm import archives, chat, decontaminate, jaccard, pieces, quality, secrets, sharding, substring, toxicity
 
 PIECE_MODEL = os.environ.get("TOPOSCOPE_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -38,23 +38,49 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.apply_policy(rows, quality.CURRENT).withColumn("base_failed", ~quality.passes(quality.BASE)).drop("policy")
 
 
+def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    """Preference pairs of all conversations; masks as text."""
+    rows = chat.format_preferences(chat.paired_conversations(table(spark, folder, "conversations")))
+    text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",").alias(c)
+    return rows.withColumns({c: text(c) for c in ("chosen_mask", "rejected_mask")})
+
+
 def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose 4-word shingles have a Jaccard similarity of 0.85 or more."""
     return jaccard.similar_groups(table(spark, folder, "documents"), width=4, percent=85).drop("node")
 
 
+def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in 16 shards of near equal size; equal texts stay together."""
+    return sharding.pack(table(spark, folder, "documents"), shards=16)
+
+
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels that are not held out."""
+    return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """A sampled segmentation of every document, checked by decoding it."""
     return pieces.encode(table(spark, folder, "documents"), PIECE_MODEL)
 
 
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages through ARC into WARC files and back."""
+    return archives.convert_pages(table(spark, folder, "pages"), least_bytes=0)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_decontamination": op2_decontamination,
     "op3_secret_scan": op3_secret_scan,
     "op4_quality_rules": op4_quality_rules,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_sharding": op7_sharding,
+    "op8_toxicity": op8_toxicity,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_warc": op10_warc,
 }
 
 SQL = {
