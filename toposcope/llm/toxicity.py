@@ -2,11 +2,11 @@
 
 Words are compared by the gap-weighted subsequence kernel over letter triples: a triple counts in full where
 its letters are neighbours and less by ``DECAY`` for each letter between them (two at most), so an insult
-keeps most of its likeness when characters are inserted. What isn't a letter is skipped, accents are folded
-and digits read as the letters they resemble. Landmarks are words and word beginnings that tell toxic
-training texts from others. A text's features are its largest kernel value with each landmark, mapped by the
-inverse root of the landmarks' own kernel matrix (Nyström); a linear machine with squared hinge loss and a
-logistic link gives the score. Kernels, landmarks and weights are fitted on a bounded sample of labelled
+keeps most of its likeness when characters are inserted. A sign stands before each word as a letter of its
+own; what isn't a letter is skipped and digits read as the letters they resemble. Landmarks are words and word
+beginnings that tell toxic training texts from others. A text's features are its largest and its summed kernel
+value with each landmark, mapped by the inverse root of the landmarks' own kernel matrix (Nyström); a linear
+machine with squared hinge loss and a logistic link gives the score. Kernels, landmarks and weights are fitted on a bounded sample of labelled
 rows; all texts are scored whole.
 """
 
@@ -27,22 +27,31 @@ from toposcope.llm import words as W
 
 DECAY = 0.7
 STEPS = [(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)]  # places of the second and third letter
-FLOOR = 0.4  # smaller kernel values count as none
-LONG = 8  # words are normalised as if they had at most so many letters
+FLOOR = 0.5  # smaller kernel values count as none
+LONG = 9  # words are normalised as if they had at most so many letters
+BLOCK = 1 << 14  # words whose kernel rows are held at once
 _LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
 
 
-def _letter_table() -> np.ndarray:
-    """Code point to letter number: 1 to 26, 0 for what is skipped."""
+START = 63
+
+
+def _letter_tables() -> tuple[np.ndarray, list[str]]:
+    """Code point to letter number (0: skipped) and back: a to z are 1 to 26, then the accented letters of Latin-1."""
+    chars = ["", *"abcdefghijklmnopqrstuvwxyz", *(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)]
+    number = {c: i for i, c in enumerate(chars) if c}
     out = np.zeros(0x250, dtype=np.uint8)
     for c in range(0x250):
-        base = unicodedata.normalize("NFD", _LEET.get(chr(c), chr(c)).lower())[:1].replace("ß", "s")
-        if "a" <= base <= "z" and len(base) == 1:
-            out[c] = ord(base) - 96
-    return out
+        low = _LEET.get(chr(c), chr(c)).lower()
+        out[c] = number.get(low, number.get(unicodedata.normalize("NFD", low)[:1], 0))
+    return out, chars + [""] * (START - len(chars)) + ["^"]
+
 
+_LETTERS, _CHARS = _letter_tables()
 
-_LETTERS = _letter_table()
+
+def _numbers(word: str) -> np.ndarray:
+    return np.array([_CHARS.index(c) for c in word], dtype=np.uint8)
 
 
 def _norms(most: int) -> np.ndarray:
@@ -55,7 +64,7 @@ _NORM = _norms(LONG)
 
 
 def letter_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(letters, word offsets, row of each word)`` of texts; words of fewer than 3 letters are left out."""
+    """``(letters, word offsets, row of each word)`` of texts, words with their start sign; none of fewer than 3 letters."""
     texts = [t.as_buffer().to_pybytes().decode("utf-8", "replace") for t in column]
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     row_end = np.cumsum([len(t) for t in texts])
@@ -72,75 +81,68 @@ def letter_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.diff(np.r_[first, len(letters)])
     good = sizes >= 3
     take = np.repeat(good, sizes)
-    return letters[take], np.r_[0, np.cumsum(sizes[good])], row[good]
+    sizes = sizes[good]
+    begin = np.r_[0, np.cumsum(sizes)]
+    return np.insert(letters[take], begin[:-1], START), np.r_[0, np.cumsum(sizes + 1)], row[good]
 
 
 def _triples(letters: np.ndarray, left: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
     at = np.flatnonzero(left > b)
-    return at, (letters[at].astype(np.int32) << 10) | (letters[at + a].astype(np.int32) << 5) | letters[at + b]
+    return at, (letters[at].astype(np.int32) << 12) | (letters[at + a].astype(np.int32) << 6) | letters[at + b]
 
 
 @dataclass
 class Landmarks:
-    """Kernel columns of the landmark words: triple number to weights."""
+    """Kernel columns of the landmark words: for each triple number the landmarks that have it, and its weight there."""
 
     words: list[str]
-    row_of: np.ndarray
-    weights: np.ndarray
-    largest: np.ndarray
+    first: np.ndarray
+    times: np.ndarray
+    mark: np.ndarray
+    weight: np.ndarray
 
     @staticmethod
     def of(words: list[str]) -> Landmarks:
-        table = np.zeros((1 << 15, len(words)), dtype=np.float32)
+        entries: Counter = Counter()
         for m, w in enumerate(words):
-            letters = np.array([ord(c) - 96 for c in w], dtype=np.uint8)
+            letters = _numbers(w)
             for a, b in STEPS:
-                at, triple = _triples(letters, len(letters) - np.arange(len(letters)), a, b)
-                np.add.at(table[:, m], triple, DECAY ** (b - 2))
-            table[:, m] /= _NORM[min(len(w), LONG)]
-        used = np.flatnonzero(table.any(axis=1))
-        row_of = np.full(1 << 15, -1, dtype=np.int32)
-        row_of[used] = np.arange(len(used))
-        return Landmarks(words, row_of, table[used], table[used].max(axis=1) if len(used) else np.zeros(0, np.float32))
+                _, triple = _triples(letters, len(letters) - np.arange(len(letters)), a, b)
+                for t in triple.tolist():
+                    entries[t, m] += DECAY ** (b - 2) / _NORM[min(len(w), LONG)]
+        keys = sorted(entries)
+        triples = np.array([k[0] for k in keys], dtype=np.int64)
+        times = np.bincount(triples, minlength=1 << 18).astype(np.int32)
+        first = (np.cumsum(times) - times).astype(np.int32)
+        return Landmarks(words, first, times, np.array([k[1] for k in keys], np.int32), np.array([entries[k] for k in keys]))
 
     def kernel(self, letters: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``(word numbers, kernel rows)`` of the words with some value above FLOOR."""
-        none = np.zeros(0, int), np.zeros((0, len(self.words)), np.float32)
-        if not len(self.weights) or len(offsets) < 2:
-            return none
-        sizes = np.diff(offsets)
-        norm = _NORM[np.minimum(sizes, LONG)]
-        left = np.repeat(offsets[1:], sizes) - np.arange(len(letters))
-        word = np.repeat(np.arange(len(sizes)), sizes)
-        hits, bound = [], np.zeros(len(sizes))
-        for a, b in STEPS:
-            at, triple = _triples(letters, left, a, b)
-            row = self.row_of[triple]
-            hit = row >= 0
-            w, row = word[at[hit]], row[hit]
-            hits.append((w, row, b))
-            bound += np.bincount(w, self.largest[row] * DECAY ** (b - 2), minlength=len(sizes))
-        near = np.flatnonzero(bound > FLOOR * norm)  # the bound holds for every landmark, so nothing is lost
-        if not len(near):
-            return none
-        place = np.full(len(sizes), -1)
-        place[near] = np.arange(len(near))
-        out = np.zeros((len(near), len(self.words)), dtype=np.float32)
-        for w, row, b in hits:
-            own = np.flatnonzero(place[w] >= 0)
-            for low in range(0, len(own), 1 << 16):
-                part = own[low : low + (1 << 16)]
-                heads = np.flatnonzero(np.r_[True, w[part][1:] != w[part][:-1]])
-                out[place[w[part][heads]]] += np.add.reduceat(self.weights[row[part]], heads, axis=0) * np.float32(DECAY ** (b - 2))
-        out /= norm[near, None]
-        out = np.minimum(np.maximum(out - FLOOR, 0) / (1 - FLOOR), 1)
-        some = out.any(axis=1)
-        return near[some], out[some]
+        """``(word numbers, kernel rows)`` of the words with some value above FLOOR; smaller values are 0."""
+        found, rows, m = [np.zeros(0, int)], [np.zeros((0, len(self.words)), np.float32)], len(self.words)
+        for low in range(0, len(offsets) - 1 if m else 0, BLOCK):
+            own = offsets[low : low + BLOCK + 1]
+            part, sizes = letters[own[0] : own[-1]], np.diff(own)
+            left = np.repeat(own[1:] - own[0], sizes) - np.arange(len(part))
+            word = np.repeat(np.arange(len(sizes)), sizes)
+            total = np.zeros(len(sizes) * m)
+            for a, b in STEPS:
+                at, triple = _triples(part, left, a, b)
+                hit = self.times[triple] > 0
+                at, triple = at[hit], triple[hit]
+                times = self.times[triple]
+                entry = np.repeat(self.first[triple] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+                total += np.bincount(np.repeat(word[at], times) * m + self.mark[entry], self.weight[entry] * DECAY ** (b - 2), minlength=len(total))
+            value = total.reshape(-1, m) / _NORM[np.minimum(sizes, LONG), None]
+            some = np.flatnonzero((value > FLOOR).any(axis=1))
+            found.append(some + low)
+            rows.append(np.minimum(np.maximum(value[some] - FLOOR, 0) / (1 - FLOOR), 1).astype(np.float32))
+        return np.concatenate(found), np.concatenate(rows)
 
     def pooled(self, column: pa.Array) -> np.ndarray:
-        """Per text the largest kernel value with each landmark."""
+        """Per text the largest kernel value with each landmark, then log(1 + sum) of the values over all words."""
         letters, offsets, row = letter_words(column)
-        out = np.zeros((len(column), len(self.words)), dtype=np.float32)
+        m = len(self.words)
+        out = np.zeros((len(column), 2 * m), dtype=np.float32)
         if not len(row):
             return out
         hashes = W.span_hashes(letters, offsets[:-1], offsets[1:])
@@ -152,13 +154,19 @@ class Landmarks:
         place = np.full(len(first), -1)
         place[near] = np.arange(len(near))
         hit = np.flatnonzero(place[same] >= 0)
-        pairs = np.unique(np.stack([row[hit], place[same[hit]]]), axis=1)
-        if pairs.shape[1]:
-            heads = np.flatnonzero(np.r_[True, pairs[0, 1:] != pairs[0, :-1]])
-            out[pairs[0, heads]] = np.maximum.reduceat(values[pairs[1]], heads, axis=0)
+        if len(hit):
+            own, values = row[hit], values[place[same[hit]]]
+            heads = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            out[own[heads], :m] = np.maximum.reduceat(values, heads, axis=0)
+            out[own[heads], m:] = np.log1p(np.add.reduceat(values, heads, axis=0))
         return out
 
 
+def _mapped(pooled: np.ndarray, root: np.ndarray) -> np.ndarray:
+    m = len(root)
+    return np.concatenate([pooled[:, :m] @ root, pooled[:, m:] @ root], axis=1)
+
+
 @dataclass
 class Model:
     landmarks: Landmarks
@@ -167,7 +175,7 @@ class Model:
     link: tuple[float, float]
 
     def scores(self, column: pa.Array) -> np.ndarray:
-        margin = self.landmarks.pooled(column) @ self.root @ self.weights[:-1] + self.weights[-1]
+        margin = _mapped(self.landmarks.pooled(column), self.root) @ self.weights[:-1] + self.weights[-1]
         return 1 / (1 + np.exp(-np.clip(self.link[0] * margin + self.link[1], -40, 40)))
 
 
@@ -175,14 +183,14 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for chunk in W.text_chunks(batches):
         toxic = chunk.column("toxic").to_pylist()
         letters, offsets, row = letter_words(chunk.column("text"))
-        text = (letters + 96).astype(np.uint8).tobytes().decode("ascii")
+        text = "".join([_CHARS[i] for i in letters])
         seen: dict[int, set[str]] = {}
         for r, a, b in zip(row.tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
             w = text[a : min(b, a + 24)]
-            seen.setdefault(r, set()).update([w, w[:4], w[:5], w[:6]])
+            seen.setdefault(r, set()).update([w, w[:5], w[:6], w[:7]])
         counts = [Counter(), Counter()]
         for r, grams in seen.items():
-            counts[toxic[r]].update(g for g in grams if len(g) >= 4)
+            counts[toxic[r]].update(g for g in grams if len(g) >= 5)
         grams = sorted(set(counts[0]) | set(counts[1]))
         yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), *(pa.array([counts[k][g] for g in grams], pa.int64()) for k in (1, 0))], names=["gram", "n_toxic", "n_clean"])
 
@@ -206,11 +214,11 @@ def _vectors(batches: Iterator[pa.RecordBatch], landmarks: Landmarks) -> Iterato
         yield pa.RecordBatch.from_arrays([chunk.column("toxic"), pa.array(list(values), pa.list_(pa.float64()))], names=["toxic", "vector"])
 
 
-def fit(texts: DataFrame, most_rows: int = 3000, landmarks: int = 96, ridge: float = 1e-3, penalty: float = 0.05) -> Model:
+def fit(texts: DataFrame, most_rows: int = 3000, landmarks: int = 64, ridge: float = 1e-3, penalty: float = 0.05) -> Model:
     """Fit on ``texts`` (doc_id, text, toxic 0/1): at most ``most_rows`` toxic and twice as many other rows, by hash of the id.
 
     Counts of words and prefixes and the kernel rows are made in Spark; the driver gets at most 5,000 grams and
-    one row of ``landmarks`` numbers per sampled text.
+    one row of twice ``landmarks`` numbers per sampled text.
     """
     draw = lambda t, n: texts.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")).limit(n)
     sample = draw(1, most_rows).unionByName(draw(0, 2 * most_rows)).persist()
@@ -226,19 +234,19 @@ def fit(texts: DataFrame, most_rows: int = 3000, landmarks: int = 96, ridge: flo
         sample.unpersist()
     n = len(marks.words)
     y = np.where(got["toxic"].to_numpy() == 1, 1.0, -1.0)
-    x = np.array(got["vector"].to_pylist(), dtype=np.float64).reshape(len(y), n)
+    x = np.array(got["vector"].to_pylist(), dtype=np.float64).reshape(len(y), 2 * n)
     own = np.zeros((n, n))
     for m, w in enumerate(marks.words):
-        letters = np.array([ord(c) - 96 for c in w], np.uint8)
+        letters = _numbers(w)
         near, values = marks.kernel(letters, np.array([0, len(letters)]))
         own[m] = values[0] if len(near) else 0
     value, vector = np.linalg.eigh((own + own.T) / 2 + ridge * np.eye(n)) if n else (np.zeros(0), np.zeros((0, 0)))
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, ridge))) @ vector.T
-    z = np.c_[x @ root, np.ones(len(y))]
-    w = np.zeros(n + 1)
+    z = np.c_[_mapped(x, root), np.ones(len(y))]
+    w = np.zeros(2 * n + 1)
     for _ in range(50):  # squared hinge: least squares over the rows inside the margin, until they stay the same
         inside = y * (z @ w) < 1
-        new = np.linalg.solve(penalty * np.eye(n + 1) + z[inside].T @ z[inside], z[inside].T @ y[inside])
+        new = np.linalg.solve(penalty * np.eye(2 * n + 1) + z[inside].T @ z[inside], z[inside].T @ y[inside])
         if np.allclose(new, w, atol=1e-9):
             break
         w = new
