@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from toposcope.llm import words as W
 
 SPACE = 0x2581
-CHUNK = 1 << 20
+CHUNK = 3 << 20
 LONGEST_UNIT = 256
 _SLOTS = 1 << 20
 
@@ -133,49 +133,60 @@ def _sample(points: np.ndarray, raw_space: np.ndarray, offsets: np.ndarray, keys
         at = np.flatnonzero(left >= width)
         hashes = W.window_hashes(own, width)[at] + np.uint64(width)
         piece[at, width - 1] = model.find(hashes)
-    lone = piece[:, 0] < 0
     byte_cost = model.weight[model.byte_ids].mean()
 
     # Forward: log weight of all paths from the unit's start to each position (unit u has size[u] + 1 of them).
-    place = np.arange(n) - np.repeat(base[:-1], size)
+    place = np.arange(n, dtype=np.int32) - np.repeat(base[:-1], size).astype(np.int32)
     sums = np.full(n + len(size), -np.inf)
-    head = base[:-1] + np.arange(len(size))
-    sums[head] = 0.0
+    sums[base[:-1] + np.arange(len(size))] = 0.0
     spot = np.arange(n) + np.repeat(np.arange(len(size)), size)  # position before character i
-    choice = np.zeros((n, longest), dtype=np.float32)  # cumulative chances of the lengths of the piece that ends with character i
-    for t in np.unique(place):
-        i = np.flatnonzero(place == t) if t else base[:-1]
-        w = np.full((len(i), longest), -np.inf)
-        for width in range(1, min(longest, int(t) + 1) + 1):
-            j = i - width + 1
+    choice = np.full((n, longest), 2.0, dtype=np.float32)  # cumulative chances of the lengths of the piece that ends with character i
+    by_place = np.argsort(place.astype(np.int16), kind="stable")  # units have at most LONGEST_UNIT characters
+    steps = np.r_[0, np.cumsum(np.bincount(place))]
+    for t in range(len(steps) - 1):
+        i = by_place[steps[t] : steps[t + 1]]
+        widths = min(longest, t + 1)
+        w = np.full((widths, len(i)), -np.inf)
+        for width in range(1, widths + 1):
+            j = i - (width - 1)
             ids = piece[j, width - 1]
-            w[:, width - 1] = np.where(ids >= 0, model.weight[ids], byte_cost * 2 if width == 1 else -np.inf) + sums[spot[j]]
-        top = w.max(axis=1)
-        e = np.exp(w - top[:, None])
-        total = e.sum(axis=1)
+            own = np.flatnonzero(ids >= 0)
+            w[width - 1, own] = model.weight[ids[own]] + sums[spot[j[own]]]
+            if width == 1 and len(own) < len(i):
+                bare = np.flatnonzero(ids < 0)
+                w[0, bare] = 2 * byte_cost + sums[spot[i[bare]]]
+        top = w.max(axis=0)
+        e = np.exp(w - top)
+        total = e.sum(axis=0)
         sums[spot[i] + 1] = top + np.log(total)
-        choice[i] = np.cumsum(e / total[:, None], axis=1)
-    choice[:, -1] = 2.0
+        choice[i, :widths] = (np.cumsum(e, axis=0) / total).T
+        choice[i, widths - 1] = 2.0
 
     # Backward: all occurrences step from their ends to their starts together.
     order_in_row = np.arange(len(start)) - np.searchsorted(row, np.arange(rows))[row]
     stream = W.mix(keys[row] + np.uint64(seed)) ^ W.mix(order_in_row.astype(np.uint64))
     at, who, step = base[unit] + size[unit] - 1, np.arange(len(start)), 0
-    out_who, out_end, out_id, out_char = [], [], [], []
+    out_who, out_id, out_char = [], [], []
     low = base[unit]
     while len(at):
         u = (W.mix(stream[who] + np.uint64(step * 0x9E3779B97F4A7C15 % (1 << 64))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-        width = (choice[at] <= u[:, None].astype(np.float32)).sum(axis=1) + 1
+        width = (choice[at] <= u[:, None].astype(np.float32)).argmin(axis=1) + 1
         begin = at - width + 1
         out_who.append(who)
-        out_end.append(np.full(len(who), -step))
         out_id.append(piece[begin, width - 1])
         out_char.append(begin)
         more = begin > low[who]
         at, who, step = begin[more] - 1, who[more], step + 1
-    who, ids, char = np.concatenate(out_who), np.concatenate(out_id), np.concatenate(out_char)
-    order = np.lexsort((np.concatenate(out_end), who))
-    who, ids, char = who[order], ids[order], char[order]
+    # Step k of an occurrence is its k-th piece from the end.
+    drawn = np.zeros(len(start), dtype=np.int64)
+    for w in out_who:
+        drawn[w] += 1
+    ends = np.cumsum(drawn)
+    ids, char = np.empty(ends[-1], dtype=np.int32), np.empty(ends[-1], dtype=np.int64)
+    for k, (w, i, c) in enumerate(zip(out_who, out_id, out_char, strict=True)):
+        at = ends[w] - 1 - k
+        ids[at], char[at] = i, c
+    who = np.repeat(np.arange(len(start)), drawn)
 
     # Characters without a piece become their bytes.
     bare = np.flatnonzero(ids < 0)
@@ -195,6 +206,20 @@ def _bytes_of(point: int, real: bool) -> bytes:
     return chr(point).encode("utf-8", "surrogateescape")
 
 
+def _decodes(ids: np.ndarray, ends: np.ndarray, column: pa.Array, model: PieceModel) -> np.ndarray:
+    """Per row whether the bytes of its pieces are the row's text."""
+    data, offsets = W.raw(column)
+    length = np.array([len(x) for x in model.surface])
+    flat, first = np.frombuffer(b"".join(model.surface), np.uint8), np.cumsum(length) - length
+    sizes = length[ids]
+    got = flat[np.repeat(first[ids] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+    total = W.row_sums(sizes, ends)
+    if (total == np.diff(offsets)).all():
+        return W.row_sums(got != data, offsets) == 0
+    at = np.r_[0, np.cumsum(total)]
+    return np.array([got[a:b].tobytes() == data[c:d].tobytes() for a, b, c, d in zip(at[:-1], at[1:], offsets[:-1], offsets[1:], strict=True)], dtype=bool)
+
+
 def _encode(batches: Iterator[pa.RecordBatch], model: object, seed: int, keep: list[str]) -> Iterator[pa.RecordBatch]:
     pieces: PieceModel = model.value
     for chunk in W.text_chunks(batches, limit=CHUNK):
@@ -207,8 +232,7 @@ def _encode(batches: Iterator[pa.RecordBatch], model: object, seed: int, keep: l
         keys = chunk.column("row_key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
         ids, counts = _sample(flat, real, offsets, keys, pieces, seed)
         ends = np.r_[0, np.cumsum(counts)]
-        surface, whole = pieces.surface, ids.tolist()
-        lossless = [b"".join([surface[i] for i in whole[a:b]]) == t for a, b, t in zip(ends[:-1], ends[1:], texts, strict=True)]
+        lossless = _decodes(ids, ends, chunk.column("text"), pieces)
         yield pa.RecordBatch.from_arrays(
             [*(chunk.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())), pa.array(counts, pa.int64()), pa.array(lossless)],
             names=[*keep, "piece_ids", "n_pieces", "lossless"],
