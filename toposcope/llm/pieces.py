@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from toposcope.llm import words as W
 
 SPACE = 0x2581
-CHUNK = 3 << 20
+CHUNK = 1 << 20
 LONGEST_UNIT = 256
 _SLOTS = 1 << 20
 
