@@ -164,10 +164,12 @@ def labelled_findings(docs: DataFrame, sample_rows: int = 400) -> DataFrame:
 
     For a bounded sample of texts (by hash of the text), findings are set among the text's own words: keys and
     tokens in assignments as true ones; commit ids, digests, uuids, paths, identifiers, addresses and
-    placeholders as false ones. The text's checksum seeds the draw.
+    placeholders as false ones. The text's checksum seeds the draw. Twenty texts of dictionary words join the
+    sample, so that there is something to learn from where no text has a dozen plain words.
     """
+    plain = docs.sparkSession.range(20).select(F.col("id").alias("doc_id"), F.lit(" ".join(DICTIONARY)).alias("text"), F.col("id").alias("text_crc32"))
     sample = _texts(docs).where("text is not null").orderBy(F.xxhash64("text_crc32", "doc_id"), "doc_id").limit(sample_rows)
-    return sample.mapInArrow(_labelled, _MADE_DDL)
+    return sample.unionByName(plain).mapInArrow(_labelled, _MADE_DDL)
 
 
 def train(labelled: DataFrame, trees: int = 40, depth: int = 8, seed: int = 7, most_rows: int = 200_000) -> RandomForestClassificationModel:
