@@ -171,7 +171,7 @@ def _unzipped(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
         one = zlib.decompressobj(31)
         while at < len(data) and not one.eof:
             yield one.decompress(data[at : at + step])
-            at += step
+            at = min(at + step, len(data))
         at -= len(one.unused_data)
 
 
