@@ -28,7 +28,7 @@ def test_umass_by_hand(topic, docs):
 
 
 def test_umass_with_more_ranks_than_bits(topic, docs):
-    assert umass(topic, docs, KEY, n=100).first()["umass"] == pytest.approx(WANT)
+    assert umass(topic, docs, KEY).first()["umass"] == pytest.approx(WANT)
 
 
 def test_absent_words_are_counted_not_infinite(topic, docs):
@@ -50,3 +50,23 @@ def test_embedding_coherence(spark, topic):
 
 def test_mean_over_topics(topic, docs):
     assert mean_over_topics(umass(topic, docs, KEY), "umass", 2).first()["umass"] == pytest.approx(WANT / 2)
+
+
+@pytest.mark.parametrize("size", [12, 62, 70, 130])
+def test_topics_of_any_length(spark, size):
+    """Pair counts and the measure against plain counting; ranks run over one and several masks."""
+    import math
+    import random
+
+    draw = random.Random(size)
+    words = [f"t{r}" for r in range(1, size + 1)]
+    held = [set(draw.sample(words, size // 2)) for _ in range(9)]
+    topics = spark.createDataFrame([(0, r + 1, w) for r, w in enumerate(words)], "topic int, rank int, term string")
+    rows = [(d, 0, w, 1) for d, own in enumerate(held) for w in own]
+    docs = spark.createDataFrame(rows, "doc_id long, para_no long, term string, tf long").select(*KEY, "term", "tf")
+    both = lambda *w: sum(all(x in own for x in w) for own in held)
+    got = {(r["wi"], r["wj"]): (r["n_both"], r["n_wj"]) for r in cooccurrence(topics, docs, KEY).collect()}
+    want = {(a, b): (both(a, b), both(b)) for i, a in enumerate(words) for b in words[:i]}
+    assert got == want
+    total = sum(math.log(n + 1) - math.log(m) for n, m in want.values() if m)
+    assert umass(topics, docs, KEY).first()["umass"] == pytest.approx(total / (size * (size - 1)))

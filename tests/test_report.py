@@ -73,3 +73,13 @@ def test_wide_and_back(spark):
 def test_curve(spark):
     values = spark.createDataFrame([(0, 2.0), (1, 1.0)], "concept int, sigma double")
     assert [r["cumulative"] for r in report.singular_value_curve(values).orderBy(F.col("concept")).collect()] == [0.8, 1.0]
+
+
+def test_topics_without_a_label_count_as_unknown(spark):
+    labels = report.topic_labels(spark)
+    rows = [(1, 1, 18, 0.9), (1, 2, 19, 0.05), (1, 3, 0, 0.1), (2, 1, 20, 1.0)]
+    doc = spark.createDataFrame(rows, "doc_id long, rank int, topic int, weight double")
+    got = {(r["doc_id"], r["rank"]): (r["topic"], r["top_weight"]) for r in report.merge_topics(doc, labels).collect()}
+    known = labels.where("raw_topic = 0").first()["topic"]
+    want = {(1, 1): (report.UNKNOWN, 0.9), (2, 1): (report.UNKNOWN, 1.0)}
+    assert got == want | ({} if known == report.UNKNOWN else {(1, 3): (known, 0.9)})

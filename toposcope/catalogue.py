@@ -570,7 +570,7 @@ def measures_wide(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- models -------------------------------------------------------------------------------------
 
-FEW = {"max_iter": 10}
+FEW = {"max_iter": 10, "subsamplingRate": 1.0}  # every step sees every text
 
 
 def corpus(spark: SparkSession, folder: str) -> workflows.Corpus:

@@ -106,9 +106,19 @@ def weighted_rows(spark: SparkSession, ids: Column, weights: Column, matrix: np.
 
     @F.pandas_udf("array<double>")
     def combine(rows: pd.Series, amounts: pd.Series) -> pd.Series:
-        m = shared.value
-        return pd.Series([np.asarray(w, dtype=np.float64) @ m[np.asarray(i, dtype=np.int64)]
-                          for i, w in zip(rows, amounts)], dtype=object)
+        m, sizes = shared.value, np.array([len(i) for i in rows], dtype=np.int64)
+        out, some = np.zeros((len(sizes), m.shape[1])), sizes > 0
+        ends = np.cumsum(sizes)
+        low = 0
+        while low < len(sizes):  # some ten thousand terms at a time, one document at least
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + 16_384, side="right")))
+            own = low + np.flatnonzero(some[low:high])
+            if len(own):
+                ids = np.concatenate([np.asarray(rows.iloc[r], dtype=np.int64) for r in own])
+                weight = np.concatenate([np.asarray(amounts.iloc[r], dtype=np.float64) for r in own])
+                out[own] = np.add.reduceat(m[ids] * weight[:, None], np.cumsum(sizes[own]) - sizes[own], axis=0)
+            low = high
+        return pd.Series(list(out), dtype=object)
 
     return combine(ids, weights)
 

@@ -6,7 +6,7 @@ broadcast. Only documents' hits on these terms are grouped, never all term pairs
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from toposcope.functions.vectors import cosine
@@ -23,27 +23,30 @@ def topic_pairs(topics: DataFrame, with_self: bool = False) -> DataFrame:
     return later.join(small(earlier), "topic").where("j <= i" if with_self else "j < i")
 
 
-def topic_hits(topics: DataFrame, doc_term: DataFrame, key: tuple[str, ...] = KEY, n: int = 10) -> DataFrame:
+def topic_hits(topics: DataFrame, doc_term: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
     """``(topic, ranks, n_docs)``: documents per topic and set of the topic's terms they contain.
 
-    Each document sends one row per topic it touches (its ranks as bits of one number); documents
-    with the same set are counted per task before the second shuffle.
+    Each document sends one row per topic it touches, its ranks as bits of as many numbers as the longest
+    topic needs; documents with the same set are counted per task before the second shuffle.
     """
     hits = doc_term.join(small(topics.select("topic", "rank", "term")), "term")
-    if n > MASK_BITS:
-        ranks = F.sort_array(F.collect_set("rank"))
-        sets = hits.groupBy(*key, "topic").agg(ranks.alias("ranks"))
-        return sets.groupBy("topic", "ranks").agg(F.count("*").alias("n_docs"))
-    bit = F.expr("shiftleft(1L, cast(rank AS int))")
-    sets = hits.groupBy(*key, "topic").agg(F.bit_or(bit).alias("mask"))
-    counts = sets.groupBy("topic", "mask").agg(F.count("*").alias("n_docs"))
-    ranks = F.filter(F.sequence(F.lit(1), F.lit(n)), lambda r: F.getbit("mask", r) == 1)
-    return counts.select("topic", ranks.alias("ranks"), "n_docs")
-
-
-def cooccurrence(topics: DataFrame, doc_term: DataFrame, key: tuple[str, ...] = KEY, n: int = 10) -> DataFrame:
+    longest = topics.agg(F.max("rank")).first()[0] or 0
+    words = [f"mask{w}" for w in range(longest // MASK_BITS + 1)]
+    bit = F.expr(f"shiftleft(1L, cast(rank % {MASK_BITS} AS int))")
+    own = [F.bit_or(F.when(F.expr(f"rank div {MASK_BITS} = {w}"), bit).otherwise(F.lit(0).cast("long"))).alias(m) for w, m in enumerate(words)]
+    counts = hits.groupBy(*key, "topic").agg(*own).groupBy("topic", *words).agg(F.count("*").alias("n_docs"))
+    ranks = [_set_bits(m, w * MASK_BITS) for w, m in enumerate(words)]
+    return counts.select("topic", F.concat(*ranks).alias("ranks"), "n_docs")
+
+
+def _set_bits(mask: str, base: int) -> Column:
+    bits = F.filter(F.sequence(F.lit(0), F.lit(MASK_BITS - 1)), lambda r: F.getbit(mask, r) == 1)
+    return F.transform(bits, lambda r: r + base)
+
+
+def cooccurrence(topics: DataFrame, doc_term: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
     """``(topic, i, j, wi, wj, n_both, n_wj)`` for the ranked pairs of each topic, zeros included."""
-    hits = topic_hits(topics, doc_term, key, n)
+    hits = topic_hits(topics, doc_term, key)
     inner = F.transform(
         F.col("ranks"),
         lambda i: F.transform(
@@ -66,9 +69,7 @@ def cooccurrence(topics: DataFrame, doc_term: DataFrame, key: tuple[str, ...] =
     )
 
 
-def umass(
-    topics: DataFrame, doc_term: DataFrame, key: tuple[str, ...] = KEY, n: int = 10, eta: float = 1.0
-) -> DataFrame:
+def umass(topics: DataFrame, doc_term: DataFrame, key: tuple[str, ...] = KEY, eta: float = 1.0) -> DataFrame:
     """``(topic, umass, null_pairs)``: mean over n(n-1) of ln(D(wi,wj)+eta) - ln D(wj).
 
     A pair whose wj is in no document has no value; such pairs are left out of the sum and counted.
@@ -76,7 +77,7 @@ def umass(
     value = F.when(F.col("n_wj") > 0, F.log(F.col("n_both") + eta) - F.log("n_wj"))
     size = topics.groupBy("topic").agg(F.count("*").alias("n"))
     sums = (
-        cooccurrence(topics, doc_term, key, n)
+        cooccurrence(topics, doc_term, key)
         .groupBy("topic")
         .agg(F.sum(value).alias("total"), F.count_if(value.isNull()).alias("null_pairs"))
     )

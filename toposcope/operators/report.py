@@ -88,16 +88,17 @@ def merge_topics(doc_topics: DataFrame, labels: DataFrame, key: str = "doc_id",
     """First ``n`` different merged topics per document, at their best rank.
 
     ``(key, rank, topic, label, weight, top_weight)``: ``rank`` is the raw rank of the first
-    occurrence, ``top_weight`` the weight of the document's first raw topic.
+    occurrence, ``top_weight`` the weight of the document's first raw topic. Topics without a label
+    count as the unknown topic.
     """
-    relabelled = doc_topics.withColumnRenamed("topic", "raw_topic").join(small(labels), "raw_topic")
     best = Window.partitionBy(key).orderBy("rank")
-    first = F.struct("rank", "label", "weight")
+    top = doc_topics.withColumnRenamed("topic", "raw_topic").withColumn("top_weight", F.first("weight").over(best))
+    relabelled = top.join(small(labels), "raw_topic", "left").withColumn("topic", F.coalesce("topic", F.lit(UNKNOWN)))
+    first = F.struct("rank", "label", "weight", "top_weight")
     return (
         relabelled.groupBy(key, "topic")
         .agg(F.min_by(first, "rank").alias("first"))
         .select(key, "topic", "first.*")
-        .withColumn("top_weight", F.first("weight").over(best))
         .withColumn("place", F.row_number().over(best))
         .where(F.col("place") <= n)
         .drop("place")

@@ -110,9 +110,9 @@ def trim_vocabulary(doc_freq: DataFrame, n: int, keep: str = "most") -> DataFram
 
 
 def filter_extremes(
-    doc_freq: DataFrame, n_docs: int | Column, no_below: int = 11, no_above: float = 0.5, keep_n: int | None = 100_000
+    doc_freq: DataFrame, n_docs: int | Column, no_below: int = 11, no_above: float = 0.5, keep_n: int | None = None
 ) -> DataFrame:
-    """Terms in at least ``no_below`` documents and at most a share ``no_above``, then the ``keep_n`` most frequent."""
+    """Terms in at least ``no_below`` documents and at most a share ``no_above``; with ``keep_n`` its most frequent ones only."""
     kept = doc_freq.where((F.col("df") >= no_below) & (F.col("df") <= F.lit(n_docs) * no_above))
     return kept if keep_n is None else most_frequent(kept, "df", keep_n)
 

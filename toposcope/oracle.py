@@ -352,7 +352,7 @@ WITH words AS (
 ),
 counts AS (SELECT term, count(DISTINCT doc_id) AS df FROM words GROUP BY term)
 SELECT term, df FROM counts WHERE df >= 11 AND df <= 0.5 * (SELECT count(*) FROM documents)
-ORDER BY df DESC, term LIMIT 100000""",
+""",
         "corpus_sizes": with_(
             FREQS,
             "SELECT count(*) AS n_terms, sum(df)::BIGINT AS n_pairs, sum(cf)::BIGINT AS n_words, "

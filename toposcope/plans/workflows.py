@@ -110,7 +110,7 @@ def coherence_measures(corpus: Corpus, topics: DataFrame, word_vectors: DataFram
     """Mean UMass and, with word vectors, mean embedding coherence of a topic table."""
     topics = checkpointed(topics)
     by_id = topics.select("topic", "rank", F.col("term_id").alias("term"))
-    out = {"umass": umass(by_id, corpus.document_terms, corpus.key, n, eta).agg(F.sum("umass") / k).first()[0]}
+    out = {"umass": umass(by_id, corpus.document_terms, corpus.key, eta).agg(F.sum("umass") / k).first()[0]}
     if word_vectors is not None:
         out["word2vec"] = embedding_coherence(topics, word_vectors).agg(F.sum("coherence") / k).first()[0]
     return out
@@ -164,7 +164,8 @@ def sweep_lda(
     parts = []
     for k in ks:
         if prior == "asymmetric":
-            lda["doc_concentration"] = models.asymmetric_prior(k)
+            # A fixed prior: the estimate would replace it.
+            lda |= {"doc_concentration": models.asymmetric_prior(k), "optimizeDocConcentration": False}
         model = models.fit_lda(train if fit_on == "train" else rows, k, seed=seed, **lda)
         mixed = model.transform(rows).select("topicDistribution").persist(StorageLevel.MEMORY_AND_DISK)
         clusters = models.fit_kmeans(mixed, k, "topicDistribution", prediction="featureTopic", **(kmeans or {}))
