@@ -102,6 +102,7 @@ def test_no_cartesian_product(spark):
 # Functions that may bring rows to the driver, each after a check of their number or for one row.
 FETCHES = {
     "stop_list", "of", "word_matrix", "joined_means", "coherence_measures", "label_centres", "sizes", "topic_hits",
+    "lda_topics", "vector_width", "held_out_tokens",
 }
 
 

@@ -29,6 +29,11 @@ def test_document_vectors_both_ways(weighted, known, max_bytes):
     assert found == {1: [0.25, 0.75], 2: [0.0, 0.0], 3: [1.0, 0.0]}
 
 
+def test_document_vectors_without_a_known_term(weighted, known):
+    found = document_vectors(weighted, known.where("term_id < 0"), 3, KEY, width=2).collect()
+    assert [r["vec"] for r in found] == [[0.0, 0.0]] * 3
+
+
 def test_zero_vector_has_no_cosine(spark):
     rows = spark.createDataFrame([(1, [0.0, 0.0]), (2, [2.0, 0.0])], "doc_id long, vec array<double>")
     centres = np.array([[1.0, 0.0], [0.0, 1.0]])

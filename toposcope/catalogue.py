@@ -374,7 +374,7 @@ def language_profiles(counted: DataFrame) -> DataFrame:
     totals = checkpointed(pairs.groupBy("lang").agg(F.sum("tf").alias("total")))
     return (
         counts.join(small(totals), "lang")
-        .join(terms.document_frequency(pairs, MIN_DF).select("term"), "term")
+        .join(stored(terms.document_frequency(pairs, MIN_DF).select("term")), "term")
         .select("term", F.col("lang").alias("feature"), (F.col("tf") / F.col("total")).alias("w"))
     )
 
@@ -577,6 +577,12 @@ def corpus(spark: SparkSession, folder: str) -> workflows.Corpus:
     return workflows.prepare(documents(spark, folder), STOP_WORDS, keep_trailing=True, min_df=MIN_DF)
 
 
+def corpus_and_vectors(spark: SparkSession, folder: str) -> tuple[workflows.Corpus, DataFrame]:
+    """The corpus, and word vectors for its vocabulary, from one pass over the texts."""
+    texts = corpus(spark, folder)
+    return texts, numbered_vectors(texts.vocab, spark, folder)
+
+
 def lda_topics(spark: SparkSession, folder: str) -> DataFrame:
     return workflows.analyse("lda", corpus(spark, folder), 5, **FEW)["topics"]
 
@@ -586,8 +592,8 @@ def lda_doc_topics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lda_sweep(spark: SparkSession, folder: str) -> DataFrame:
-    vectors = word_vectors(spark, folder)
-    return workflows.sweep("lda", corpus(spark, folder), [2, 4], word_vectors=vectors, kmeans={"max_iter": 20}, **FEW)
+    texts, vectors = corpus_and_vectors(spark, folder)
+    return workflows.sweep("lda", texts, [2, 4], word_vectors=vectors, kmeans={"max_iter": 20}, **FEW)
 
 
 def lda_sweep_asymmetric(spark: SparkSession, folder: str) -> DataFrame:
@@ -612,25 +618,23 @@ def lsa(name: str) -> Query:
 
 
 def lsa_sweep(spark: SparkSession, folder: str) -> DataFrame:
-    vectors = word_vectors(spark, folder)
-    return workflows.sweep("lsa", corpus(spark, folder), [2, 4, 6], word_vectors=vectors, rank=10)
+    texts, vectors = corpus_and_vectors(spark, folder)
+    return workflows.sweep("lsa", texts, [2, 4, 6], word_vectors=vectors, rank=10)
 
 
 def embed_topics(spark: SparkSession, folder: str) -> DataFrame:
-    vectors = word_vectors(spark, folder)
-    return workflows.analyse("embedding", corpus(spark, folder), 5, word_vectors=vectors, max_iter=20)["topics"]
+    texts, vectors = corpus_and_vectors(spark, folder)
+    return workflows.analyse("embedding", texts, 5, word_vectors=vectors, max_iter=20)["topics"]
 
 
 def embed_doc_topics(spark: SparkSession, folder: str) -> DataFrame:
-    vectors = word_vectors(spark, folder)
-    return workflows.analyse("embedding", corpus(spark, folder), 5, word_vectors=vectors, scaling=True, max_iter=20)[
-        "doc_topics"
-    ]
+    texts, vectors = corpus_and_vectors(spark, folder)
+    return workflows.analyse("embedding", texts, 5, word_vectors=vectors, scaling=True, max_iter=20)["doc_topics"]
 
 
 def embed_sweep(spark: SparkSession, folder: str) -> DataFrame:
-    vectors = word_vectors(spark, folder)
-    return workflows.sweep("embedding", corpus(spark, folder), [3, 5], word_vectors=vectors, max_iter=20)
+    texts, vectors = corpus_and_vectors(spark, folder)
+    return workflows.sweep("embedding", texts, [3, 5], word_vectors=vectors, max_iter=20)
 
 
 def tfidf_cluster_words(spark: SparkSession, folder: str) -> DataFrame:

@@ -12,8 +12,8 @@ from toposcope.functions.vectors import weighted_rows
 from toposcope.operators.terms import KEY
 from toposcope.settings import computed_once, small
 
-MATRIX_BYTES = 512 << 20  # per Python worker
-JOIN_BYTES = 4 << 30  # per executor
+MATRIX_BYTES = 128 << 20  # per Python worker
+JOIN_BYTES = 512 << 20  # per executor; a broadcast passes the driver, whose default limit is 1 GiB
 
 
 def vocabulary_vectors(vocab: DataFrame, word_vectors: DataFrame) -> DataFrame:
@@ -39,17 +39,18 @@ def word_matrix(term_vectors: DataFrame, n_terms: int, max_bytes: int = MATRIX_B
 
 
 def document_vectors(
-    rows: DataFrame, term_vectors: DataFrame, n_terms: int, key: tuple[str, ...] = KEY, max_bytes: int = MATRIX_BYTES
-) -> DataFrame:
+    rows: DataFrame, term_vectors: DataFrame, n_terms: int, key: tuple[str, ...] = KEY, max_bytes: int = MATRIX_BYTES,
+    width: int = 0,
+) -> DataFrame:
     """``(key, vec)``: weighted mean of the known terms' vectors; a zero vector where no term is known.
 
     ``rows`` has ``ids`` and ``weights`` (see ``TermVectors.weights``). If the vocabulary's vectors fit
     ``max_bytes`` they are shared with the tasks and no row moves; otherwise see ``joined_means``.
-    Both give the same values.
+    Both give the same values. ``width`` is that of the zero vectors where ``term_vectors`` is empty.
     """
     matrix = word_matrix(term_vectors, n_terms, max_bytes)
     if matrix is None:
-        return joined_means(rows, term_vectors, n_terms, key).select(*key, "vec")
+        return joined_means(rows, term_vectors, n_terms, key, width=width).select(*key, "vec")
     product = weighted_rows(rows.sparkSession, F.col("ids"), F.col("weights"), matrix)
     summed = computed_once(rows.select(*key, "ids", "weights"), product, "sums")
     total = F.element_at("sums", -1)
@@ -59,7 +60,7 @@ def document_vectors(
 
 
 def joined_means(
-    rows: DataFrame, term_vectors: DataFrame, n_terms: int, key: tuple[str, ...], join_bytes: int = JOIN_BYTES
+    rows: DataFrame, term_vectors: DataFrame, n_terms: int, key: tuple[str, ...], join_bytes: int = JOIN_BYTES, width: int = 0
 ) -> DataFrame:
     """``(key, vec, total)``: weighted means by a join of (document, term) pairs with the terms' vectors.
 
@@ -68,7 +69,7 @@ def joined_means(
     each other, so averaging per task leaves about one vector per document to shuffle.
     """
     pairs = rows.select(*key, F.inline(F.arrays_zip(F.col("ids").alias("term_id"), F.col("weights").alias("weight"))))
-    width = term_vectors.agg(F.max(F.size("vec"))).first()[0] or 0
+    width = term_vectors.agg(F.max(F.size("vec"))).first()[0] or width
     vectors = term_vectors.select("term_id", array_to_vector("vec").alias("v"))
     if n_terms * width * 8 <= join_bytes:
         vectors = F.broadcast(vectors)
@@ -79,7 +80,7 @@ def joined_means(
         .agg(Summarizer.mean(F.col("v"), F.col("weight")).alias("v"), F.sum("weight").alias("total"))
         .select(*key, vector_to_array("v").alias("vec"), "total")
     )
-    zero = F.array_repeat(F.lit(0.0), F.lit(width))
+    zero = F.array_repeat(F.lit(0.0), width)
     return (
         rows.select(*key)
         .join(means, list(key), "left")
@@ -96,6 +97,12 @@ def unknown_words(words: DataFrame, known: DataFrame) -> DataFrame:
     return found.join(known.select("word"), "word", "left_anti")
 
 
+def vector_width(word_vectors: DataFrame) -> int:
+    """Width of the first vector, 0 for an empty table."""
+    first = word_vectors.select(F.size("vec")).first()
+    return first[0] if first else 0
+
+
 def embedding_lines(word_vectors: DataFrame) -> DataFrame:
     """``(value)``: ``word TAB v1,v2,...`` text lines."""
     numbers = F.concat_ws(",", F.col("vec").cast("array<string>"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 from pyspark.ml.clustering import LDA, KMeans, KMeansModel, LDAModel
 from pyspark.ml.feature import StandardScaler, StandardScalerModel
@@ -45,15 +47,26 @@ def asymmetric_prior(k: int) -> list[float]:
 
 
 def lda_topics(model: LDAModel, terms: list[str], n: int = 10) -> DataFrame:
-    """``(topic, rank, term_id, term, weight)``: the ``n`` heaviest terms of each topic."""
+    """``(topic, rank, term_id, term, weight)``: the ``n`` heaviest terms of each topic.
+
+    The k x n rows and the terms are on the driver already, so the names are put in there.
+    """
     described = model.describeTopics(n)
-    spark = described.sparkSession
-    names = term_table(spark, terms)
-    pairs = F.arrays_zip(F.col("termIndices").alias("term_id"), F.col("termWeights").alias("weight"))
-    rows = described.select("topic", F.posexplode(pairs).alias("_place", "_pair")).select(
-        "topic", (F.col("_place") + 1).alias("rank"), "_pair.term_id", "_pair.weight"
+    return topic_table(
+        described.sparkSession,
+        {r["topic"]: zip(r["termIndices"], r["termWeights"], strict=True) for r in described.collect()},
+        terms,
     )
-    return names.join(F.broadcast(rows), "term_id").select("topic", "rank", "term_id", "term", "weight")
+
+
+def topic_table(spark: SparkSession, topics: dict[int, Iterable[tuple[int, float]]], terms: list[str]) -> DataFrame:
+    """``(topic, rank, term_id, term, weight)`` of a few ranked ``(term_id, weight)`` per topic."""
+    rows = [
+        (int(topic), rank, int(i), terms[i], float(weight))
+        for topic, best in topics.items()
+        for rank, (i, weight) in enumerate(best, 1)
+    ]
+    return spark.createDataFrame(rows, "topic int, rank int, term_id int, term string, weight double")
 
 
 def lda_documents(model: LDAModel, rows: DataFrame, key: tuple[str, ...] = KEY, n: int = 5) -> DataFrame:
@@ -96,12 +109,8 @@ def centre_matrix(model: KMeansModel, scaler: StandardScalerModel | None = None)
 
 def centre_terms(spark: SparkSession, centres: np.ndarray, terms: list[str], n: int = 10) -> DataFrame:
     """``(topic, rank, term_id, term, weight)``: the ``n`` largest components of each centre."""
-    rows = spark.createDataFrame(
-        [(i, c.tolist()) for i, c in enumerate(centres)], "topic int, centre array<double>"
-    )
-    best = rows.select("topic", F.inline(top_of(F.col("centre"), n)).alias("rank", "term_id", "weight"))
-    names = term_table(spark, terms)
-    return names.join(F.broadcast(best), "term_id").select("topic", "rank", "term_id", "term", "weight")
+    best = {topic: [(i, c[i]) for i in np.argsort(-c, kind="stable")[:n]] for topic, c in enumerate(centres)}
+    return topic_table(spark, best, terms)
 
 
 def divergent_terms(profiles: DataFrame, centres: np.ndarray, n: int = 10) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from toposcope.functions.text import is_separator, line_tokens, lines_of, paragraphs_of
-from toposcope.settings import small
+from toposcope.settings import small, stored
 
 BUCKET_LINES = 65_536
 
@@ -147,8 +147,8 @@ def stop_list(words: DataFrame, max_words: int = 100_000) -> list[str]:
 
 def remove_stop_words_by_join(doc_term: DataFrame, words: DataFrame, case_sensitive: bool = False) -> DataFrame:
     """Long-table form for stop lists of any size: anti join on the (lower-cased) term."""
-    # Frequent words would meet in one task of a shuffle join, so a stop list of checked size is broadcast.
+    # A stop list of checked size is broadcast. Beyond it the list, stored, lets AQE split frequent words.
     if case_sensitive:
-        return doc_term.join(small(words.select(F.col("word").alias("term")).distinct()), "term", "left_anti")
-    folded = small(words.select(F.lower("word").alias("_folded")).distinct())
+        return doc_term.join(small(stored(words.select(F.col("word").alias("term")).distinct())), "term", "left_anti")
+    folded = small(stored(words.select(F.lower("word").alias("_folded")).distinct()))
     return doc_term.join(folded, F.lower(doc_term["term"]) == folded["_folded"], "left_anti")

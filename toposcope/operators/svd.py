@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from toposcope.functions.vectors import norm, top_of, weighted_rows
 from toposcope.operators.embeddings import MATRIX_BYTES, joined_means
+from toposcope.operators.models import topic_table
 from toposcope.operators.nearest import top_rows
 from toposcope.operators.terms import KEY
 from toposcope.settings import computed_once, term_table
@@ -55,14 +56,16 @@ class Decomposition:
         return term_table(spark, self.terms, m)
 
     def topics(self, spark: SparkSession, concepts: int, n: int = 10) -> DataFrame:
-        """``(topic, rank, term_id, term, weight)``: terms with the largest absolute component of a concept."""
-        long = self.term_vectors(spark, concepts=concepts).select(
-            "term_id", "term", F.posexplode("vec").alias("topic", "_v")
-        )
-        long = long.select("topic", "term_id", "term", F.abs("_v").alias("weight"))
-        return top_rows(long, "topic", [F.desc("weight"), F.asc("term")], n).select(
-            "topic", "rank", "term_id", "term", "weight"
-        )
+        """``(topic, rank, term_id, term, weight)``: terms with the largest absolute component of a concept.
+
+        Read off V where it is, on the driver; ties by term.
+        """
+        n, best = min(n, len(self.terms)), {}
+        for topic, column in enumerate(np.abs(self.v[:, :concepts]).T):
+            near = np.flatnonzero(column >= np.partition(column, -n)[-n]) if n else []
+            ranked = sorted(near, key=lambda i: (-column[i], self.terms[i]))[:n]
+            best[topic] = [(i, column[i]) for i in ranked]
+        return topic_table(spark, best, self.terms)
 
     def project(self, rows: DataFrame, key: tuple[str, ...] = KEY, max_bytes: int = MATRIX_BYTES) -> DataFrame:
         """``(key, vec, size)``: document times V (which is U diag(sigma)) and the document's length.

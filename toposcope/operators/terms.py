@@ -125,9 +125,12 @@ def normalise_words(docs: DataFrame, key: tuple[str, ...], text: str = "text") -
 def min_nonzeros(
     doc_term: DataFrame, terms: DataFrame, minimum: int = 0, key: tuple[str, ...] = KEY
 ) -> DataFrame:
-    """``(key, n_terms)`` of the documents with more than ``minimum`` different vocabulary terms."""
+    """``(key, n_terms)`` of the documents with more than ``minimum`` different vocabulary terms.
+
+    The terms are stored first, so that AQE can split a frequent one in a shuffle join.
+    """
     return (
-        doc_term.join(terms.select("term"), "term")
+        doc_term.join(stored(terms.select("term")), "term")
         .groupBy(*key)
         .agg(F.count("*").alias("n_terms"))
         .where(F.col("n_terms") > minimum)

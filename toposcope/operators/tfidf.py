@@ -12,7 +12,7 @@ from toposcope.functions.text import let
 from toposcope.functions.vectors import known_terms, norm, sparse_vector
 from toposcope.functions.weights import idf, relative_tfidf, tf2idf
 from toposcope.operators.terms import KEY, MAX_TERMS
-from toposcope.settings import computed_once
+from toposcope.settings import computed_once, stored
 
 
 def inverse_document_frequency(doc_freq: DataFrame, n_docs: int | Column) -> DataFrame:
@@ -27,10 +27,11 @@ def weigh_terms(
 
     ``weighting``: ``relative`` (idf times the term's share of the document), ``tfidf``, ``tf2idf``
     (tf enters twice, divided by the document's count) or ``ntc`` (tf idf at unit length).
-    The vocabulary join is left to AQE: broadcast if the aggregated table turns out small, otherwise
-    sorted with frequent terms split. Sums per document are bounded by one document's terms.
+    The vocabulary is stored first: AQE broadcasts it if it turns out small, otherwise both sides come
+    straight from a shuffle, which lets AQE split frequent terms (it splits no join with an aggregate).
+    Sums per document are bounded by one document's terms.
     """
-    frequencies = inverse_document_frequency(doc_freq, n_docs).select("term", "idf")
+    frequencies = stored(inverse_document_frequency(doc_freq, n_docs).select("term", "idf"))
     rows = doc_term.join(frequencies, "term")
     of_doc = Window.partitionBy(*key)
     tf, value = F.col("tf"), F.col("idf")

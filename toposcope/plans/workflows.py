@@ -9,13 +9,12 @@ import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeansModel
 from pyspark.ml.feature import Normalizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from toposcope.operators import models
 from toposcope.operators.coherence import embedding_coherence, umass
-from toposcope.operators.embeddings import document_vectors, unknown_words, vocabulary_vectors
+from toposcope.operators.embeddings import document_vectors, unknown_words, vector_width, vocabulary_vectors
 from toposcope.operators.lemma import lemma_statistics, lemma_text, look_up, removed_tokens, unknown_forms
 from toposcope.operators.nearest import nearest_centres, nearest_rows
 from toposcope.operators.paragraphs import remove_stop_words, segment_documents
@@ -127,7 +126,8 @@ def embed_documents(corpus: Corpus, word_vectors: DataFrame, weighting: str = "t
     """``(key, vec, vector)`` of the documents and ``(term_id, term, vec)`` of the known terms."""
     term_vectors = corpus.keep(vocabulary_vectors(corpus.vocab, word_vectors))
     weights = {"tf2idf": "product", "tfidf": "tfidf"}[weighting]
-    vectors = document_vectors(corpus.weighted(weights), term_vectors, len(corpus.terms), corpus.key)
+    width = vector_width(word_vectors)
+    vectors = document_vectors(corpus.weighted(weights), term_vectors, len(corpus.terms), corpus.key, width=width)
     return corpus.keep(models.with_vector(vectors, "vec", "vector")), term_vectors
 
 
@@ -141,6 +141,12 @@ def cluster_embeddings(documents: DataFrame, k: int, scaling: bool = False, **km
     return EmbeddingFit(documents, model, models.centre_matrix(model))
 
 
+def held_out_tokens(corpus: Corpus, fraction: float, seed: int) -> float:
+    """Counted words of the held-out documents."""
+    counts = F.aggregate("counts", F.lit(0.0), lambda s, x: s + x)
+    return train_held_out(corpus.rows, fraction, corpus.key, seed)[1].agg(F.sum(counts)).first()[0] or 0.0
+
+
 def sweep_lda(
     corpus: Corpus,
     ks: Iterable[int],
@@ -161,6 +167,8 @@ def sweep_lda(
     """
     rows = corpus.vector("tf", "tf")
     train, held_out = train_held_out(rows, fraction, corpus.key, seed)
+    # The split hashes the key, so the counts fall into the same parts as their vectors.
+    tokens = held_out_tokens(corpus, fraction, seed)
     parts = []
     for k in ks:
         if prior == "asymmetric":
@@ -169,9 +177,10 @@ def sweep_lda(
         model = models.fit_lda(train if fit_on == "train" else rows, k, seed=seed, **lda)
         mixed = model.transform(rows).select("topicDistribution").persist(StorageLevel.MEMORY_AND_DISK)
         clusters = models.fit_kmeans(mixed, k, "topicDistribution", prediction="featureTopic", **(kmeans or {}))
+        likelihood = model.logLikelihood(held_out)
         values = {
-            "logLikelihood": model.logLikelihood(held_out),
-            "logPerplexity": model.logPerplexity(held_out),
+            "logLikelihood": likelihood,
+            "logPerplexity": -likelihood / tokens if tokens else float("nan"),  # as Spark's, without a second pass
             "wsse": clusters.summary.trainingCost,
         }
         mixed.unpersist()
@@ -365,8 +374,3 @@ def oov_report(words: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame
     """Words outside a known vocabulary, and their number."""
     found = unknown_words(words, known)
     return found, found.agg(F.count("*").alias("n_unknown"))
-
-
-def topic_distribution(df: DataFrame, vector: str = "topicDistribution", name: str = "shares") -> DataFrame:
-    """Add the mixture as a plain array column."""
-    return df.withColumn(name, vector_to_array(vector))
