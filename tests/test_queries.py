@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.helpers import normalised_rows
-from toposcope import catalogue
+from toposcope import catalogue, settings
 
 FOLDER = "/root/testdata/sf0.001"
 PACKAGE = Path(__file__).resolve().parent.parent / "toposcope"
@@ -72,6 +72,20 @@ def test_text_is_not_shuffled(spark, monkeypatch, tmp_path):
     assert len(found) == 1 and "term" in found[0]
 
 
+def test_large_tables_are_not_spread(spark, monkeypatch):
+    """The table as it is, taken for a large one."""
+    assert len(exchanges(catalogue.paragraphs_all(spark, FOLDER))) <= 1
+    monkeypatch.setattr(settings, "SPREAD_BYTES", 0)
+    for query in (catalogue.paragraphs_all, catalogue.term_freq, catalogue.line_tokens, catalogue.tagged_tokens):
+        assert exchanges(query(spark, FOLDER)) == []
+
+
+def test_consistency_needs_no_exchange_of_terms(spark, monkeypatch):
+    monkeypatch.setattr(settings, "SPREAD_BYTES", 0)
+    found = exchanges(catalogue.tf_consistency(spark, FOLDER))
+    assert len(found) == 1 and "SinglePartition" in found[0]
+
+
 def test_scan_reads_needed_columns(spark):
     text = plan(catalogue.term_freq(spark, FOLDER))
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in text

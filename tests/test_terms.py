@@ -80,3 +80,12 @@ def test_vectors_and_minimum(words, counts):
     assert np.array_equal(dense[3], [3, 0, 1]) and np.array_equal(dense[1], [0, 2, 1])
     with pytest.raises(ValueError):
         tfidf.TermVectors.of(vocab, 3, max_terms=2)
+
+
+def test_inconsistent_counts_in_a_row(spark):
+    rows = spark.createDataFrame(
+        [(["a", "b"], [("a", 1), ("c", 2), ("b", 0)]), ([], []), (["a"], [("a", 1)])],
+        "words array<string>, counted array<struct<term:string,tf:int>>",
+    )
+    bad = rows.select(terms.inconsistent_counts(F.col("words"), F.col("counted")).alias("bad")).collect()
+    assert [[t.term for t in r.bad] for r in bad] == [["c", "b"], [], []]

@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from toposcope.functions.text import term_counts
 from toposcope.functions.vectors import symmetric_divergence
 from toposcope.operators import coherence, embeddings, lemma, nearest, paragraphs, report, split, terms, tfidf
 from toposcope.plans import workflows
@@ -219,23 +220,26 @@ def weighted_vectors(weighting: str) -> Query:
 
 
 def tf_consistency(spark: SparkSession, folder: str) -> DataFrame:
-    """Counted terms against the words of the document; expects no bad row."""
-    counts = doc_terms(spark, folder)
-    bad = terms.inconsistent_terms(counts, word_rows(spark, folder))
-    return counts.agg(F.count("*").alias("n_checked"), F.sum("tf").alias("n_words")).withColumn("n_bad", row_count(bad))
+    """Counted terms against the words of the same row; expects no bad one."""
+    rows = word_rows(spark, folder).select("words", term_counts(F.col("words")).alias("counted"))
+    bad = terms.inconsistent_counts(F.col("words"), F.col("counted"))
+    n_words = F.aggregate("counted", F.lit(0).cast("long"), lambda s, t: s + t["tf"])
+    return rows.agg(
+        F.sum(F.size("counted")).alias("n_checked"), F.sum(n_words).alias("n_words"), F.sum(F.size(bad)).alias("n_bad")
+    )
 
 
 # --- topics and coherence -----------------------------------------------------------------------
 
 
-def topics_of(counted: DataFrame) -> DataFrame:
-    """Ten terms with the greatest summed weight per language."""
+def topics_of(counted: DataFrame, n: int = 10) -> DataFrame:
+    """The ``n`` terms with the greatest summed weight per language."""
     key = (*KEY, "lang")
     counts = terms.listed_terms(counted, key)
     frequencies = terms.document_frequency(counts, MIN_DF)
     weights = tfidf.weigh_terms(counts, frequencies, row_count(counted), "relative", key)
     sums = weights.groupBy(F.col("lang").alias("topic"), "term").agg(r6(F.sum("weight")).alias("weight"))
-    return nearest.top_rows(sums, "topic", [F.desc("weight"), F.asc("term")], 10).select(
+    return nearest.top_rows(sums, "topic", [F.desc("weight"), F.asc("term")], n).select(
         "topic", "rank", "term", "weight"
     )
 
@@ -266,6 +270,15 @@ def umass_mean(spark: SparkSession, folder: str) -> DataFrame:
     return found.agg(r6(F.sum("umass") / F.count("*")).alias("umass"))
 
 
+def umass_long_topics(spark: SparkSession, folder: str) -> DataFrame:
+    """Coherence of topics of 12 and of 70 terms per language."""
+    counted = counted_rows(spark, folder, carry=("lang",))
+    sized = [(n, coherence.umass(checkpointed(topics_of(counted, n)), terms.contained_terms(counted))) for n in (12, 70)]
+    return workflows.union_all([
+        found.select(F.lit(n).alias("size"), "topic", r6(F.col("umass")).alias("umass"), "null_pairs") for n, found in sized
+    ])
+
+
 # --- word vectors -------------------------------------------------------------------------------
 
 
@@ -528,6 +541,14 @@ def topic_merge(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def topic_merge_unlabelled(spark: SparkSession, folder: str) -> DataFrame:
+    """Merged topics where most of the raw topics have no label."""
+    shifted = topic_map(spark, folder).withColumn("topic", F.col("topic") + 12)
+    return report.merge_topics(shifted, report.topic_labels(spark)).select(
+        "doc_id", "topic", "label", "rank", r6(F.col("weight")).alias("weight"), r6(F.col("top_weight")).alias("top_weight")
+    )
+
+
 def topic_share(spark: SparkSession, folder: str) -> DataFrame:
     return report.topic_shares(merged(spark, folder)).select("doc_id", "topic", "share")
 
@@ -641,6 +662,92 @@ def tfidf_cluster_words(spark: SparkSession, folder: str) -> DataFrame:
     return workflows.analyse("tfidf_clusters", corpus(spark, folder), 5, max_iter=20)["topics"]
 
 
+# --- what every fit must hold, whatever it found ---------------------------------------------------
+
+
+def in_falling_order(weight: str = "weight") -> Column:
+    """Whether a group's weights fall with ``rank``."""
+    weights = F.sort_array(F.collect_list(F.struct("rank", weight)))[weight]
+    return weights == F.sort_array(weights, asc=False)
+
+
+def lda_mixtures(spark: SparkSession, folder: str) -> DataFrame:
+    """Every paragraph's topic shares: their number, sum and order."""
+    shares = workflows.analyse("lda", corpus(spark, folder), 5, top=5, **FEW)["doc_topics"]
+    return shares.groupBy(*KEY).agg(
+        F.count_distinct("topic").alias("n_topics"), r6(F.sum("weight")).alias("total"), in_falling_order().alias("falling")
+    )
+
+
+def word_ranks(topics: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Per topic: its words, ranks, words under their own id, and whether the weights fall."""
+    own = vocab.select("term_id", F.col("term").alias("own"))
+    return topics.join(own, "term_id", "left").groupBy("topic").agg(
+        F.count_distinct("term").alias("n_words"), F.count_distinct("rank").alias("n_ranks"), F.max("rank").alias("last"),
+        F.count_if(F.col("term") == F.col("own")).alias("n_known"), in_falling_order().alias("falling"),
+    )
+
+
+def lda_word_ranks(spark: SparkSession, folder: str) -> DataFrame:
+    texts = corpus(spark, folder)
+    return word_ranks(workflows.analyse("lda", texts, 5, **FEW)["topics"], texts.vocab)
+
+
+def tfidf_cluster_ranks(spark: SparkSession, folder: str) -> DataFrame:
+    texts = corpus(spark, folder)
+    return word_ranks(workflows.analyse("tfidf_clusters", texts, 5)["topics"], texts.vocab)
+
+
+def lsa_word_ranks(spark: SparkSession, folder: str) -> DataFrame:
+    texts = corpus(spark, folder)
+    return word_ranks(workflows.analyse("lsa", texts, 5, rank=10, tables=("topics",))["topics"], texts.vocab)
+
+
+def lda_heldout_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of the held-out paragraphs, as likelihood over perplexity."""
+    measures = workflows.sweep("lda", corpus(spark, folder), [2, 4], **FEW)
+    by_name = measures.groupBy("k").agg(*[
+        F.max(F.when(F.col("metric") == name, F.col("value"))).alias(name) for name in ("logLikelihood", "logPerplexity")
+    ])
+    return by_name.select("k", F.round(-F.col("logLikelihood") / F.col("logPerplexity")).cast("long").alias("tokens"))
+
+
+def svd_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """Per concept: length of u (1 if the document side agrees with sigma), V'V against the identity, and energy."""
+    texts = corpus(spark, folder)
+    svd = workflows.decompose(texts, 10)
+    rows = texts.weighted("relative")
+    energy = rows.agg(F.sum(F.aggregate("weights", F.lit(0.0), lambda s, x: s + x * x))).scalar()
+    defect = np.abs(svd.v.T @ svd.v - np.eye(svd.rank)).max(axis=1)
+    per_concept = spark.createDataFrame([(i, float(d)) for i, d in enumerate(defect)], "concept int, defect double")
+    sizes = svd.left_vectors(svd.project(rows, texts.key), texts.key).groupBy("concept").agg(F.sum(F.col("u") ** 2).alias("u_size"))
+    return sizes.join(F.broadcast(per_concept), "concept").select(
+        "concept", r6(F.col("u_size")).alias("u_size"), r6(F.col("defect")).alias("v_defect"), r6(energy).alias("energy"),
+        (F.lit(float((svd.sigma**2).sum())) <= energy * (1 + 1e-9)).alias("within"),
+    )
+
+
+def lsa_document_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Every paragraph's concept weights: their number, order, and a squared sum of at most 1."""
+    shares = workflows.analyse("lsa", corpus(spark, folder), 5, rank=10, tables=("doc_topics",))["doc_topics"]
+    return shares.groupBy(*KEY).agg(
+        F.count_distinct("topic").alias("n_topics"), in_falling_order().alias("falling"),
+        (F.coalesce(F.sum(F.col("weight") ** 2), F.lit(0.0)) <= 1 + 1e-9).alias("within"),
+    )
+
+
+def embed_cluster_members(spark: SparkSession, folder: str) -> DataFrame:
+    """Paragraphs in k-means clusters, and those whose cluster isn't the nearest centre's."""
+    texts, vectors = corpus_and_vectors(spark, folder)
+    fit = workflows.cluster_embeddings(workflows.embed_documents(texts, vectors)[0], 5)
+    placed = fit.model.transform(fit.documents)
+    found = nearest.nearest_centres(placed, (*KEY, "cluster"), "vec", fit.centres, 1, "sqeuclidean")
+    return found.agg(
+        F.count("*").alias("n_docs"), F.count_distinct("cluster").alias("n_clusters"),
+        F.count_if(F.col("cluster") != F.col("topic")).alias("n_elsewhere"),
+    )
+
+
 SQL_CHECKED: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -653,6 +760,8 @@ SQL_CHECKED: dict[str, Query] = {
         divergence_words, lemmatise, lemma_stats, removed_tokens, unknown_forms, train_split, heldout_split,
         heldout_by_difference, topic_map_wide, topic_map_long, topic_words_wide, topic_merge, topic_share,
         topic_positions, topic_counts, docfreq_histogram, topic_captions, best_k, measures_wide,
+        umass_long_topics, topic_merge_unlabelled, lda_mixtures, lda_word_ranks, tfidf_cluster_ranks, lsa_word_ranks,
+        lda_heldout_tokens, svd_invariants, lsa_document_shares, embed_cluster_members,
     )
 }
 SQL_CHECKED |= {

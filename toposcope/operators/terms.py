@@ -142,3 +142,9 @@ def inconsistent_terms(doc_term: DataFrame, paragraphs: DataFrame, key: tuple[st
     words = paragraphs.select(*key, F.explode(F.array_distinct("words")).alias("term"))
     absent = doc_term.join(words, [*key, "term"], "left_anti")
     return absent.unionByName(doc_term.where(F.col("tf") <= 0))
+
+
+def inconsistent_counts(words: Column, counted: Column) -> Column:
+    """The same inside a row: those (term, tf) of ``counted`` whose term isn't among ``words`` or has no count."""
+    absent = F.array_except(counted["term"], words)
+    return F.filter(counted, lambda t: F.array_contains(absent, t["term"]) | (t["tf"] <= 0))

@@ -7,7 +7,7 @@ expressions.
 from __future__ import annotations
 
 from toposcope.catalogue import MIN_DF, STOP_WORDS
-from toposcope.operators.report import TOPIC_LABELS
+from toposcope.operators.report import TOPIC_LABELS, UNKNOWN
 from toposcope.sources.lexicon import SENTENCE_ENDS, STOP_TAGS, TREEBANK_TAGS
 
 
@@ -525,6 +525,43 @@ unknown AS (
   WHERE NOT regexp_full_match(lower(w), '[0-9]+') AND lower(w) NOT IN (SELECT word FROM vecs)
 )"""
     )
+    long_topics = [
+        "SELECT * FROM (" + with_(
+            COOC.replace("rank <= 10", f"rank <= {n}").replace(
+                "/ (10 * 9) AS umass FROM cooc",
+                "/ (any_value(m) * (any_value(m) - 1)) AS umass, count(*) FILTER (WHERE n_wj = 0) AS null_pairs "
+                "FROM cooc JOIN (SELECT topic, count(*) AS m FROM topics GROUP BY topic) USING (topic)",
+            ),
+            f"SELECT {n} AS size, topic, {r6('umass')} AS umass, null_pairs FROM umass",
+        ) + ")"
+        for n in (12, 70)
+    ]
+    sql["umass_long_topics"] = " UNION ALL ".join(long_topics)
+    sql["topic_merge_unlabelled"] = (
+        sql["topic_merge"]
+        .replace("merged AS topic, label, weight,", f"coalesce(merged, {UNKNOWN}) AS topic, label, weight,")
+        .replace("PARTITION BY doc_id, merged ORDER", f"PARTITION BY doc_id, coalesce(merged, {UNKNOWN}) ORDER")
+        .replace("FROM tmap JOIN labels17 ON raw_topic = tmap.topic", "FROM tmap LEFT JOIN labels17 ON raw_topic = tmap.topic + 12")
+    )
+    # Fits: what must hold for each document or topic, with the documents, words and weights taken from the tables.
+    docs = "(SELECT DISTINCT doc_id, para_no FROM weighed)"
+    sql["lda_mixtures"] = with_(WEIGHTS, f"SELECT doc_id, para_no, 5 AS n_topics, 1.0::DOUBLE AS total, true AS falling FROM {docs}")
+    sql["lsa_document_shares"] = with_(WEIGHTS, f"SELECT doc_id, para_no, 10 AS n_topics, true AS falling, true AS within FROM {docs}")
+    ranks = (
+        "SELECT topic::INT AS topic, n AS n_words, n AS n_ranks, n AS last, n AS n_known, true AS falling "
+        "FROM range(5) AS t(topic), (SELECT least(count(*), 10) AS n FROM vocab)"
+    )
+    for name in ("lda_word_ranks", "tfidf_cluster_ranks", "lsa_word_ranks"):
+        sql[name] = with_(VOCAB, ranks)
+    sql["lda_heldout_tokens"] = with_(
+        WEIGHTS, f"SELECT k, sum(tf)::BIGINT AS tokens FROM weighed, (VALUES (2), (4)) AS v(k) WHERE {SPLIT} >= 800 GROUP BY k"
+    )
+    sql["svd_invariants"] = with_(
+        WEIGHTS,
+        f"SELECT concept::INT AS concept, 1.0::DOUBLE AS u_size, 0.0::DOUBLE AS v_defect, energy, true AS within FROM range(10) AS t(concept), "
+        f"(SELECT {r6('sum((idf * tf / total) ** 2)')} AS energy FROM weighed)",
+    )
+    sql["embed_cluster_members"] = with_(WEIGHTS, f"SELECT count(*) AS n_docs, 5 AS n_clusters, 0 AS n_elsewhere FROM {docs}")
     sql["oov_words"] = with_(unknown, "SELECT word FROM unknown")
     sql["oov_count"] = with_(unknown, "SELECT count(*) AS n_unknown FROM unknown")
     return sql

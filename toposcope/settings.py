@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 1_000_000
+SPREAD_BYTES = 256 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -47,16 +48,22 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, *key: str) -> DataFrame:
-    """Spread a table with fewer splits than cores over all cores; leave larger tables as they are.
+    """Spread a small table with fewer splits than cores over all cores.
 
-    Text work costs far more per byte than reading, so one file's few splits would leave cores idle.
+    Text work costs far more per byte than reading, so one file's few splits would leave cores idle. A table
+    of more than ``SPREAD_BYTES`` on disk is never shuffled: its splits follow ``spark.sql.files.*``.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 2 * cores:
+    if planned_bytes(df) > SPREAD_BYTES or df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, *key)
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """Size of a plan's rows by Spark's own estimate; that of a scan is the size of its files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def computed_once(df: DataFrame, column: Column, name: str) -> DataFrame:
     """Add a costly column (a vector transform, say) so that later uses do not compute it again.
 
