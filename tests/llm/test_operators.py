@@ -149,6 +149,19 @@ def test_reparameterised_questions(spark):
     assert decontaminate.leaks(docs, bench.where("item_id = 99")).count() == 0
 
 
+def test_cut_quotes_and_values_that_fall_together(spark):
+    """Before: both inconsistent, so the pipeline kept them."""
+    item = "A train from Paris travels 120 km in 3 hours while another slow train that left the same old station goes back 80 km in 3 hours"
+    cut = item.replace("goes back 80 km in 3 hours", "met with 7 cows near Rome in 9 fields")
+    sums = "please add the apples 3 and 5 which the farmer sold to all of the neighbours"
+    bench = spark.createDataFrame([(1, item), (2, sums)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, cut), (2, sums.replace("3 and 5", "4 and 4"))], "doc_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.leaks(docs, bench).collect()}
+    assert {i: (r.item_id, r.kind, r.contaminated) for i, r in got.items()} == {1: (1, "verbatim", True), 2: (2, "reparameterised", True)}
+    assert cut[got[1].byte_start : got[1].byte_end] == item[: item.index(" goes back")]
+    assert decontaminate.remove_contaminated(docs, bench).count() == 0
+
+
 def test_secrets(spark, messy, none):
     key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
     rows = [(1, f'use token = "{key}" here'), (2, f"see commit {key} for it"), (3, "docs/manual/2021/chapter-index.html page"), (4, None), (None, f'api_key = "{key}"')]

@@ -2,9 +2,9 @@
 
 Texts become template tokens: numbers, names and units turn into typed placeholders, all else is
 lower-cased. Windows of template tokens of the benchmark are hash-joined with those of all documents. Where
-windows of an item line up in a document, the slots behind the placeholders are compared: equal values are
-a verbatim leak; values that differ, but so that one benchmark value always became the same other value,
-are a re-parameterised question; contradictory values are no leak.
+windows of an item line up in a document, the slots behind the placeholders are compared inside those windows:
+equal values are a verbatim leak; values that differ, but so that one benchmark value always became the same
+other value (two may become the same one), are a re-parameterised question; contradictory values are no leak.
 
 Benchmark windows are handed to the tasks in blocks of at most ``block_windows``; every block meets all
 documents, so the benchmark may have any size.
@@ -118,25 +118,19 @@ class Block:
             self.tables[width] = hashes[new], item[new], offset[new]
 
 
-def _compare(docs: Templates, bench: Templates, base: int, item: int, size: int) -> tuple[int, int, bool]:
-    """Slots, changed slots and whether the changes are consistent, for an item laid over document tokens from ``base``."""
+def _compare(docs: Templates, bench: Templates, item: int, offsets: np.ndarray, places: np.ndarray) -> tuple[int, int, bool]:
+    """Slots, changed slots and whether the changes are consistent, for an item's tokens laid over document tokens."""
     slots = changed = 0
     consistent = True
-    to, back = {}, {}
-    for k in range(size):
-        b, d = int(bench.first[item]) + k, base + k
-        kind = int(bench.slot[b])
+    to: dict[tuple[int, int], int] = {}
+    for k, d in zip((offsets + bench.first[item]).tolist(), places.tolist(), strict=True):
+        kind = int(bench.slot[k])
         if not kind:
             continue
+        x, y = int(bench.hashes[k]), int(docs.hashes[d])
         slots += 1
-        x, y = int(bench.hashes[b]), int(docs.hashes[d])
-        if x == y:
-            to.setdefault((kind, x), y)
-            back.setdefault((kind, y), x)
-            consistent &= to[kind, x] == y and back[kind, y] == x
-            continue
-        changed += 1
-        consistent &= int(docs.slot[d]) == kind and to.setdefault((kind, x), y) == y and back.setdefault((kind, y), x) == x
+        changed += x != y
+        consistent &= to.setdefault((kind, x), y) == y
     return slots, changed, consistent
 
 
@@ -166,32 +160,17 @@ def _matches(chunk: pa.RecordBatch, block: Block, coverage: int) -> Iterator[tup
             got = int(np.minimum(np.diff(token[a:b]), width).sum()) + width
             if 100 * got < coverage * n:
                 continue
-            start = int(base[a])
-            shift = max(0, int(docs.first[r]) - start)
-            end = min(start + n, int(docs.first[r + 1]))
-            slots, changed, consistent = _compare_range(docs, bench, start, i, shift, end - start)
+            own = np.flatnonzero(W.covered(n, token[a:b] - base[a], width))
+            slots, changed, consistent = _compare(docs, bench, i, own, own + base[a])
             kind = "verbatim" if not changed else "reparameterised" if consistent else "inconsistent"
             rank = (kind != "inconsistent", got, -changed)
             if (r, i) not in best or rank > best[r, i][0]:
-                begin = start + shift
-                best[r, i] = rank, (r, i, 100 * got // n, slots, changed, kind, int(docs.start[begin] - docs.offsets[r]), int(docs.end[end - 1] - docs.offsets[r]))
+                begin, end = int(own[0] + base[a]), int(own[-1] + base[a])
+                best[r, i] = rank, (r, i, 100 * got // n, slots, changed, kind, int(docs.start[begin] - docs.offsets[r]), int(docs.end[end] - docs.offsets[r]))
     for key in sorted(best):
         yield best[key][1]
 
 
-def _compare_range(docs: Templates, bench: Templates, base: int, item: int, low: int, high: int) -> tuple[int, int, bool]:
-    part = _Shifted(bench, item, low)
-    return _compare(docs, part, base + low, 0, high - low)
-
-
-class _Shifted:
-    """One item's tokens from ``low`` on, addressed like ``Templates``."""
-
-    def __init__(self, bench: Templates, item: int, low: int) -> None:
-        a, b = int(bench.first[item]) + low, int(bench.first[item + 1])
-        self.first, self.slot, self.hashes = [0], bench.slot[a:b], bench.hashes[a:b]
-
-
 def _find(batches: Iterator[pa.RecordBatch], block: object, coverage: int) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "item_id", "coverage", "n_slots", "n_changed", "kind", "byte_start", "byte_end"]
     for chunk in W.text_chunks(batches):
@@ -217,8 +196,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: int = 60, block_windo
     """``(doc_id, item_id, coverage, n_slots, n_changed, kind, byte_start, byte_end, contaminated)``.
 
     One row for each document and benchmark item of which at least ``coverage`` percent of the template tokens
-    line up in the document (its best occurrence). ``kind`` is verbatim, reparameterised or inconsistent; only
-    the first two are contaminated. Items of fewer than 5 tokens are not searched, those of fewer than 8 as one
+    line up in the document (its best occurrence). Slots are counted and compared in the windows that line up, and
+    the bytes are those from the first of them to the last. ``kind`` is verbatim, reparameterised or inconsistent;
+    only the first two are contaminated. Items of fewer than 5 tokens are not searched, those of fewer than 8 as one
     window. Null or empty texts match nothing, null item ids are skipped, null document ids stay null. Repeated
     rows give a row each. Other columns are not read.
     """
