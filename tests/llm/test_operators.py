@@ -162,6 +162,24 @@ def test_cut_quotes_and_values_that_fall_together(spark):
     assert decontaminate.remove_contaminated(docs, bench).count() == 0
 
 
+def test_items_poor_in_literals_broken_up_or_in_other_words(spark):
+    """Before: none of these was found."""
+    words = [f"{a}{b}" for a in ("ral", "tis", "mon", "ked", "pul") for b in ("a", "o", "en", "is", "ur", "ai", "el", "um")]
+    items = {
+        1: "Compute 12 + 7 - 3 x 4 + 5", 2: "What is 12 + 7 - 3 x 4 + 5 + 18 - 6 x 2 + 44 - 9 x 21", 3: " ".join(words), 4: "they met Rome " + " ".join(words[::-1]),
+        5: "the farmer has twelve sheep in the old barn behind his house", 6: "Tom buys 5 red pens. Ann buys 3 blue pens. Bob buys 4 green pens.", 7: "1 2 3",
+    }
+    half = " ".join(words[::-1])
+    texts = {
+        1: "Please Compute 12 + 7 - 3 x 4 + 5 now", 2: "So: what is 12 + 7 - 3 x 4 + 5 + 18 - 6 x 2 + 44 - 9 x 21?", 3: " ".join([*words[:20], "indeed", *words[20:]]), 4: "they met Rome " + half.replace(words[20], words[20] + " so to speak"),
+        5: items[5].replace("twelve", "twenty"), 6: "Eve buys 8 red pens. Zoe buys 6 blue pens. Max buys 2 green pens.", 7: "1 2 3", 8: "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20", 9: "Compute 11 + 7 - 3 x 4 + 5",
+    }
+    bench, docs = (spark.createDataFrame(list(x.items()), f"{i} long, text string") for x, i in ((items, "item_id"), (texts, "doc_id")))
+    got = bag(decontaminate.leaks(docs, bench).where("contaminated"), "doc_id", "item_id", "kind")
+    assert got == [(i, i, "reparameterised" if i > 4 else "verbatim") for i in range(1, 7)]
+    assert [r.doc_id for r in decontaminate.remove_contaminated(docs, bench).orderBy("doc_id").collect()] == [7, 8, 9]
+
+
 def test_secrets(spark, messy, none):
     key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
     rows = [(1, f'use token = "{key}" here'), (2, f"see commit {key} for it"), (3, "docs/manual/2021/chapter-index.html page"), (4, None), (None, f'api_key = "{key}"')]
