@@ -208,6 +208,24 @@ def test_preferences(spark, none):
     assert (got[4].n_common, got[4].chosen, got[4].rejected) == (1, "", "")
 
 
+def test_paired_conversations_use_every_turn(spark):
+    """Before: turns of an odd conversation below half of the even one's, or without a number, were on no side."""
+    sizes = {0: 8, 1: 2, 2: 3, 3: 6, 4: 2, 7: 2}
+    turns = [(c, t, "user", f"<{c}.{t}>") for c, n in sizes.items() for t in range(n)]
+    turns += [(1, None, "user", "<1.null>"), (0, None, "user", "<0.null>"), (None, 0, "user", "<null.0>"), (None, None, "user", "<null.null>")]
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = {r.pair_id: r for r in chat.format_preferences(chat.paired_conversations(table)).collect()}
+    said = lambda text: re.findall(r"<[\w]+\.\w+>", text)
+    whole = lambda c: [f"<{c}.{t}>" for t in range(sizes.get(c, 0))]
+    assert {x for r in got.values() for x in said(r.prompt + r.chosen + r.rejected)} == {t[3] for t in turns}
+    assert said(got[0].prompt) == ["<0.null>", *whole(0)[:4]] and said(got[0].chosen) == whole(0)[4:] and said(got[0].rejected) == ["<1.null>", *whole(1)]
+    assert said(got[1].prompt + got[1].rejected) == whole(2)[:1] + whole(3) and said(got[2].rejected) == []
+    assert (said(got[3].chosen), said(got[3].rejected)) == ([], whole(7))
+    assert said(got[None].chosen) == ["<null.null>", "<null.0>"] and got[None].rejected == ""
+    table = spark.read.parquet(f"{SF}/conversations.parquet")
+    assert chat.paired_conversations(table).select("text").distinct().count() == table.select("text").distinct().count()
+
+
 def test_best_fit_decreasing_against_a_plain_scan():
     draw = np.random.default_rng(0)
     for _ in range(30):

@@ -57,12 +57,17 @@ def format_preferences(turns: DataFrame, role: str = "assistant") -> DataFrame:
 def paired_conversations(conversations: DataFrame) -> DataFrame:
     """Preference pairs from plain conversations: ``(pair_id, side, turn, role, text)``.
 
-    Conversations 2k and 2k + 1 make pair k: the first is the chosen one; the rejected one has its first half of
-    turn numbers and goes on with the second's turns from there.
+    Conversations 2k and 2k + 1 make pair k. The first is the chosen one. The rejected one is the first's turns
+    below half of its turn numbers, then all turns of the second, whose numbers go on from there; so every turn of
+    the table is on a side. Turns without a number are the first of their conversation. A second conversation
+    without a first is rejected from its first turn. Turns without a conversation are all chosen, in a pair
+    without an id.
     """
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").withColumn("pair_id", F.floor(F.col("conv_id") / 2).cast("long"))
-    even = F.pmod(F.col("conv_id"), F.lit(2)) == 0
-    sizes = rows.where(even).groupBy("pair_id").agg(F.floor((F.max("turn") + 1) / 2).alias("half"))
-    rows = rows.join(sizes, "pair_id", "left").withColumn("early", F.col("turn") < F.coalesce("half", F.lit(0)))
-    sides = F.when(even & F.col("early"), F.array(F.lit("chosen"), F.lit("rejected"))).when(even, F.array(F.lit("chosen"))).when(~F.col("early"), F.array(F.lit("rejected")))
-    return rows.select("pair_id", F.explode(sides).alias("side"), "turn", "role", "text")
+    odd = F.coalesce(F.pmod(F.col("conv_id"), F.lit(2)) == 1, F.lit(False))
+    sizes = rows.where("pair_id is not null").groupBy("pair_id").agg(F.coalesce(F.floor((F.max(F.when(~odd, F.col("turn"))) + 1) / 2), F.lit(0)).alias("half"), F.min(F.when(odd, F.col("turn"))).alias("least"))
+    rows = rows.join(sizes, "pair_id", "left").withColumn("early", F.col("turn").isNull() | (F.col("turn") < F.col("half")))
+    both = F.array(F.lit("chosen"), F.lit("rejected"))
+    sides = F.when(odd, F.array(F.lit("rejected"))).when(F.col("pair_id").isNotNull() & F.col("early"), both).otherwise(F.array(F.lit("chosen")))
+    turn = F.when(odd, F.col("half") + F.coalesce(F.col("turn") - F.col("least") + 1, F.lit(0))).otherwise(F.col("turn"))
+    return rows.select("pair_id", F.explode(sides).alias("side"), turn.cast("long").alias("turn"), "role", "text")
