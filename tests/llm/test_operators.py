@@ -256,6 +256,23 @@ def test_shards(spark, messy, none):
     assert sharding.pack(none, shards=4).count() == 0
 
 
+def test_shards_of_a_capacity_hold_it(spark, monkeypatch):
+    """Before: each of the 4,096 crates was above this capacity, though all groups fit."""
+    docs = spark.range(40_000).selectExpr("id as doc_id", "concat(id % 20000, repeat('x', cast(id % 37 as int))) as text")
+    sizes = {}
+    for bound in (100, 100_000):
+        monkeypatch.setattr(sharding, "DRIVER_GROUPS", bound)
+        got = sharding.pack(docs, capacity=400).toPandas()
+        sums = got.groupby("shard")["size"].sum()
+        assert sums.max() <= 400 and len(got) == 40_000 and (got.groupby(["text_crc32", "size"])["shard"].nunique() == 1).all()
+        sizes[bound] = got["size"].sum() / 400 / len(sums)
+    assert sizes[100] > 0.9 and sizes[100_000] > 0.9
+    plain = spark.createDataFrame([(k, "y" * (s - 1) + str(k)) for k, s in enumerate([60, 50, 40, 30, 20, 500])], "doc_id long, text string")
+    got = sharding.pack(plain, capacity=101).toPandas()
+    sums = got.groupby("shard")["size"].sum()
+    assert sorted(sums)[-1] == 501 and sorted(sums)[-2] <= 101
+
+
 def test_toxicity(spark, messy, none):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = stored(toxicity.score(docs, labels))
