@@ -196,6 +196,22 @@ def test_secrets(spark, messy, none):
     assert secrets.find_secrets(none, model).collect() == [] and secrets.find_secrets(messy, model).count() >= 0
 
 
+def test_secrets_of_any_length_alphabet_and_form(spark):
+    """Before: only the plain runs of 16 signs or more were rows, and key=value was one of them."""
+    model = secrets.train(secrets.labelled_findings(spark.read.parquet(f"{SF}/documents.parquet")))
+    values = ["hunter2secret", "correcthorsebatterystaple", "P@ss!w0rd#2024$x", "48210957", "AbC123dEf456GhI789jKl012", "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"]
+    forms = ['password = "{}"', "api_key={} then", "curl host?token={}&page=2", '{{"db_password": "{}", "n": 1}}']
+    true = [(k, f.format(v), f.format("[SECRET]")) for k, (v, f) in enumerate((v, f) for v in values for f in forms)]
+    false = [(100 + k, t, t) for k, t in enumerate(["Note: the shop opens at 12:30", "title = \"three plain words\"", "see https://example.com/index", "the secret of the house", "a password is required here", "count=17"])]
+    docs = spark.createDataFrame([r[:2] for r in true + false], "doc_id long, text string")
+    found = stored(secrets.find_secrets(docs, model))
+    rows = {(r.doc_id, docs_text.encode()[r.byte_start : r.byte_end].decode()) for docs_text, r in ((dict(r[:2] for r in true + false)[r.doc_id], r) for r in found.collect())}
+    assert {(k, values[k // len(forms)]) for k, _, _ in true} <= rows
+    clean = {r.doc_id: r.text for r in secrets.redact(docs, found).collect()}
+    wrong = {k: clean[k] for k, _, want in true + false if clean[k] != want}
+    assert not wrong, wrong
+
+
 def test_preferences(spark, none):
     turns = [(1, "chosen", 0, "user", "hi"), (1, "rejected", 0, "user", "hi"), (1, "chosen", 1, "assistant", "yes"), (1, "rejected", 1, "assistant", "no <|im_end|>"),
              (2, "chosen", None, None, None), (3, "other", 0, "user", "x"), (4, "chosen", 0, "user", "a"), (4, "rejected", 0, "user", "a")]

@@ -1,6 +1,8 @@
 """Secret scanning with a random forest that removes false positives.
 
-A scan finds candidates: long runs of token characters that mix digits and letters. Each becomes a row of
+A scan finds candidates: long runs of token characters that mix digits and letters, cut at assignment signs;
+and every value after an assignment sign or a secret word, of any length and alphabet (to the closing quote, or
+to the next white space where there is none). Each becomes a row of
 numbers: its length, how often the kind of character changes, how much of it words of a dictionary cover,
 whether it looks like a path, and which words stand beside it. A random forest trained on labelled findings
 turns these into a score.
@@ -27,9 +29,9 @@ LEAST = 16
 SAMPLE_ROWS = 4000  # texts whose findings may be used for training
 NEIGHBOURS = (
     "token key secret password passwd pwd api apikey auth bearer access credential private "
-    "commit sha sha1 sha256 md5 hash checksum digest revision version uuid id path file url http https"
+    "passphrase pass pin credentials commit sha sha1 sha256 md5 hash checksum digest revision version uuid id path file url http https"
 ).split()
-FEATURES = ["length", "entropy", "digits", "uppers", "changes", "unlikely_pairs", "hex", "dictionary", "path", "quoted", "assigned", "repeated", *(f"near_{w}" for w in NEIGHBOURS)]
+FEATURES = ["length", "entropy", "digits", "uppers", "changes", "unlikely_pairs", "hex", "dictionary", "path", "quoted", "assigned", "repeated", "named", "signs", "words", *(f"near_{w}" for w in NEIGHBOURS)]
 # Everyday words; a secret rarely contains them.
 DICTIONARY = (
     "about after again also and are because been before best between both but can come could day did each even example file find first for from get give good great have "
@@ -39,6 +41,11 @@ DICTIONARY = (
     "placeholder changeme dummy default value string"
 ).split()
 _CANDIDATE = re.compile(rb"[A-Za-z0-9_\-+/=.]{%d,}" % LEAST)
+_ASSIGN = re.compile(rb"[=:]+>?")
+_NAMES = rb"(?:pass(?:word|wd|phrase)|pwd|secret|token|api[_ -]?key|(?:access|private|secret)[_ -]?key|bearer|credentials?|auth)"
+_NAMED = re.compile(rb"(?i:%s)[\"']?[ \t]+(?:(?:is|was)[ \t]+)?(?![=:])" % _NAMES)
+_NAMED_BEFORE = re.compile(rb"(?i:%s)[\"'\])]*[ \t]*(?:[=:]+>?|[ \t](?:is|was)|[ \t])[ \t\"'`]*$" % _NAMES)
+_VALUE = re.compile(rb"[ \t]*(?:\"((?:[^\"\\\n]|\\[^\n])+)\"|'((?:[^'\\\n]|\\[^\n])+)'|`([^`\n]+)`|((?:(?![&,;]\w+[=:])[^\x09-\x0D\x20])+))")
 _WORD = re.compile(rb"[a-z0-9]+")
 _PAIRS = {a + b for w in DICTIONARY for a, b in zip(w, w[1:], strict=False)}
 
@@ -66,34 +73,56 @@ def features(candidate: str, before: bytes, after: bytes) -> list[float]:
         float(n), -sum(k / n * math.log2(k / n) for k in counts), kinds.count(0) / n, kinds.count(2) / n, sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n,
         sum(a + b not in _PAIRS for a, b in letters) / max(1, len(letters)), float(all(c in "0123456789abcdef" for c in low)), float(seen.mean()),
         (candidate.count("/") + candidate.count(".")) / n, float(before[-1:] in (b'"', b"'") and after[:1] in (b'"', b"'")), float(tail.rstrip(b"\"' ")[-1:] in (b"=", b":")),
-        max(counts) / n, *(float(w.encode() in near) for w in NEIGHBOURS),
+        max(counts) / n, float(_NAMED_BEFORE.search(before) is not None), kinds.count(3) / n, float(len(candidate.split())), *(float(w.encode() in near) for w in NEIGHBOURS),
     ]
 
 
+def _runs(found: W.Words) -> Iterator[tuple[int, int]]:
+    """Spans of long runs that mix digits and letters; an assignment sign inside a run parts it."""
+    digit = np.r_[0, np.cumsum((found.data >= 48) & (found.data <= 57))]
+    for k in np.flatnonzero((found.end - found.start >= LEAST) & (digit[found.end] > digit[found.start])):
+        for m in _CANDIDATE.finditer(found.data[found.start[k] : found.end[k]].tobytes()):
+            # Padding may end a secret, the rest are word signs around it.
+            for part in re.finditer(rb"(?:[^=]|=+$)+", m.group()):
+                body = part.group().strip(b"=.-/")
+                if len(body) >= LEAST and re.search(rb"\d", body) and re.search(rb"[A-Za-z]", body):
+                    a = int(found.start[k]) + m.start() + part.start() + part.group().index(body)
+                    yield a, a + len(body)
+
+
+def _values(data: bytes, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Spans of what follows an assignment sign after a name, or a secret word, in the same row and line."""
+    for pattern in (_ASSIGN, _NAMED):
+        for m in pattern.finditer(data):
+            row = int(np.searchsorted(offsets, m.start(), side="right")) - 1
+            low, high = int(offsets[row]), int(offsets[row + 1])
+            if m.end() >= high or (pattern is _ASSIGN and not re.search(rb"[\w\"'`)\]\x80-\xff]$", data[max(low, m.start() - 9) : m.start()].rstrip(b" \t"))):
+                continue
+            v = _VALUE.match(data, m.end(), high)
+            if v is None:
+                continue
+            a, b = v.span(v.lastindex)
+            if v.lastindex == 4:
+                b = a + len(data[a:b].rstrip(b",;.)]}>\"'`"))
+            if b > a:
+                yield a, b
+
+
 def _scan(batches: Iterator[pa.RecordBatch], masked: bool) -> Iterator[pa.RecordBatch]:
     for chunk in W.text_chunks(batches):
         found = W.find_words(chunk.column("text"))
-        digit = np.r_[0, np.cumsum((found.data >= 48) & (found.data <= 57))]
-        long_ = (found.end - found.start >= LEAST) & (digit[found.end] > digit[found.start])
         ids, keys = chunk.column("doc_id").to_pylist(), chunk.column("text_crc32").to_pylist()
-        data, rows = found.data, []
-        for k in np.flatnonzero(long_):
-            row = int(np.searchsorted(found.first, k, side="right")) - 1
+        data, rows = found.data.tobytes(), []
+        for a, b in sorted({*_runs(found), *_values(data, found.offsets)}):
+            row = int(np.searchsorted(found.offsets, a, side="right")) - 1
             low, high = int(found.offsets[row]), int(found.offsets[row + 1])
-            for m in _CANDIDATE.finditer(data[found.start[k] : found.end[k]].tobytes()):
-                # Padding may end a secret, the rest are word signs around it.
-                whole = m.group()
-                body = whole.strip(b"=.-/").decode()
-                if len(body) < LEAST or not re.search(r"\d", body) or not re.search(r"[A-Za-z]", body):
-                    continue
-                a = int(found.start[k]) + m.start() + whole.index(body.encode())
-                b = a + len(body)
-                rows.append(
-                    {
-                        "doc_id": ids[row], "text_crc32": keys[row], "byte_start": a - low, "byte_end": b - low, "preview": body[:4] + "..." if masked else body,
-                        "secret_sha256": hashlib.sha256(body.encode()).hexdigest(), "features": features(body, data[max(low, a - 48) : a].tobytes(), data[b : min(high, b + 32)].tobytes()),
-                    }
-                )
+            body = data[a:b].decode("utf-8", "replace")
+            rows.append(
+                {
+                    "doc_id": ids[row], "text_crc32": keys[row], "byte_start": a - low, "byte_end": b - low, "preview": body[: min(4, len(body) // 4)] + "..." if masked else body,
+                    "secret_sha256": hashlib.sha256(data[a:b]).hexdigest(), "features": features(body, data[max(low, a - 48) : a], data[b : min(high, b + 32)]),
+                }
+            )
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
 
@@ -110,7 +139,8 @@ def _texts(docs: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, masked: bool = True) -> DataFrame:
     """Candidates of all texts with their features: one row each, in whole texts.
 
-    ``preview`` shows four characters (all, if not ``masked``). Null and empty texts have none; repeated rows
+    ``preview`` shows four characters, or a quarter of short ones (all, if not ``masked``). Spans may overlap: a
+    quoted value and a run inside it are both candidates. Null and empty texts have none; repeated rows
     and null ids keep theirs.
     """
     return _texts(docs).mapInArrow(partial(_scan, masked=masked), _DDL)
@@ -152,6 +182,33 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(v) >= LEAST:
                     out.append((0, f"{pick()} {pick()} ".encode(), v, f" {pick()}".encode()))
                     out.append((0, f"{pick()} path ".encode(), v, f" {pick()}".encode()))
+            # Short ones, other alphabets and other forms of assignment.
+            letters, digits = list("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"), list("0123456789")
+            chosen = lambda alphabet, low, high: "".join(draw.choice(alphabet, int(draw.integers(low, high))))
+            short = [
+                f"{pick()}{draw.integers(1, 100)}{pick()}", chosen(letters + digits, 8, 16), chosen(letters + digits + list("!@#$%^&*?"), 8, 24), chosen(letters, 8, 24),
+                f"{pick()}{pick()}{pick()}", chosen(digits, 6, 17), body["mixed"], body["hex"], body["url_safe"],
+            ]
+            names = ["password", "passwd", "db_password", "api_key", "apikey", "secret", "client_secret", "auth_token", "token", "PASSWORD", "API_KEY", "passphrase", "pwd", "userPassword"]
+            plain = ["title", "count", "name", "size", "lang", "note", "color", "year", "label", "class", "href", "width", pick(), pick(), pick()]
+            other = [pick(), f"{pick()} {pick()} {pick()}", str(int(draw.integers(0, 10 ** int(draw.integers(1, 9))))), str(year), f"{pick()}-{pick()}", f"//{pick()}.com/{pick()}", pick().capitalize(), f"{pick()}.{pick()}()", *short[:7:2]]
+            forms = [('{w} {n} = "', '" {w}'), ("{w} {n}: ", " {w}"), ("{w} {n}=", " {w}"), ('{{"{n}": "', '"}}'), ("{w}?{n}=", "&{w}=1"), ("{n} = '", "'\n"), ("{w} {w}\n{n}:", "\n")]
+            for label, keys, values in ((1, names, [*short, f"{pick()} {pick()} {pick()} {pick()}"]), (0, plain, other)):
+                for v in values:
+                    for k in draw.choice(len(forms), 3, replace=False):
+                        if " " in v and k in (1, 2, 4, 6):
+                            continue
+                        pre, post = (f.format(w=pick(), n=str(draw.choice(keys))) for f in forms[int(k)])
+                        out.append((label, pre.encode(), v, post.encode()))
+            for v in [short[0], short[1], short[2], body["mixed"]]:
+                out.append((1, f"{pick()} {draw.choice(names)} is ".encode(), v, f" {pick()}".encode()))
+                out.append((1, f"{pick()} {draw.choice(names)} ".encode(), v, f" {pick()}".encode()))
+            for v in (pick(), pick(), "is", "of", "and", "required", pick()):
+                out.append((0, f"{pick()} {draw.choice(names)} ".encode(), v, f" {pick()}".encode()))
+                out.append((0, f"{pick()} {draw.choice(names)} is ".encode(), v, f" {pick()}".encode()))
+            for v in ("null", "None", "true", "false", "string", "<value>", "${PASSWORD}"):
+                out.append((0, f"{pick()} {draw.choice(names)} = ".encode(), v, b"\n"))
+                out.append((0, f"{pick()} {draw.choice(names)}: ".encode(), v, f" {pick()}".encode()))
             out.append((0, f'{pick()} token = "'.encode(), f"your-{pick()}-token-here-1", b'"'))
             out.append((0, f'{pick()} password = "'.encode(), "example0000000000" + "x" * 8, b'"'))
         yield pa.RecordBatch.from_arrays(
@@ -163,8 +220,8 @@ def labelled_findings(docs: DataFrame, sample_rows: int = 400) -> DataFrame:
     """``(label, features)`` where no reviewed findings are at hand.
 
     For a bounded sample of texts (by hash of the text), findings are set among the text's own words: keys and
-    tokens in assignments as true ones; commit ids, digests, uuids, paths, identifiers, addresses and
-    placeholders as false ones. The text's checksum seeds the draw. Twenty texts of dictionary words join the
+    tokens in assignments, passwords and passphrases of any kind of sign as true ones; commit ids, digests, uuids,
+    paths, identifiers, addresses, placeholders, plain values and prose after a secret word as false ones. The text's checksum seeds the draw. Twenty texts of dictionary words join the
     sample, so that there is something to learn from where no text has a dozen plain words.
     """
     plain = docs.sparkSession.range(20).select(F.col("id").alias("doc_id"), F.lit(" ".join(DICTIONARY)).alias("text"), F.col("id").alias("text_crc32"))
@@ -200,8 +257,14 @@ def _redact(batches: Iterator[pa.RecordBatch], mark: bytes) -> Iterator[pa.Recor
                 out.append(text.as_py())
                 continue
             data = text.as_py().encode()
-            for s in sorted({(x["byte_start"], x["byte_end"]) for x in spans}, reverse=True):
-                data = data[: s[0]] + mark + data[s[1] :]
+            whole: list[list[int]] = []
+            for a, b in sorted({(x["byte_start"], x["byte_end"]) for x in spans}):
+                if whole and a < whole[-1][1]:
+                    whole[-1][1] = max(b, whole[-1][1])
+                else:
+                    whole.append([a, b])
+            for a, b in reversed(whole):
+                data = data[:a] + mark + data[b:]
             out.append(data.decode())
         yield batch.set_column(at, "text", pa.array(out, pa.string())).drop_columns(["secret_spans"])
 
