@@ -24,12 +24,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keep the document with the smallest id of each group: 5-word shingles, Jaccard similarity of 0.8 or more.
 
     Rows with a null id stay. Rows that repeat an id and its text leave one row; so do those of one id whose texts
-    are alike.
+    are alike. Unlike texts of one id are judged each for itself.
     """
-    groups = jaccard.similar_groups(docs, width=5, percent=80).select(F.col("doc_id").alias("own"), "component_id")
-    first = groups.where("own is null or own = component_id").distinct()
-    joined = docs.join(first.where("own is not null").withColumnRenamed("own", "doc_id").drop("component_id"), "doc_id", "left_semi")
-    return joined.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    groups = jaccard.labelled_groups(docs, width=5, percent=80).where("doc_id is not null and doc_id = component_id")
+    first = groups.groupBy(F.col("doc_id").alias("near_id"), F.col("label").alias("near_label")).agg(F.min("node").alias("near_first"))
+    own = jaccard.with_node(docs.where("doc_id is not null"), 5, "near_node")
+    joined = own.join(first, (own["doc_id"] == first["near_id"]) & own["near_node"].eqNullSafe(first["near_first"]))
+    return joined.dropDuplicates(["near_id", "near_label"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -442,3 +442,14 @@ def test_pipeline_stages_on_awkward_rows(spark):
     for table in (docs, docs.where("doc_id = -1")):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, table, SF).count() <= table.count()
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """Before: one of the two unlike texts of id 5 was lost, and a copy of id 3's text could stay in its place."""
+    far = " ".join(f"far{i}" for i in range(60))
+    rows = [(5, BASE), (5, NEAR), (5, far), (7, far), (3, "x y z " + far[:80]), (8, "x y z " + far[:80]), (8, "quite another text of id eight"), (9, ""), (9, None), (None, BASE)]
+    docs = spark.createDataFrame([(i, t, None, "s", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns
+    left = sorted((r.n_chars for r in got.collect()))
+    assert left in [[a, 2, 4, 6, b, 9] for a in (0, 1) for b in (7, 8)]

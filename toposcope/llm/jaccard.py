@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from toposcope.llm import words as W
 from toposcope.llm.graph import components
@@ -108,6 +109,20 @@ def _nodes(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.array(ids)], names=["doc_id", "n_shingles", "node"])
 
 
+def _with_node(batches: Iterator[pa.RecordBatch], width: int, name: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        low = 0
+        for chunk in W.text_chunks([batch]):
+            _, offsets, ids = _sets(chunk, width)
+            yield batch.slice(low, chunk.num_rows).append_column(name, pa.array(ids, pa.int64(), mask=np.diff(offsets) == 0))
+            low += chunk.num_rows
+
+
+def with_node(docs: DataFrame, width: int, name: str) -> DataFrame:
+    """``docs``, all columns, with the ``node`` of ``similar_groups`` for each row's text as ``name``; null without shingles."""
+    return docs.mapInArrow(partial(_with_node, width=width, name=name), StructType([*docs.schema.fields, StructField(name, LongType())]))
+
+
 def _split(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     return low, np.r_[low[1:], len(bucket)]
@@ -352,6 +367,11 @@ def similar_groups(docs: DataFrame, width: int = 4, percent: int = 85, least_fre
     null component and link nothing. Repeated rows stay; equal ids with different texts each count by their
     text. Columns other than ``doc_id`` and ``text`` are not read.
     """
+    return labelled_groups(docs, width, percent, least_frequent, most_keys).drop("label")
+
+
+def labelled_groups(docs: DataFrame, width: int = 4, percent: int = 85, least_frequent: int = 32, most_keys: int = 1 << 20) -> DataFrame:
+    """``similar_groups`` with ``label``, a node that tells components apart where an id has texts in several."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -387,8 +407,9 @@ def similar_groups(docs: DataFrame, width: int = 4, percent: int = 85, least_fre
 
     least = linked.groupBy("node").agg(F.min("doc_id").alias("least")).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     groups = least.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_node = stored(least.join(groups, "label").select("node", "component_id"))
+    by_node = stored(least.join(groups, "label").select("node", "component_id", "label"))
     return nodes.join(by_node, "node", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"),
         F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("label")).alias("label"),
     )
