@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from toposcope.llm import archives, chat, codes, decontaminate, jaccard, pieces, quality, secrets, sharding, substring, toxicity
+from toposcope.llm import archives, chat, codes, decontaminate, jaccard, pieces, quality, repair, secrets, sharding, substring, toxicity
 
 PIECE_MODEL = os.environ.get("TOPOSCOPE_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -70,6 +70,11 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return archives.convert_pages(table(spark, folder, "pages"), least_bytes=0)
 
 
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation damaged by its keys, its faults, and the cheapest legal repair with its audit."""
+    return repair.audit(table(spark, folder, "conversations"))
+
+
 def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     """All usable embeddings as 16 integer part codes of 64 entries after two rounds; errors and codebook hash."""
     return codes.encode(table(spark, folder, "embeddings")).drop("codes")
@@ -86,6 +91,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_warc": op10_warc,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_vector_codes": op13_vector_codes,
 }
 
