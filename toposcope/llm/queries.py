@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from toposcope.llm import archives, chat, codes, decontaminate, jaccard, pieces, quality, repair, secrets, sharding, substring, toxicity
+from toposcope.llm import archives, chat, codes, decontaminate, jaccard, neighbours, pieces, quality, repair, secrets, sharding, substring, toxicity
 
 PIECE_MODEL = os.environ.get("TOPOSCOPE_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -70,6 +70,11 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return archives.convert_pages(table(spark, folder, "pages"), least_bytes=0)
 
 
+def op11_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 nearest found by the adaptive dimension scan for every embedding whose id is divisible by 100."""
+    return neighbours.nearest(table(spark, folder, "embeddings"), k=10)
+
+
 def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     """Every conversation damaged by its keys, its faults, and the cheapest legal repair with its audit."""
     return repair.audit(table(spark, folder, "conversations"))
@@ -91,6 +96,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_warc": op10_warc,
+    "op11_nearest_neighbours": op11_nearest_neighbours,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_vector_codes": op13_vector_codes,
 }
