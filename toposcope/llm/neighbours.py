@@ -72,6 +72,12 @@ def rotation(width: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def _lists(v: np.ndarray, centres: np.ndarray, probed: int) -> np.ndarray:
+    """Nearest centre of each row (``probed`` = 0), else the ``probed`` nearest; rows × centres numbers at a time."""
+    near = (centres**2).sum(axis=1)[None, :] - 2 * v @ centres.T
+    return near.argmin(axis=1)[:, None] if not probed else np.argsort(near, axis=1, kind="stable")[:, :probed]
+
+
 def _index(centres: np.ndarray, turn: np.ndarray, probed: int):
     """Per batch: each row's nearest list and turned vector; with ``probed``, one row per probed list instead."""
 
@@ -80,8 +86,7 @@ def _index(centres: np.ndarray, turn: np.ndarray, probed: int):
             if not len(frame):
                 continue
             v = np.stack(frame["v"].to_numpy())
-            near = ((v[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
-            lists = near.argmin(axis=1)[:, None] if not probed else np.argsort(near, axis=1, kind="stable")[:, :probed]
+            lists = np.concatenate([_lists(v[low : low + 1024], centres, probed) for low in range(0, len(v), 1024)])
             at = np.repeat(np.arange(len(v)), lists.shape[1])
             turned = list(v @ turn)
             yield pd.DataFrame(
