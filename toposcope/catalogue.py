@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from toposcope.functions.text import term_counts
 from toposcope.functions.vectors import symmetric_divergence
-from toposcope.operators import coherence, embeddings, lemma, nearest, paragraphs, report, split, terms, tfidf
+from toposcope.operators import coherence, embeddings, lemma, nearest, paragraphs, randomised, report, split, terms, tfidf
 from toposcope.plans import workflows
 from toposcope.settings import checkpointed, row_count, small, spread, stored
 from toposcope.sources.text import document_lines
@@ -712,6 +712,34 @@ def lda_heldout_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return by_name.select("k", F.round(-F.col("logLikelihood") / F.col("logPerplexity")).cast("long").alias("tokens"))
 
 
+def uncut_decomposition(spark: SparkSession, folder: str) -> tuple[workflows.Corpus, DataFrame, randomised.RandomisedDecomposition]:
+    """Rank 200 of the paragraphs' idf-weighted term shares over every term (no vocabulary cut), randomised."""
+    texts = workflows.prepare(documents(spark, folder), STOP_WORDS, keep_trailing=True, min_df=MIN_DF, max_terms=None)
+    rows = texts.weighted("relative")
+    return texts, rows, randomised.RandomisedDecomposition.of(rows, texts.vocab.select("term_id", "term"), rank=200)
+
+
+def lsa_uncut_values(spark: SparkSession, folder: str) -> DataFrame:
+    """The 200 largest singular values of the uncut matrix."""
+    _, _, fit = uncut_decomposition(spark, folder)
+    return fit.values(spark).select("concept", r6(F.col("sigma")).alias("sigma"))
+
+
+def lsa_uncut_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """Per concept of the uncut rank-200 fit: V'V against the identity, u = A v / sigma of length 1 (within 5 %),
+    sigma falling, and the squared singular values within the matrix's energy."""
+    _, rows, fit = uncut_decomposition(spark, folder)
+    energy = randomised.energy(rows)
+    defect = fit.gram_defect()
+    per_concept = spark.createDataFrame(
+        [(i, float(d), bool(i + 1 == fit.rank or fit.sigma[i] >= fit.sigma[i + 1])) for i, d in enumerate(defect)], "concept int, defect double, falling boolean"
+    )
+    return fit.left_sizes().join(F.broadcast(per_concept), "concept").select(
+        "concept", r6(F.col("defect")).alias("v_defect"), (F.abs(F.col("u_size") - 1) <= 0.05).alias("u_near"), "falling",
+        r6(F.lit(energy)).alias("energy"), F.lit(bool((fit.sigma**2).sum() <= energy * (1 + 1e-9))).alias("within"),
+    )
+
+
 def svd_invariants(spark: SparkSession, folder: str) -> DataFrame:
     """Per concept: length of u (1 if the document side agrees with sigma), V'V against the identity, and energy."""
     texts = corpus(spark, folder)
@@ -761,7 +789,7 @@ SQL_CHECKED: dict[str, Query] = {
         heldout_by_difference, topic_map_wide, topic_map_long, topic_words_wide, topic_merge, topic_share,
         topic_positions, topic_counts, docfreq_histogram, topic_captions, best_k, measures_wide,
         umass_long_topics, topic_merge_unlabelled, lda_mixtures, lda_word_ranks, tfidf_cluster_ranks, lsa_word_ranks,
-        lda_heldout_tokens, svd_invariants, lsa_document_shares, embed_cluster_members,
+        lda_heldout_tokens, svd_invariants, lsa_document_shares, embed_cluster_members, lsa_uncut_invariants,
     )
 }
 SQL_CHECKED |= {
@@ -778,7 +806,7 @@ ROWS_ONLY: dict[str, Query] = {
     f.__name__: f
     for f in (
         lda_topics, lda_doc_topics, lda_sweep, lda_sweep_asymmetric, lda_cluster_words, svd_values, lsa_sweep,
-        embed_topics, embed_doc_topics, embed_sweep, tfidf_cluster_words,
+        embed_topics, embed_doc_topics, embed_sweep, tfidf_cluster_words, lsa_uncut_values,
     )
 }
 ROWS_ONLY |= {

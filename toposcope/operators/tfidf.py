@@ -62,11 +62,11 @@ class TermVectors:
     n_docs: int
 
     @classmethod
-    def of(cls, vocab: DataFrame, n_docs: int, max_terms: int = MAX_TERMS) -> TermVectors:
-        table = (
-            inverse_document_frequency(vocab, n_docs).select("term_id", "term", "idf").limit(max_terms + 1).toArrow()
-        )
-        if table.num_rows > max_terms:
+    def of(cls, vocab: DataFrame, n_docs: int, max_terms: int | None = MAX_TERMS) -> TermVectors:
+        """With ``max_terms=None`` every term of ``vocab`` is read: the vocabulary's own size is the bound."""
+        table = inverse_document_frequency(vocab, n_docs).select("term_id", "term", "idf")
+        table = (table if max_terms is None else table.limit(max_terms + 1)).toArrow()
+        if max_terms is not None and table.num_rows > max_terms:
             raise ValueError(f"vocabulary has more than {max_terms} terms; cut it with vocabulary(max_terms=...)")
         table = table.sort_by("term_id")
         return cls(table["term"].to_pylist(), table["idf"].to_numpy(), n_docs)

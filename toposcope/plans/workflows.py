@@ -77,7 +77,7 @@ def prepare_paragraphs(
     paragraphs: DataFrame,
     stop_words: list[str],
     min_df: int = 2,
-    max_terms: int = MAX_TERMS,
+    max_terms: int | None = MAX_TERMS,
     min_nonzeros: int = 0,
     case_sensitive: bool = False,
     key: tuple[str, ...] = KEY,
