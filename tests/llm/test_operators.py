@@ -453,3 +453,16 @@ def test_near_duplicates_of_repeated_ids(spark):
     assert got.columns == docs.columns
     left = sorted((r.n_chars for r in got.collect()))
     assert left in [[a, 2, 4, 6, b, 9] for a in (0, 1) for b in (7, 8)]
+    again = sorted((r.n_chars for r in jaccard.first_of_groups(docs).collect()))
+    assert again == left  # the same rows every time
+
+
+def test_first_of_groups_with_clashing_columns_and_no_rows(spark):
+    rows = [(5, BASE), (3, BASE), (3, BASE), (7, NEAR), (8, None), (None, BASE)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k long")
+    for c in ("_near_key", "near_id", "near_label", "node", "label", "component_id", "first", "copies"):
+        docs = docs.withColumn(c, F.lit(c))
+    got = jaccard.first_of_groups(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or -1, r._near_key) for r in got.collect()) == [(-1, "_near_key"), (3, "_near_key"), (8, "_near_key")]
+    assert jaccard.first_of_groups(docs.where("doc_id = -1")).count() == 0

@@ -103,10 +103,11 @@ def _distinct_sets(chunk: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.nd
     return shingles[take], out, ids[keep]
 
 
-def _nodes(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _nodes(batches: Iterator[pa.RecordBatch], width: int, carry: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
     for chunk in W.text_chunks(batches):
         _, offsets, ids = _sets(chunk, width)
-        yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.array(ids)], names=["doc_id", "n_shingles", "node"])
+        columns = [chunk.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.array(ids), *[chunk.column(c) for c in carry]]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "node", *carry])
 
 
 def _with_node(batches: Iterator[pa.RecordBatch], width: int, name: str) -> Iterator[pa.RecordBatch]:
@@ -370,13 +371,19 @@ def similar_groups(docs: DataFrame, width: int = 4, percent: int = 85, least_fre
     return labelled_groups(docs, width, percent, least_frequent, most_keys).drop("label")
 
 
-def labelled_groups(docs: DataFrame, width: int = 4, percent: int = 85, least_frequent: int = 32, most_keys: int = 1 << 20) -> DataFrame:
-    """``similar_groups`` with ``label``, a node that tells components apart where an id has texts in several."""
+def labelled_groups(
+    docs: DataFrame, width: int = 4, percent: int = 85, least_frequent: int = 32, most_keys: int = 1 << 20, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """``similar_groups`` with ``label``, a node that tells components apart where an id has texts in several.
+
+    The narrow columns named in ``carry`` (a row key, say) pass through to every row of the result.
+    """
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = every.where("doc_id is not null")
-    nodes = stored(every.mapInArrow(partial(_nodes, width=width), "doc_id long, n_shingles long, node long"))
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
+    texts = every.where("doc_id is not null").select("doc_id", "text")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in every.schema.fields if f.name in carry)
+    nodes = stored(every.mapInArrow(partial(_nodes, width=width, carry=carry), "doc_id long, n_shingles long, node long" + (f", {kinds}" if kinds else "")))
     linked = nodes.where("n_shingles > 0 and doc_id is not null")
     histogram = {r.n: r["count"] for r in linked.where(F.col("n_shingles") <= 2 * MOST_ENUMERATED).groupBy(F.col("n_shingles").alias("n")).count().collect()}
     light = boundary(histogram, percent)
@@ -409,7 +416,34 @@ def labelled_groups(docs: DataFrame, width: int = 4, percent: int = 85, least_fr
     groups = least.groupBy("label").agg(F.min("least").alias("component_id"))
     by_node = stored(least.join(groups, "label").select("node", "component_id", "label"))
     return nodes.join(by_node, "node", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"),
+        "doc_id", *carry, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"),
         F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("label")).alias("label"),
     )
+
+
+def first_of_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, that stand for their groups of near duplicates (``width``-word shingles,
+    Jaccard similarity of ``percent`` or more): those whose id is the least of their component.
+
+    Rows with a null id stay. Where one id has several rows in one component (repeated rows, or alike texts), the
+    row whose text has the least (node, text hash) stays, so exactly one; unlike texts of one id are judged each
+    for itself. Texts without shingles (null, empty, blank) link nothing: of one id's such rows one stays.
+
+    Survivors are chosen on narrow rows (id, text hash, node, label) and stored; the wide rows meet them in one
+    semi-join. Only rows that repeat both id and text hash are de-duplicated over their own small exchange.
+    Extra columns of any name pass through unread.
+    """
+    key = "_near_key"
+    while key in docs.columns:
+        key += "_"
+    text = F.col("text").cast("string")
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(text, F.lit("")), text.isNull()))
+    groups = labelled_groups(keyed, width, percent, carry=(key,)).where("doc_id is not null")
+    head = groups.where("doc_id = component_id")
+    chosen = head.groupBy("doc_id", "label").agg(F.min(F.struct("node", key)).alias("first")).select("doc_id", F.col("first")[key].alias(key))
+    copies = groups.groupBy("doc_id", key).agg(F.count("*").alias("copies"))
+    chosen = stored(chosen.join(copies, ["doc_id", key]))
+    single = keyed.join(chosen.where("copies = 1").drop("copies"), ["doc_id", key], "left_semi")
+    repeated = keyed.join(chosen.where("copies > 1").drop("copies"), ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key])
+    return single.unionByName(repeated).select(*docs.columns).unionByName(docs.where("doc_id is null"))
