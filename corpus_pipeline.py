@@ -7,7 +7,6 @@ the sampled pieces of each text that is left. ``run`` writes and rereads every s
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from toposcope.llm import decontaminate, jaccard, pieces, quality, queries, secrets
 from toposcope.settings import stored
@@ -26,11 +25,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows with a null id stay. Rows that repeat an id and its text leave one row; so do those of one id whose texts
     are alike. Unlike texts of one id are judged each for itself.
     """
-    groups = jaccard.labelled_groups(docs, width=5, percent=80).where("doc_id is not null and doc_id = component_id")
-    first = groups.groupBy(F.col("doc_id").alias("near_id"), F.col("label").alias("near_label")).agg(F.min("node").alias("near_first"))
-    own = jaccard.with_node(docs.where("doc_id is not null"), 5, "near_node")
-    joined = own.join(first, (own["doc_id"] == first["near_id"]) & own["near_node"].eqNullSafe(first["near_first"]))
-    return joined.dropDuplicates(["near_id", "near_label"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    return jaccard.first_of_groups(docs, width=5, percent=80)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
