@@ -70,3 +70,19 @@ def test_topics_of_any_length(spark, size):
     assert got == want
     total = sum(math.log(n + 1) - math.log(m) for n, m in want.values() if m)
     assert umass(topics, docs, KEY).first()["umass"] == pytest.approx(total / (size * (size - 1)))
+
+
+def test_hits_folded_in_rows_need_one_exchange(spark):
+    """The in-row bitmap path agrees with the joined one and shuffles once, for the (topic, masks) count."""
+    from pyspark.sql import functions as F
+
+    from toposcope.operators.coherence import topic_hits
+
+    topics = spark.createDataFrame([("a", 0, "x"), ("a", 1, "y"), ("b", 0, "y"), ("b", 70, "z"), ("c", 0, "w")], "topic string, rank int, term string")
+    sets = spark.createDataFrame([(1, ["x", "y", "y"]), (2, ["y"]), (3, ["z", "x", "q"]), (4, None), (5, []), (6, ["x", "y"])], "doc_id long, term array<string>")
+    folded = topic_hits(topics, sets, ("doc_id",))
+    joined = topic_hits(topics, sets.select("doc_id", F.explode("term").alias("term")), ("doc_id",))
+    as_rows = lambda df: sorted((r.topic, tuple(r.ranks), r.n_docs) for r in df.collect())
+    assert as_rows(folded) == as_rows(joined) == [("a", (0,), 1), ("a", (0, 1), 2), ("a", (1,), 1), ("b", (0,), 3), ("b", (70,), 1)]
+    plan = topic_hits(topics, sets, ("doc_id",))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan

@@ -252,7 +252,7 @@ def language_topics(spark: SparkSession, folder: str) -> DataFrame:
 def topics_and_terms(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Language topics and the documents' terms, from one pass over the texts."""
     counted = counted_rows(spark, folder, carry=("lang",))
-    return checkpointed(topics_of(counted)), terms.contained_terms(counted)
+    return checkpointed(topics_of(counted)), counted.select(*KEY, F.col("terms.term").alias("term"))
 
 
 def cooccurrence(spark: SparkSession, folder: str) -> DataFrame:
@@ -273,7 +273,8 @@ def umass_mean(spark: SparkSession, folder: str) -> DataFrame:
 def umass_long_topics(spark: SparkSession, folder: str) -> DataFrame:
     """Coherence of topics of 12 and of 70 terms per language."""
     counted = counted_rows(spark, folder, carry=("lang",))
-    sized = [(n, coherence.umass(checkpointed(topics_of(counted, n)), terms.contained_terms(counted))) for n in (12, 70)]
+    sets = counted.select(*KEY, F.col("terms.term").alias("term"))
+    sized = [(n, coherence.umass(checkpointed(topics_of(counted, n)), sets)) for n in (12, 70)]
     return workflows.union_all([
         found.select(F.lit(n).alias("size"), "topic", r6(F.col("umass")).alias("umass"), "null_pairs") for n, found in sized
     ])

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from toposcope.functions.vectors import cosine
 from toposcope.operators.terms import KEY
 from toposcope.settings import small
 
 MASK_BITS = 62
+IN_ROW_CELLS = 20_000  # topic terms whose bitmap goes with the plan; larger tables are joined instead
 
 
 def topic_pairs(topics: DataFrame, with_self: bool = False) -> DataFrame:
@@ -26,9 +28,17 @@ def topic_pairs(topics: DataFrame, with_self: bool = False) -> DataFrame:
 def topic_hits(topics: DataFrame, doc_term: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
     """``(topic, ranks, n_docs)``: documents per topic and set of the topic's terms they contain.
 
-    Each document sends one row per topic it touches, its ranks as bits of as many numbers as the longest
-    topic needs; documents with the same set are counted per task before the second shuffle.
+    ``doc_term`` is either ``(key, term)`` rows or one row per document with ``term`` an array of its terms
+    (repeats allowed). For the latter, and a topic table of at most ``IN_ROW_CELLS`` terms, each row folds its
+    terms into the topics' masks itself (``row_hits``): no exchange before the count. Otherwise each document
+    sends one row per topic it touches, its ranks as bits of as many numbers as the longest topic needs, and
+    documents with the same set are counted per task before the second shuffle.
     """
+    if isinstance(doc_term.schema["term"].dataType, ArrayType):
+        table = topics.select("topic", "rank", "term").limit(IN_ROW_CELLS + 1).collect()
+        if len(table) <= IN_ROW_CELLS:
+            return row_hits(table, doc_term.select("term"))
+        doc_term = doc_term.select(*key, F.explode("term").alias("term")).distinct()
     hits = doc_term.join(small(topics.select("topic", "rank", "term")), "term")
     longest = topics.agg(F.max("rank")).first()[0] or 0
     words = [f"mask{w}" for w in range(longest // MASK_BITS + 1)]
@@ -39,6 +49,37 @@ def topic_hits(topics: DataFrame, doc_term: DataFrame, key: tuple[str, ...] = KE
     return counts.select("topic", F.concat(*ranks).alias("ranks"), "n_docs")
 
 
+def row_hits(table: list, sets: DataFrame) -> DataFrame:
+    """``(topic, ranks, n_docs)`` from rows whose ``term`` array holds a document's terms.
+
+    ``table`` holds the topic table's ``(topic, rank, term)`` rows. An inverted bitmap maps each topic term to
+    its (topic, mask word, bit) places; it travels with the plan as one map. Every row folds its terms into
+    one mask per topic and word, inline, and sends a row per topic it touches to the only exchange: the
+    count of documents per (topic, masks), partly summed in each task.
+    """
+    topics = sorted({r["topic"] for r in table}, key=lambda t: (t is None, str(t)))
+    index = {t: i for i, t in enumerate(topics)}
+    width = max((r["rank"] for r in table), default=0) // MASK_BITS + 1
+    places: dict = {}
+    for r in table:
+        place = F.struct(F.lit(index[r["topic"]] * width + r["rank"] // MASK_BITS).alias("slot"), F.lit(1 << (r["rank"] % MASK_BITS)).cast("long").alias("bit"))
+        places.setdefault(r["term"], []).append(place)
+    if not places:
+        return sets.sparkSession.createDataFrame([], "topic string, ranks array<int>, n_docs long")
+    bitmap = F.create_map(*[x for term, found in places.items() for x in (F.lit(term), F.array(*found))])
+    empty = F.array().cast("array<struct<slot:int,bit:bigint>>")
+    hits = F.flatten(F.transform(F.array_distinct("term"), lambda t: F.coalesce(F.element_at(bitmap, t), empty)))
+    start = F.array_repeat(F.lit(0).cast("long"), len(topics) * width)
+    masks = F.aggregate(hits, start, lambda acc, h: F.transform(acc, lambda x, i: F.when(i == h["slot"], x.bitwiseOR(h["bit"])).otherwise(x)))
+    per_topic = F.transform(F.sequence(F.lit(0), F.lit(len(topics) - 1)), lambda ti: F.struct(ti.alias("ti"), F.slice(masks, ti * width + 1, width).alias("words")))
+    touched = F.filter(per_topic, lambda p: F.exists(p["words"], lambda w: w != 0))
+    counts = sets.where(F.col("term").isNotNull()).select(F.inline(touched)).groupBy("ti", "words").agg(F.count("*").alias("n_docs"))
+    names = F.array(*[F.lit(t) for t in topics])
+    ranks = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda w: F.transform(
+        F.filter(F.sequence(F.lit(0), F.lit(MASK_BITS - 1)), lambda r: F.getbit(F.element_at("words", w + 1), r) == 1), lambda r: r + w * MASK_BITS)))
+    return counts.select(F.element_at(names, F.col("ti") + 1).alias("topic"), ranks.alias("ranks"), "n_docs")
+
+
 def _set_bits(mask: str, base: int) -> Column:
     bits = F.filter(F.sequence(F.lit(0), F.lit(MASK_BITS - 1)), lambda r: F.getbit(mask, r) == 1)
     return F.transform(bits, lambda r: r + base)

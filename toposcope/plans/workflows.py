@@ -109,7 +109,8 @@ def coherence_measures(corpus: Corpus, topics: DataFrame, word_vectors: DataFram
     """Mean UMass and, with word vectors, mean embedding coherence of a topic table."""
     topics = checkpointed(topics)
     by_id = topics.select("topic", "rank", F.col("term_id").alias("term"))
-    out = {"umass": umass(by_id, corpus.document_terms, corpus.key, eta).agg(F.sum("umass") / k).first()[0]}
+    sets = corpus.rows.select(*corpus.key, F.col("ids").alias("term"))
+    out = {"umass": umass(by_id, sets, corpus.key, eta).agg(F.sum("umass") / k).first()[0]}
     if word_vectors is not None:
         out["word2vec"] = embedding_coherence(topics, word_vectors).agg(F.sum("coherence") / k).first()[0]
     return out
