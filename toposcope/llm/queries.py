@@ -102,6 +102,29 @@ QUERIES = {
 }
 
 SQL = {
+    "op13_vector_codes": """
+WITH v AS (
+  SELECT vec_id::BIGINT AS vec_id, label, list_transform(embedding, lambda x: floor(x * 256)::BIGINT) AS q, len(embedding) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+wd AS (SELECT w, w // 16 AS s FROM v ORDER BY vec_id NULLS LAST, q LIMIT 1),
+k AS (SELECT v.vec_id, v.label, v.q, wd.s, row_number() OVER () AS rid FROM v, wd WHERE v.w = wd.w AND wd.w % 16 = 0),
+comp AS (SELECT rid, (i - 1) // s AS part, (i - 1) % s AS pos, q[i] AS x FROM (SELECT rid, s, q, unnest(range(1, len(q) + 1)) AS i FROM k)),
+init AS (SELECT rid, row_number() OVER (ORDER BY vec_id NULLS LAST, q) - 1 AS entry FROM k QUALIFY entry < 64),
+cb0 AS (SELECT part, entry, pos, x FROM comp JOIN init USING (rid)),
+d0 AS (SELECT c.rid, c.part, b.entry, sum((c.x - b.x) * (c.x - b.x)) AS d FROM comp c JOIN cb0 b USING (part, pos) GROUP BY ALL),
+a0 AS (SELECT rid, part, entry, d FROM d0 QUALIFY row_number() OVER (PARTITION BY rid, part ORDER BY d, entry) = 1),
+u0 AS (SELECT c.part, a.entry, c.pos, sum(c.x) AS sx, count(*) AS n FROM comp c JOIN a0 a USING (rid, part) GROUP BY ALL),
+cb1 AS (SELECT b.part, b.entry, b.pos, coalesce(((u.sx - ((u.sx % u.n + u.n) % u.n)) // u.n)::BIGINT, b.x) AS x FROM cb0 b LEFT JOIN u0 u USING (part, entry, pos)),
+d1 AS (SELECT c.rid, c.part, b.entry, sum((c.x - b.x) * (c.x - b.x)) AS d FROM comp c JOIN cb1 b USING (part, pos) GROUP BY ALL),
+a1 AS (SELECT rid, part, entry, d FROM d1 QUALIFY row_number() OVER (PARTITION BY rid, part ORDER BY d, entry) = 1),
+u1 AS (SELECT c.part, a.entry, c.pos, sum(c.x) AS sx, count(*) AS n FROM comp c JOIN a1 a USING (rid, part) GROUP BY ALL),
+cb2 AS (SELECT b.part, b.entry, b.pos, coalesce(((u.sx - ((u.sx % u.n + u.n) % u.n)) // u.n)::BIGINT, b.x) AS x FROM cb1 b LEFT JOIN u1 u USING (part, entry, pos)),
+d2 AS (SELECT c.rid, c.part, b.entry, sum((c.x - b.x) * (c.x - b.x)) AS d FROM comp c JOIN cb2 b USING (part, pos) GROUP BY ALL),
+a2 AS (SELECT rid, part, entry, d FROM d2 QUALIFY row_number() OVER (PARTITION BY rid, part ORDER BY d, entry) = 1),
+rows AS (SELECT rid, string_agg(format('{:02x}', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY rid),
+books AS (SELECT sha256(coalesce(string_agg(x::VARCHAR, ',' ORDER BY part, entry, pos), '')) AS h FROM cb2)
+SELECT k.vec_id, k.label, rows.code, rows.error, (sum(rows.error) OVER (PARTITION BY k.label))::BIGINT AS label_error, books.h AS codebooks_sha256
+FROM k JOIN rows USING (rid), books""",
     "op1_substring_dedup": rf"""
 WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents),
 win AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
