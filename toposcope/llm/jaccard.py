@@ -140,17 +140,27 @@ def _count_keys(batches: Iterator[pa.RecordBatch], width: int, buckets: int) ->
         yield pa.RecordBatch.from_arrays([pa.array(bucket[low]), pa.array(payload, pa.binary())], names=["bucket", "payload"])
 
 
-def _frequent(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    keys, counts = [], []
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    """The packed payloads of a task, one bucket at a time: buckets that AQE put into one task are expanded one
+    by one (a bucket's keys or tokens are its own), so a task holds one expanded bucket at most."""
+    held: dict[int, list] = {}
     for batch in batches:
-        for payload in batch.column("payload"):
+        for bucket, payload in zip(batch.column("bucket").to_pylist(), batch.column("payload"), strict=True):
+            held.setdefault(bucket, []).append(payload)
+    for bucket in sorted(held):
+        yield held.pop(bucket)
+
+
+def _frequent(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    for payloads in _by_bucket(batches):
+        keys, counts = [], []
+        for payload in payloads:
             data = memoryview(payload.as_buffer())
             n = int(np.frombuffer(data, np.int64, 1)[0])
             keys.append(np.cumsum(W.from_planes(data[8:], n, np.uint64)))
             counts.append(W.from_planes(data[8 + 8 * n :], n, np.uint32))
-    if keys:
         key, count = np.concatenate(keys), np.concatenate(counts)
-        del keys, counts
+        del keys, counts, payloads
         order = np.argsort(key)
         key, count = key[order], count[order].astype(np.int64)
         low, _ = _split(key)
@@ -236,18 +246,22 @@ def _led(lists: DataFrame, percent: int) -> DataFrame:
 
 
 def _lists(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Inverted lists of one bucket: entries of lists with two nodes or more."""
+    """Inverted lists of each bucket: entries of lists with two nodes or more."""
+    for payloads in _by_bucket(batches):
+        yield from _bucket_lists(payloads)
+
+
+def _bucket_lists(payloads: list) -> Iterator[pa.RecordBatch]:
     token, node, size, place = [], [], [], []
-    for batch in batches:
-        for payload in batch.column("payload"):
-            data = memoryview(payload.as_buffer())
-            sets, n = (int(x) for x in np.frombuffer(data, np.int64, 2))
-            at = 16 + 8 * sets
-            counts = W.from_planes(data[at + 4 * sets :], sets, np.uint32)
-            node.append(np.repeat(np.frombuffer(data[16:], np.int64, sets), counts))
-            size.append(np.repeat(W.from_planes(data[at:], sets, np.uint32), counts))
-            place.append(W.from_planes(data[at + 8 * sets :], n, np.uint32))
-            token.append(np.frombuffer(data[at + 8 * sets + 4 * n :], np.uint64, n))
+    for payload in payloads:
+        data = memoryview(payload.as_buffer())
+        sets, n = (int(x) for x in np.frombuffer(data, np.int64, 2))
+        at = 16 + 8 * sets
+        counts = W.from_planes(data[at + 4 * sets :], sets, np.uint32)
+        node.append(np.repeat(np.frombuffer(data[16:], np.int64, sets), counts))
+        size.append(np.repeat(W.from_planes(data[at:], sets, np.uint32), counts))
+        place.append(W.from_planes(data[at + 8 * sets :], n, np.uint32))
+        token.append(np.frombuffer(data[at + 8 * sets + 4 * n :], np.uint64, n))
     if not token:
         return
     token, node, size, place = (np.concatenate(x) for x in (token, node, size, place))
