@@ -89,3 +89,18 @@ def test_inconsistent_counts_in_a_row(spark):
     )
     bad = rows.select(terms.inconsistent_counts(F.col("words"), F.col("counted")).alias("bad")).collect()
     assert [[t.term for t in r.bad] for r in bad] == [["c", "b"], [], []]
+
+
+def test_least_frequent_equals_a_sort_and_sends_little(spark):
+    """Exact against a sort with a limit, through ties on the frequency and on long term prefixes."""
+    import random
+
+    from toposcope.operators.terms import least_frequent
+
+    rng = random.Random(7)
+    rows = [(f"{rng.choice(['ab', 'abc', 'b', 'zz'])}{rng.randint(0, 999):03d}{i}", rng.choice([1, 2, 2, 2, 3, 5, 40, 41]), 1) for i in range(3000)]
+    rows += [("same" + "x" * 30 + str(i), 2, 1) for i in range(400)]
+    df = spark.createDataFrame(rows, "term string, df long, cf long").repartition(7)
+    for n in (0, 1, 10, 333, 1000, 3399, 5000):
+        want = sorted(rows, key=lambda r: (r[1], r[0]))[:n]
+        assert sorted(tuple(r) for r in least_frequent(df, "df", n).collect()) == sorted(want)

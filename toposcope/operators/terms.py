@@ -102,11 +102,56 @@ def number_rows(df: DataFrame, order: list, name: str) -> DataFrame:
     )
 
 
+def least_frequent(doc_freq: DataFrame, by: str, n: int) -> DataFrame:
+    """The ``n`` terms with the smallest ``by`` (at least 1), ties by term; exactly those of a sort and a limit.
+
+    A sort with a limit lets every task send n rows to one. Here the rows are narrowed by counts first, each
+    step a histogram over the rows still undecided, of keys that follow the order (``by``, ``term``): levels of
+    ``by`` (16 a power of two), then ``by`` itself, then term prefixes of one more character each time. Rows
+    whose key is below the bucket of the n-th row are taken; the rows of that bucket stay undecided. Steps end
+    when that bucket holds at most n rows, so at most 2n rows reach the sort. Each histogram has at most as many
+    rows as there are levels, values in a level, or characters after a prefix.
+    """
+    doc_freq = stored(doc_freq)
+    if n <= 0:
+        return doc_freq.limit(0)
+    level = F.floor(F.log2(F.greatest(F.col(by), F.lit(1))) * 16).cast("long")
+    keys = [level, F.col(by)]
+    taken, rest, need = F.lit(False), F.lit(True), n
+    longest = None
+    step = 0
+    while True:
+        if step < len(keys):
+            key = keys[step]
+        else:
+            if longest is None:
+                longest = doc_freq.where(rest).agg(F.max(F.length("term"))).first()[0] or 0
+            if step - len(keys) + 1 > longest:
+                break
+            key = F.substring("term", 1, step - len(keys) + 1)
+        counts = doc_freq.where(rest).groupBy(key.alias("k")).count().orderBy("k").collect()
+        below = 0
+        for row in counts:
+            if below + row["count"] >= need:
+                break
+            below += row["count"]
+        else:
+            taken = taken | rest  # fewer than n rows in all
+            break
+        taken = taken | (rest & (key < F.lit(row["k"])))
+        rest = rest & (key == F.lit(row["k"]))
+        need -= below
+        step += 1
+        if row["count"] <= n:
+            break
+    return doc_freq.where(taken | rest).orderBy(F.asc(by), F.asc("term")).limit(n)
+
+
 def trim_vocabulary(doc_freq: DataFrame, n: int, keep: str = "most") -> DataFrame:
     """The ``n`` terms with the highest (``most``) or lowest (``least``) document frequency."""
     if keep == "most":
         return most_frequent(doc_freq, "df", n)
-    return doc_freq.orderBy(F.asc("df"), F.asc("term")).limit(n)
+    return least_frequent(doc_freq, "df", n)
 
 
 def filter_extremes(
