@@ -104,3 +104,24 @@ def test_least_frequent_equals_a_sort_and_sends_little(spark):
     for n in (0, 1, 10, 333, 1000, 3399, 5000):
         want = sorted(rows, key=lambda r: (r[1], r[0]))[:n]
         assert sorted(tuple(r) for r in least_frequent(df, "df", n).collect()) == sorted(want)
+
+
+def test_signed_hashing_and_its_ledger(spark):
+    import hashlib
+
+    from toposcope.operators.terms import collision_ledger, hashed_terms
+
+    rows = [(f"t{i}é", 1, i + 1) for i in range(300)]
+    df = spark.createDataFrame(rows, "term string, df long, cf long")
+    got = {r.term: (r.slot, r.sign) for r in hashed_terms(df, 5).collect()}
+    for term, _, _ in rows:
+        h = hashlib.md5(term.encode()).hexdigest()
+        assert got[term] == (int(h[:8], 16) % 32, 1 if int(h[8], 16) % 2 == 0 else -1)
+    ledger = {r.slot: r for r in collision_ledger(hashed_terms(df, 5)).collect()}
+    by_slot = {}
+    for term, _, cf in rows:
+        by_slot.setdefault(got[term][0], []).append((cf, got[term][1]))
+    assert set(ledger) == {s for s, v in by_slot.items() if len(v) > 1}
+    for s, r in ledger.items():
+        cfs = [c for c, _ in by_slot[s]]
+        assert (r.n_terms, r.cf, r.lost_cf, r.signed_cf) == (len(cfs), sum(cfs), sum(cfs) - max(cfs), sum(c * g for c, g in by_slot[s]))

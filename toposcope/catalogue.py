@@ -161,6 +161,11 @@ def trim_vocab_most(spark: SparkSession, folder: str) -> DataFrame:
     return terms.trim_vocabulary(doc_freqs(spark, folder), 1000, "most")
 
 
+def hashed_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """Collisions of signed feature hashing of the whole vocabulary into 2^12 slots."""
+    return terms.collision_ledger(terms.hashed_terms(doc_freqs(spark, folder), 12))
+
+
 def trim_vocab_least(spark: SparkSession, folder: str) -> DataFrame:
     return terms.trim_vocabulary(doc_freqs(spark, folder), 1000, "least")
 
@@ -783,7 +788,7 @@ SQL_CHECKED: dict[str, Query] = {
         line_tokens, separator_lines, paragraphs_closed, paragraphs_all, paragraphs_next_line, paragraph_lines,
         conversation_paragraphs, stopword_filter_ci, stopword_filter_cs, stopword_filter_join, nonempty_docs,
         term_freq, term_freq_by_source, doc_freq, vocabulary, vocabulary_unbounded, trim_vocab_most,
-        trim_vocab_least, min_nonzeros, dict_filter, corpus_sizes, idf, tf_consistency, language_topics,
+        trim_vocab_least, hashed_ledger, min_nonzeros, dict_filter, corpus_sizes, idf, tf_consistency, language_topics,
         cooccurrence, umass_by_topic, umass_mean, doc_vectors, embed_coherence, oov_words, oov_count,
         embeddings_text, nearest_clusters, nearest_clusters_euclidean, nearest_words, nearest_words_euclidean,
         divergence_words, lemmatise, lemma_stats, removed_tokens, unknown_forms, train_split, heldout_split,

@@ -147,6 +147,30 @@ def least_frequent(doc_freq: DataFrame, by: str, n: int) -> DataFrame:
     return doc_freq.where(taken | rest).orderBy(F.asc(by), F.asc("term")).limit(n)
 
 
+def hashed_terms(doc_freq: DataFrame, bits: int) -> DataFrame:
+    """``(term, slot, sign, df, cf)``: signed feature hashing of every term, as the alternative to cutting rare ones.
+
+    ``slot`` is the first 32 bits of the MD5 of the term (UTF-8) modulo 2^bits, ``sign`` +1 or -1 by the lowest bit
+    of the next four. A vector over slots adds sign × weight, so that colliding terms cancel on average.
+    """
+    digest = F.md5(F.col("term"))
+    slot = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % (1 << bits)).cast("int")
+    sign = F.when(F.conv(F.substring(digest, 9, 1), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
+    return doc_freq.select("term", slot.alias("slot"), sign.alias("sign"), "df", "cf")
+
+
+def collision_ledger(hashed: DataFrame) -> DataFrame:
+    """``(slot, n_terms, cf, lost_cf, signed_cf)`` of every slot that two terms or more share.
+
+    ``lost_cf`` is the count of all but the heaviest term (the mass a slot lends to others), ``signed_cf`` what
+    the signs leave of the slot's count. One aggregation, summed per task before its shuffle.
+    """
+    found = hashed.groupBy("slot").agg(
+        F.count("*").alias("n_terms"), F.sum("cf").alias("cf"), F.max("cf").alias("most"), F.sum(F.col("sign") * F.col("cf")).alias("signed_cf")
+    )
+    return found.where("n_terms >= 2").select("slot", "n_terms", "cf", (F.col("cf") - F.col("most")).alias("lost_cf"), "signed_cf")
+
+
 def trim_vocabulary(doc_freq: DataFrame, n: int, keep: str = "most") -> DataFrame:
     """The ``n`` terms with the highest (``most``) or lowest (``least``) document frequency."""
     if keep == "most":

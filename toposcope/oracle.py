@@ -341,6 +341,12 @@ paras AS (
         "vocabulary_unbounded": with_(VOCAB, "SELECT * FROM vocab"),
         "trim_vocab_most": with_(FREQS, "SELECT * FROM freq ORDER BY df DESC, term LIMIT 1000"),
         "trim_vocab_least": with_(FREQS, "SELECT * FROM freq ORDER BY df, term LIMIT 1000"),
+        "hashed_ledger": with_(
+            FREQS,
+            "SELECT slot, count(*) AS n_terms, sum(cf)::BIGINT AS cf, (sum(cf) - max(cf))::BIGINT AS lost_cf, sum(sign * cf)::BIGINT AS signed_cf FROM ("
+            "SELECT *, (('0x' || substr(md5(term), 1, 8))::BIGINT % 4096)::INT AS slot, "
+            "CASE WHEN ('0x' || substr(md5(term), 9, 1))::INT % 2 = 0 THEN 1 ELSE -1 END AS sign FROM freq) GROUP BY slot HAVING count(*) >= 2",
+        ),
         "min_nonzeros": with_(
             FREQS,
             "SELECT doc_id, para_no, count(*) AS n_terms FROM dt JOIN freq USING (term) GROUP BY ALL HAVING count(*) > 20",
