@@ -14,7 +14,8 @@ ancestors differ; nodes are interned by (parent, edit, row and role given), so e
 between different nodes is a collision, found and treated as a difference. A comparison costs O(log length).
 
 Spark damages the rows (built-in functions only), groups the rows of each conversation into one call of the
-search, and returns one row per conversation. A conversation is one group; its rows are held by one task.
+search, and returns one row per conversation: rows are dealt by conversation, sorted within each task, and cut
+into conversations as they stream through one Arrow pass. A conversation's rows are held by one task.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ _END = re.compile(r"[^\x20\x09-\x0D](?=[\x20\x09-\x0D]*\Z)")
 START, SYSTEM, USER, DONE = range(4)
 ACCEPT = (START, DONE)
 
+_LONGS = ("n_rows", "gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+_ARROW = pa.schema([("conv_id", pa.int64()), *[(c, pa.int64()) for c in _LONGS], ("audit", pa.string()), ("repaired_sha256", pa.string())])
 SCHEMA = "conv_id long, n_rows long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string"
 
 
@@ -225,13 +228,30 @@ def summary(conv_id, turns: list, rows: list[tuple[str, str]]) -> dict:
     }
 
 
-def _conversation(group: pd.DataFrame) -> pd.DataFrame:
-    alive = group[group["alive"]]
-    order = alive.assign(unknown=alive["turn"].isna()).sort_values(["unknown", "turn", "role", "text"], ascending=[False, True, True, True], kind="stable")
-    turns = [None if pd.isna(t) else int(t) for t in order["turn"]]
-    conv_id = group["conv_id"].iloc[0]
-    row = summary(None if pd.isna(conv_id) else int(conv_id), turns, list(zip(order["role"], order["text"])))
-    return pd.DataFrame([row]).astype({"conv_id": "Int64"})
+def _conversations(batches):
+    """Rows sorted by conversation and order, cut into conversations as they stream by; one result per conversation."""
+    out, current, turns, rows = [], None, [], []
+    started = False
+
+    def flush():
+        if started:
+            out.append(summary(current, turns, rows))
+
+    for batch in batches:
+        ids, turn, role, text, alive = (batch.column(i).to_pylist() for i in range(5))
+        for c, t, r, x, a in zip(ids, turn, role, text, alive):
+            if not started or c != current:
+                flush()
+                current, turns, rows, started = c, [], [], True
+            if a:
+                turns.append(t)
+                rows.append((r, x))
+        if len(out) >= 1024:
+            yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
+            out = []
+    flush()
+    if out:
+        yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
 
 
 def audit(conversations: DataFrame) -> DataFrame:
@@ -243,4 +263,6 @@ def audit(conversations: DataFrame) -> DataFrame:
     than ``su``, ``ua`` and ``au``. ``repaired_sha256`` hashes the repaired ``role:text`` lines joined by newlines.
     A conversation without rows after damage has zeros, an empty audit and the hash of the empty string.
     """
-    return damaged(conversations).groupBy("conv_id").applyInPandas(_conversation, SCHEMA)
+    rows = damaged(conversations).repartition("conv_id")
+    order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text"]
+    return rows.sortWithinPartitions(*order).select("conv_id", "turn", "role", "text", "alive").mapInArrow(_conversations, SCHEMA)
