@@ -466,3 +466,22 @@ def test_first_of_groups_with_clashing_columns_and_no_rows(spark):
     assert got.columns == docs.columns
     assert sorted((r.doc_id or -1, r._near_key) for r in got.collect()) == [(-1, "_near_key"), (3, "_near_key"), (8, "_near_key")]
     assert jaccard.first_of_groups(docs.where("doc_id = -1")).count() == 0
+
+
+def test_secret_values_never_nest_in_texts_without_spaces():
+    """Before: every sign of minified JSON or ``a=a=a=…`` started a value to the end of the text (hours a MB)."""
+    import time
+
+    import pyarrow as pa
+
+    def scan(text):
+        batch = pa.record_batch({"doc_id": pa.array([1]), "text_crc32": pa.array([1]), "text": pa.array([text])})
+        return [r for b in secrets._scan(iter([batch]), False) for r in b.to_pylist()]
+
+    start = time.time()
+    for text in ("a=" * 300_000, ":".join(f"{i % 256:02x}" for i in range(200_000))):
+        found = scan(text)
+        assert len(found) == 1 and found[0]["byte_end"] - found[0]["byte_start"] > len(text) - 4
+    assert time.time() - start < 30
+    found = scan('{"user":"ann","token":"' + "ab12" * 10 + '","n":12345678901234567,"ok":true}')
+    assert [r["preview"] for r in found] == ["ann", "ab12" * 10, "12345678901234567", "true"]

@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
@@ -45,9 +46,13 @@ _ASSIGN = re.compile(rb"[=:]+>?")
 _NAMES = rb"(?:pass(?:word|wd|phrase)|pwd|secret|token|api[_ -]?key|(?:access|private|secret)[_ -]?key|bearer|credentials?|auth)"
 _NAMED = re.compile(rb"(?i:%s)[\"']?[ \t]+(?:(?:is|was)[ \t]+)?(?![=:])" % _NAMES)
 _NAMED_BEFORE = re.compile(rb"(?i:%s)[\"'\])]*[ \t]*(?:[=:]+>?|[ \t](?:is|was)|[ \t])[ \t\"'`]*$" % _NAMES)
-_VALUE = re.compile(rb"[ \t]*(?:\"((?:[^\"\\\n]|\\[^\n])+)\"|'((?:[^'\\\n]|\\[^\n])+)'|`([^`\n]+)`|((?:(?![&,;]\w+[=:])[^\x09-\x0D\x20])+))")
+# An unquoted value ends at white space, at a sign that closes a structure or a field (`,"` `}` `]` `;`), or where
+# `&name=` / `,name:` begins the next field.
+_VALUE = re.compile(rb"[ \t]*(?:\"((?:[^\"\\\n]|\\[^\n])+)\"|'((?:[^'\\\n]|\\[^\n])+)'|`([^`\n]+)`|((?:(?![&,;]\w+[=:]|,[\"']|[}\];])[^\x09-\x0D\x20])+))")
 _WORD = re.compile(rb"[a-z0-9]+")
 _PAIRS = {a + b for w in DICTIONARY for a, b in zip(w, w[1:], strict=False)}
+_DICTIONARY_AT = re.compile("(?=(%s))" % "|".join(sorted((w for w in DICTIONARY if len(w) > 2), key=len, reverse=True)))
+_NEIGHBOURS = [w.encode() for w in NEIGHBOURS]
 
 
 def _kind(c: str) -> int:
@@ -58,22 +63,19 @@ def features(candidate: str, before: bytes, after: bytes) -> list[float]:
     """The numbers of one candidate; ``before`` and ``after`` are the bytes beside it (some 40 are enough)."""
     n = len(candidate)
     low = candidate.lower()
-    counts = [candidate.count(c) for c in set(candidate)]
+    counts = list(Counter(candidate).values())
     kinds = [_kind(c) for c in candidate]
     letters = [(a, b) for a, b in zip(low, low[1:], strict=False) if a.isalpha() and b.isalpha()]
-    seen = np.zeros(n, dtype=bool)
-    for w in DICTIONARY:
-        at = low.find(w) if len(w) > 2 else -1
-        while at >= 0:
-            seen[at : at + len(w)] = True
-            at = low.find(w, at + 1)
+    seen = bytearray(n)
+    for m in _DICTIONARY_AT.finditer(low):  # at every place the longest dictionary word, which covers the shorter ones
+        seen[m.start() : m.start() + len(m.group(1))] = b"\x01" * len(m.group(1))
     near = set(_WORD.findall(before.lower())[-3:]) | set(_WORD.findall(after.lower())[:2])
     tail = before.rstrip()
     return [
         float(n), -sum(k / n * math.log2(k / n) for k in counts), kinds.count(0) / n, kinds.count(2) / n, sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n,
-        sum(a + b not in _PAIRS for a, b in letters) / max(1, len(letters)), float(all(c in "0123456789abcdef" for c in low)), float(seen.mean()),
+        sum(a + b not in _PAIRS for a, b in letters) / max(1, len(letters)), float(all(c in "0123456789abcdef" for c in low)), seen.count(1) / n,
         (candidate.count("/") + candidate.count(".")) / n, float(before[-1:] in (b'"', b"'") and after[:1] in (b'"', b"'")), float(tail.rstrip(b"\"' ")[-1:] in (b"=", b":")),
-        max(counts) / n, float(_NAMED_BEFORE.search(before) is not None), kinds.count(3) / n, float(len(candidate.split())), *(float(w.encode() in near) for w in NEIGHBOURS),
+        max(counts) / n, float(_NAMED_BEFORE.search(before) is not None), kinds.count(3) / n, float(len(candidate.split())), *(float(w in near) for w in _NEIGHBOURS),
     ]
 
 
@@ -91,21 +93,29 @@ def _runs(found: W.Words) -> Iterator[tuple[int, int]]:
 
 
 def _values(data: bytes, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Spans of what follows an assignment sign after a name, or a secret word, in the same row and line."""
-    for pattern in (_ASSIGN, _NAMED):
-        for m in pattern.finditer(data):
-            row = int(np.searchsorted(offsets, m.start(), side="right")) - 1
-            low, high = int(offsets[row]), int(offsets[row + 1])
-            if m.end() >= high or (pattern is _ASSIGN and not re.search(rb"[\w\"'`)\]\x80-\xff]$", data[max(low, m.start() - 9) : m.start()].rstrip(b" \t"))):
-                continue
-            v = _VALUE.match(data, m.end(), high)
-            if v is None:
-                continue
-            a, b = v.span(v.lastindex)
-            if v.lastindex == 4:
-                b = a + len(data[a:b].rstrip(b",;.)]}>\"'`"))
-            if b > a:
-                yield a, b
+    """Spans of what follows an assignment sign after a name, or a secret word, in the same row and line.
+
+    Signs and words are taken from left to right, and one inside a value already taken starts none: values never
+    nest, so their lengths add up to the text's at most (``a=a=a=…`` is one value, not one per sign).
+    """
+    marks = sorted((m.start(), m.end(), pattern is _ASSIGN) for pattern in (_ASSIGN, _NAMED) for m in pattern.finditer(data))
+    taken = 0
+    for start, end, sign in marks:
+        if start < taken:
+            continue
+        row = int(np.searchsorted(offsets, start, side="right")) - 1
+        low, high = int(offsets[row]), int(offsets[row + 1])
+        if end >= high or (sign and not re.search(rb"[\w\"'`)\]\x80-\xff]$", data[max(low, start - 9) : start].rstrip(b" \t"))):
+            continue
+        v = _VALUE.match(data, end, high)
+        if v is None:
+            continue
+        a, b = v.span(v.lastindex)
+        if v.lastindex == 4:
+            b = a + len(data[a:b].rstrip(b",;.)]}>\"'`"))
+        if b > a:
+            taken = b
+            yield a, b
 
 
 def _scan(batches: Iterator[pa.RecordBatch], masked: bool) -> Iterator[pa.RecordBatch]:
