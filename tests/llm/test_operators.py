@@ -485,3 +485,12 @@ def test_secret_values_never_nest_in_texts_without_spaces():
     assert time.time() - start < 30
     found = scan('{"user":"ann","token":"' + "ab12" * 10 + '","n":12345678901234567,"ok":true}')
     assert [r["preview"] for r in found] == ["ann", "ab12" * 10, "12345678901234567", "true"]
+
+
+def test_warc_record_ids_are_unique(spark, tmp_path):
+    """Before: two rows of page 5 with other urls, and a repeated row, had one and the same record id."""
+    rows = [(5, "http://a/", "<p>same</p>"), (5, "http://b/", "<p>same</p>"), (5, "http://a/", "<p>same</p>"), (7, "http://c/", "<p>same</p>"), (8, None, None), (9, "http://d/", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = archives.convert_pages(pages, f"{tmp_path}/warc").collect()
+    assert len(got) == len(rows) and len({r.record_id for r in got}) == len(rows)
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in got if r.page_id in (5, 7)) == [(5, "response", None)] * 3 + [(7, "revisit", 5)]

@@ -101,24 +101,25 @@ def record_id(page: str, digest: str) -> str:
 def warc_record(arc: ArcRecord, refers_to: tuple[str, str] | None = None) -> bytes:
     """The WARC record of an ARC record, without its closing CR LF CR LF.
 
-    ``refers_to`` (page, digest) makes a revisit: the HTTP header stays, the payload goes. The filedesc record
+    ``refers_to`` (page, row, digest) makes a revisit: the HTTP header stays, the payload goes. The filedesc record
     becomes a warcinfo record, blocks without an HTTP header a resource record.
     """
     d = arc.fields["Archive-date"].ljust(14, "0")
     date = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
     url = arc.fields["URL"]
     http, head, payload = _headers(arc.block)
-    page, digest = http.get("x-page-id", ""), digest32(payload)
+    page, row, digest = http.get("x-page-id", ""), http.get("x-row-id", ""), digest32(payload)
     kind = "warcinfo" if url.startswith("filedesc://") else "revisit" if refers_to else "response" if http else "resource"
     block = head if kind == "revisit" else arc.block
     lines = [
-        "WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page or url, digest)}", f"WARC-Date: {date}",
+        "WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(f'{page}/{row}' if http else url, digest)}", f"WARC-Date: {date}",
         f"WARC-Filename: {url[11:]}" if kind == "warcinfo" else f"WARC-Target-URI: {url or 'about:blank'}",
         "Content-Type: " + ("application/http; msgtype=response" if http else arc.fields["Content-type"]),
         f"WARC-Block-Digest: sha1:{digest32(block)}", f"WARC-Payload-Digest: sha1:{digest}", f"Content-Length: {len(block)}",
     ]
     if kind == "revisit":
-        lines[4:4] = [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(*refers_to)}", f"Refers-To-Page: {refers_to[0]}"]
+        first, first_row, first_digest = refers_to
+        lines[4:4] = [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(f'{first}/{first_row}', first_digest)}", f"Refers-To-Page: {first}"]
     return "\r\n".join(lines).encode("utf-8", "surrogateescape") + END + block
 
 
@@ -126,16 +127,16 @@ def _convert(batches: Iterator[pa.RecordBatch], date: str) -> Iterator[pa.Record
     """Pages as ARC archives of both versions, parsed and converted; one row per WARC record."""
     for chunk in W.text_chunks(batches, "html"):
         ids, urls = chunk.column("page_id").to_pylist(), chunk.column("url").to_pylist()
-        refers = chunk.column("refers_to").to_pylist()
+        refers, rows, first_rows = chunk.column("refers_to").to_pylist(), chunk.column("row").to_pylist(), chunk.column("refers_row").to_pylist()
         targets = {}
         files: dict[int, list] = {1: [], 2: []}
-        for i, url, html, first in zip(ids, urls, chunk.column("html"), refers, strict=True):
+        for i, url, html, first, row, first_row in zip(ids, urls, chunk.column("html"), refers, rows, first_rows, strict=True):
             payload = html.as_py()
             page = "" if i is None else str(i)
             if first is not None:
                 digest = digest32(payload)
-                targets[page, digest] = (str(first), digest)
-            head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\nX-Page-Id: {page}\r\n\r\n"
+                targets[page, str(row), digest] = (str(first), str(first_row), digest)
+            head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\nX-Page-Id: {page}\r\nX-Row-Id: {row}\r\n\r\n"
             clean = (url or "").replace("\n", "%0A").replace("\r", "%0D")
             files[1 + (i or 0) % 2].append((clean, "text/html", head.encode() + payload))
         out = []
@@ -144,19 +145,21 @@ def _convert(batches: Iterator[pa.RecordBatch], date: str) -> Iterator[pa.Record
                 name = f"pages-{ids[0]}-{len(ids)}.v{version}.arc"
                 for arc in parse_arc(b"".join(arc_bytes(version, name, date, iter(records)))):
                     http, _, payload = _headers(arc.block)
-                    out.append(warc_record(arc, targets.get((http["x-page-id"], digest32(payload))) if targets and http else None))
+                    out.append(warc_record(arc, targets.get((http["x-page-id"], http["x-row-id"], digest32(payload))) if targets and http else None))
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.large_binary()).cast(pa.binary())], names=["record"])
 
 
 def first_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """``(page_id, sha1, refers_to)`` of pages whose payload an earlier page (the smallest id) has too.
+    """``(page_id, sha1, refers_to, refers_row)`` of pages whose payload an earlier page (the smallest id) has too.
 
-    Only digests are shuffled; the groups are stored, so that both sides of the join are plain shuffles and a
-    payload of a third of all pages is split over several tasks.
+    ``pages`` has ``page_id, row, html``; ``refers_row`` is the least ``row`` of the smallest page id with the
+    payload, the response that revisits point to. Only digests are shuffled; the groups are stored, so that both
+    sides of the join are plain shuffles and a payload of a third of all pages is split over several tasks.
     """
-    digests = pages.select("page_id", F.sha1("html").alias("sha1"), F.octet_length("html").alias("size")).where(F.col("size") >= least_bytes)
-    groups = stored(digests.groupBy("sha1").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    return digests.join(groups, "sha1").where(F.col("page_id") != F.col("refers_to")).select("page_id", "sha1", "refers_to").distinct()
+    digests = pages.select("page_id", "row", F.sha1("html").alias("sha1"), F.octet_length("html").alias("size")).where(F.col("size") >= least_bytes)
+    first = F.min(F.struct("page_id", "row"))
+    groups = stored(digests.groupBy("sha1").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1").select("sha1", F.col("first.page_id").alias("refers_to"), F.col("first.row").alias("refers_row")))
+    return digests.join(groups, "sha1").where(F.col("page_id") != F.col("refers_to")).select("page_id", "sha1", "refers_to", "refers_row").distinct()
 
 
 def write_warc(records: DataFrame, path: str, records_per_file: int = 20_000) -> None:
@@ -231,13 +234,17 @@ def convert_pages(pages: DataFrame, path: str | None = None, least_bytes: int =
     Of pages with equal payloads of at least ``least_bytes``, the one with the smallest id is a response and the
     others revisit it. Null html is an empty payload. A null page id counts as largest and comes back as null;
     rows that repeat an id and its html have one type, a null url becomes about:blank. An empty table gives no
-    rows. ``path`` defaults to a new folder beside the checkpoints.
+    rows. Every record has its own WARC-Record-ID (page, Spark row id and payload digest), repeated rows too; a
+    revisit refers to the response of the least row of its first page. ``path`` defaults to a new folder beside the checkpoints.
     """
     spark = pages.sparkSession
     path = path or f"{ensure_checkpoint_dir(spark)}/warc/{uuid.uuid4().hex}"
-    rows = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(LAST)).alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    rows = pages.select(
+        F.coalesce(F.col("page_id").cast("long"), F.lit(LAST)).alias("page_id"), F.col("url").cast("string").alias("url"),
+        F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), F.monotonically_increasing_id().alias("row"),
+    )
     firsts = first_pages(rows, least_bytes)
     joined = rows.withColumn("sha1", F.sha1("html")).join(firsts, ["page_id", "sha1"], "left")
-    joined = joined.select(F.when(F.col("page_id") != LAST, F.col("page_id")).alias("page_id"), "url", "html", "refers_to")
+    joined = joined.select(F.when(F.col("page_id") != LAST, F.col("page_id")).alias("page_id"), "url", "html", "refers_to", "row", "refers_row")
     write_warc(joined.mapInArrow(partial(_convert, date=date), "record binary"), path)
     return read_warc(spark, path)
