@@ -55,3 +55,17 @@ def test_agrees_with_a_dense_svd_of_the_corpus(spark, rank):
     sizes = [r["u_size"] for r in fit.left_sizes().collect()]
     assert len(sizes) == rank and max(abs(x - 1) for x in sizes) < 0.05
     assert (fit.sigma**2).sum() <= randomised.energy(rows) * (1 + 1e-9)
+
+
+def test_topics_read_off_the_distributed_vectors(spark):
+    rng = np.random.default_rng(4)
+    m = rng.standard_normal((200, 3)) @ np.diag([8.0, 4.0, 2.0]) @ rng.standard_normal((3, 120))
+    df = spark.createDataFrame([(list(range(120)), row.tolist()) for row in m], "ids array<int>, weights array<double>")
+    vocab = spark.createDataFrame([(i, f"t{i:03d}") for i in range(120)], "term_id int, term string")
+    fit = randomised.RandomisedDecomposition.of(df, vocab, rank=3, power_steps=1)
+    dense = np.abs(np.linalg.svd(m)[2][:3])
+    got = {}
+    for r in fit.topics(3, 5).collect():
+        got.setdefault(r["topic"], []).append((r["rank"], r["term"]))
+    for k in range(3):
+        assert [t for _, t in sorted(got[k])] == [f"t{i:03d}" for i in np.argsort(-dense[k], kind="stable")[:5]]

@@ -731,6 +731,12 @@ def lsa_uncut_values(spark: SparkSession, folder: str) -> DataFrame:
     return fit.values(spark).select("concept", r6(F.col("sigma")).alias("sigma"))
 
 
+def lsa_uncut_topics(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten terms of largest absolute weight in each of the first five concepts of the uncut rank-200 fit."""
+    _, _, fit = uncut_decomposition(spark, folder)
+    return fit.topics(5, 10).select("topic", "rank", "term", r6(F.col("weight")).alias("weight"))
+
+
 def lsa_uncut_invariants(spark: SparkSession, folder: str) -> DataFrame:
     """Per concept of the uncut rank-200 fit: V'V against the identity, u = A v / sigma of length 1 (within 5 %),
     sigma falling, and the squared singular values within the matrix's energy."""
@@ -812,7 +818,7 @@ ROWS_ONLY: dict[str, Query] = {
     f.__name__: f
     for f in (
         lda_topics, lda_doc_topics, lda_sweep, lda_sweep_asymmetric, lda_cluster_words, svd_values, lsa_sweep,
-        embed_topics, embed_doc_topics, embed_sweep, tfidf_cluster_words, lsa_uncut_values,
+        embed_topics, embed_doc_topics, embed_sweep, tfidf_cluster_words, lsa_uncut_values, lsa_uncut_topics,
     )
 }
 ROWS_ONLY |= {
