@@ -567,11 +567,13 @@ unknown AS (
         f"SELECT concept::INT AS concept, 1.0::DOUBLE AS u_size, 0.0::DOUBLE AS v_defect, energy, true AS within FROM range(10) AS t(concept), "
         f"(SELECT {r6('sum((idf * tf / total) ** 2)')} AS energy FROM weighed)",
     )
+    # The rank of the weights: their different rows (equal paragraphs repeat a row), at most 200 and the terms.
     sql["lsa_uncut_invariants"] = with_(
         WEIGHTS,
         f"SELECT concept::INT AS concept, 0.0::DOUBLE AS v_defect, true AS u_near, true AS falling, energy, true AS within "
-        f"FROM (SELECT {r6('sum((idf * tf / total) ** 2)')} AS energy, least(200, count(DISTINCT (doc_id, para_no)), count(DISTINCT term)) AS n FROM weighed), "
-        f"range(200) AS t(concept) WHERE concept < n",
+        f"FROM (SELECT {r6('sum((idf * tf / total) ** 2)')} AS energy, count(DISTINCT term) AS n_terms FROM weighed), "
+        f"(SELECT least(200, count(DISTINCT v)) AS n_rows FROM (SELECT list((term, round(idf * tf / total, 12)) ORDER BY term) AS v FROM weighed GROUP BY doc_id, para_no)), "
+        f"range(200) AS t(concept) WHERE concept < least(n_rows, n_terms)",
     )
     sql["embed_cluster_members"] = with_(WEIGHTS, f"SELECT count(*) AS n_docs, 5 AS n_clusters, 0 AS n_elsewhere FROM {docs}")
     sql["oov_words"] = with_(unknown, "SELECT word FROM unknown")
