@@ -494,3 +494,14 @@ def test_warc_record_ids_are_unique(spark, tmp_path):
     got = archives.convert_pages(pages, f"{tmp_path}/warc").collect()
     assert len(got) == len(rows) and len({r.record_id for r in got}) == len(rows)
     assert sorted((r.page_id, r.record_type, r.refers_to) for r in got if r.page_id in (5, 7)) == [(5, "response", None)] * 3 + [(7, "revisit", 5)]
+
+
+def test_every_verbatim_benchmark_item_is_found(spark):
+    """Brute force: every item of 8 words or more that a document holds as a substring is a verbatim leak of it."""
+    sf = "/root/testdata/sf0.01"
+    docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    items = [(r.item_id, r.text) for r in bench.collect() if r.text and len(r.text.split()) >= 8]
+    want = {(r.doc_id, i) for r in docs.collect() if r.text for i, t in items if t in r.text}
+    assert want  # the tables plant such passages
+    got = {(r.doc_id, r.item_id): (r.kind, r.contaminated) for r in decontaminate.leaks(docs, bench).collect()}
+    assert all(got.get(pair) == ("verbatim", True) for pair in want), sorted(p for p in want if got.get(p) != ("verbatim", True))[:5]
