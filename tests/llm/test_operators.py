@@ -505,3 +505,22 @@ def test_every_verbatim_benchmark_item_is_found(spark):
     assert want  # the tables plant such passages
     got = {(r.doc_id, r.item_id): (r.kind, r.contaminated) for r in decontaminate.leaks(docs, bench).collect()}
     assert all(got.get(pair) == ("verbatim", True) for pair in want), sorted(p for p in want if got.get(p) != ("verbatim", True))[:5]
+
+
+def test_shard_columns_against_plain_code(spark):
+    """size, text_crc32, gapless slots per shard and equal texts together, by plain code over the whole table."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = queries.op7_sharding(spark, SF).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        raw = (texts[r.doc_id] or "").encode()
+        assert r.size == len(raw) + 1 and r.text_crc32 == zlib.crc32(raw)  # null text: no bytes
+        assert 0 <= r.shard < 16
+    slots = {}
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    home = {}
+    for r in got:
+        assert home.setdefault(texts[r.doc_id], r.shard) == r.shard
