@@ -8,12 +8,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from toposcope.functions.text import term_counts
 from toposcope.functions.vectors import symmetric_divergence
-from toposcope.operators import coherence, embeddings, lemma, nearest, paragraphs, randomised, report, split, terms, tfidf
+from toposcope.operators import audit, coherence, embeddings, lemma, nearest, paragraphs, randomised, report, split, terms, tfidf
 from toposcope.plans import workflows
 from toposcope.settings import checkpointed, row_count, small, spread, stored
 from toposcope.sources.text import document_lines
@@ -725,6 +727,16 @@ def uncut_decomposition(spark: SparkSession, folder: str) -> tuple[workflows.Cor
     return texts, rows, randomised.RandomisedDecomposition.of(rows, texts.vocab.select("term_id", "term"), rank=200)
 
 
+def kmeans_stationary(spark: SparkSession, folder: str) -> DataFrame:
+    """k-means (k = 10) of the embedding vectors fitted to a fixed point, audited by sufficient sums: per cluster
+    whether its centre is its members' mean, and the rows counted in all."""
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet").where(F.col("embedding").isNotNull())
+    vectors = vectors.where(~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    fit = KMeans(k=10, maxIter=1000, tol=0.0, seed=7, featuresCol="features").fit(vectors.select(array_to_vector("embedding").alias("features")))
+    found = audit.centre_audit(vectors, "embedding", np.array(fit.clusterCenters()))
+    return found.select("cluster", (F.col("defect") <= 1e-9).alias("stationary"), F.sum("size").over(Window.partitionBy()).alias("n_rows"))
+
+
 def lsa_uncut_values(spark: SparkSession, folder: str) -> DataFrame:
     """The 200 largest singular values of the uncut matrix."""
     _, _, fit = uncut_decomposition(spark, folder)
@@ -801,7 +813,7 @@ SQL_CHECKED: dict[str, Query] = {
         heldout_by_difference, topic_map_wide, topic_map_long, topic_words_wide, topic_merge, topic_share,
         topic_positions, topic_counts, docfreq_histogram, topic_captions, best_k, measures_wide,
         umass_long_topics, topic_merge_unlabelled, lda_mixtures, lda_word_ranks, tfidf_cluster_ranks, lsa_word_ranks,
-        lda_heldout_tokens, svd_invariants, lsa_document_shares, embed_cluster_members, lsa_uncut_invariants,
+        lda_heldout_tokens, svd_invariants, lsa_document_shares, embed_cluster_members, lsa_uncut_invariants, kmeans_stationary,
     )
 }
 SQL_CHECKED |= {

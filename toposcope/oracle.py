@@ -575,6 +575,10 @@ unknown AS (
         f"(SELECT least(200, count(DISTINCT v)) AS n_rows FROM (SELECT list((term, round(idf * tf / total, 12)) ORDER BY term) AS v FROM weighed GROUP BY doc_id, para_no)), "
         f"range(200) AS t(concept) WHERE concept < least(n_rows, n_terms)",
     )
+    sql["kmeans_stationary"] = (
+        "SELECT cluster::INT AS cluster, true AS stationary, n AS n_rows FROM range(10) AS t(cluster), "
+        "(SELECT count(*) AS n FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)"
+    )
     sql["embed_cluster_members"] = with_(WEIGHTS, f"SELECT count(*) AS n_docs, 5 AS n_clusters, 0 AS n_elsewhere FROM {docs}")
     sql["oov_words"] = with_(unknown, "SELECT word FROM unknown")
     sql["oov_count"] = with_(unknown, "SELECT count(*) AS n_unknown FROM unknown")
