@@ -118,7 +118,7 @@ FETCHES = {
     "stop_list", "of", "word_matrix", "joined_means", "coherence_measures", "label_centres", "sizes", "topic_hits",
     "lda_topics", "vector_width", "held_out_tokens",
     # histograms of levels, values in a level or characters after a prefix; one width x width R; k x k Gram; sums
-    "least_frequent", "tsqr", "gram_defect", "energy",
+    "least_frequent", "tsqr", "gram_defect", "energy", "lda_heldout_bound",
 }
 
 

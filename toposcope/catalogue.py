@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from toposcope.functions.text import term_counts
 from toposcope.functions.vectors import symmetric_divergence
-from toposcope.operators import audit, coherence, embeddings, lemma, nearest, paragraphs, randomised, report, split, terms, tfidf
+from toposcope.operators import audit, coherence, embeddings, heldout, lemma, nearest, paragraphs, randomised, report, split, terms, tfidf
 from toposcope.plans import workflows
 from toposcope.settings import checkpointed, row_count, small, spread, stored
 from toposcope.sources.text import document_lines
@@ -727,6 +727,19 @@ def uncut_decomposition(spark: SparkSession, folder: str) -> tuple[workflows.Cor
     return texts, rows, randomised.RandomisedDecomposition.of(rows, texts.vocab.select("term_id", "term"), rank=200)
 
 
+def lda_heldout_bound(spark: SparkSession, folder: str) -> DataFrame:
+    """Per held-out paragraph: words and the LDA bound under fixed topics (the training paragraphs of each language,
+    λ = 0.1 + counts) and the fixed uniform mixture (α = 0.5)."""
+    counted = counted_rows(spark, folder, carry=("lang",))
+    vocab = doc_freqs(spark, folder).select("term")
+    rows = counted.select(*KEY, F.coalesce("lang", F.lit("")).alias("topic"), F.inline("terms")).join(vocab, "term")
+    bucket = split.split_bucket(KEY)
+    train, held = rows.where(bucket < 800), rows.where(bucket >= 800)
+    topics = sorted(r[0] for r in train.select("topic").distinct().collect())
+    found = heldout.fixed_mixture_bounds(held, heldout.topic_expectations(train, vocab, topics, 0.1), KEY, len(topics), 0.5)
+    return found.select(*KEY, "tokens", (F.round("bound", 3) + 0.0).alias("bound"))
+
+
 def kmeans_stationary(spark: SparkSession, folder: str) -> DataFrame:
     """k-means (k = 10) of the embedding vectors fitted to a fixed point, audited by sufficient sums: per cluster
     whether its centre is its members' mean, and the rows counted in all."""
@@ -813,7 +826,7 @@ SQL_CHECKED: dict[str, Query] = {
         heldout_by_difference, topic_map_wide, topic_map_long, topic_words_wide, topic_merge, topic_share,
         topic_positions, topic_counts, docfreq_histogram, topic_captions, best_k, measures_wide,
         umass_long_topics, topic_merge_unlabelled, lda_mixtures, lda_word_ranks, tfidf_cluster_ranks, lsa_word_ranks,
-        lda_heldout_tokens, svd_invariants, lsa_document_shares, embed_cluster_members, lsa_uncut_invariants, kmeans_stationary,
+        lda_heldout_tokens, svd_invariants, lsa_document_shares, embed_cluster_members, lsa_uncut_invariants, kmeans_stationary, lda_heldout_bound,
     )
 }
 SQL_CHECKED |= {

@@ -283,6 +283,22 @@ def nearest_sql(column: str, direction: str) -> str:
 SPLIT = "('0x' || substr(md5(doc_id::VARCHAR || ':' || para_no::VARCHAR || ':1'), 1, 8))::BIGINT % 1000"
 
 
+def _digamma(x: str) -> str:
+    """The series of ``operators.heldout.digamma`` in SQL."""
+    y = f"(({x}) + 6)"
+    i2 = f"(1.0 / ({y} * {y}))"
+    series = f"(ln({y}) - 0.5 / {y} - {i2} * (1.0 / 12 - {i2} * (1.0 / 120 - {i2} * (1.0 / 252 - {i2} * (1.0 / 240 - {i2} / 132)))))"
+    return f"({series} - (" + " + ".join(f"1.0 / (({x}) + {i})" for i in range(6)) + "))"
+
+
+def _log_gamma(x: str) -> str:
+    """The series of ``operators.heldout.log_gamma`` in SQL."""
+    y = f"(({x}) + 6)"
+    i2 = f"(1.0 / ({y} * {y}))"
+    series = f"(({y} - 0.5) * ln({y}) - {y} + 0.5 * ln(2 * pi()) + (1.0 / {y}) * (1.0 / 12 - {i2} * (1.0 / 360 - {i2} * (1.0 / 1260 - {i2} / 1680))))"
+    return f"({series} - (" + " + ".join(f"ln(({x}) + {i})" for i in range(6)) + "))"
+
+
 def queries() -> dict[str, str]:
     """SQL by query name."""
     sql = {
@@ -575,6 +591,22 @@ unknown AS (
         f"(SELECT least(200, count(DISTINCT v)) AS n_rows FROM (SELECT list((term, round(idf * tf / total, 12)) ORDER BY term) AS v FROM weighed GROUP BY doc_id, para_no)), "
         f"range(200) AS t(concept) WHERE concept < least(n_rows, n_terms)",
     )
+    theta = f"({_digamma('gamma')} - {_digamma('gamma * k')})"
+    sql["lda_heldout_bound"] = with_(
+        WEIGHTS
+        + f""",
+tr AS (SELECT coalesce(lang, '') AS topic, term, tf FROM weighed WHERE {SPLIT} < 800),
+hd AS (SELECT doc_id, para_no, term, tf FROM weighed WHERE {SPLIT} >= 800),
+tp AS (SELECT DISTINCT topic FROM tr),
+kk AS (SELECT count(*) AS k FROM tp),
+lam AS (SELECT v.term, t.topic, 0.1 + coalesce(sum(tr.tf), 0) AS lam FROM vocab v CROSS JOIN tp t LEFT JOIN tr ON tr.term = v.term AND tr.topic = t.topic GROUP BY v.term, t.topic),
+tot AS (SELECT topic, sum(lam) AS s FROM lam GROUP BY topic),
+el AS (SELECT term, ln(sum(exp({_digamma('lam')} - {_digamma('s')}))) AS lse FROM lam JOIN tot USING (topic) GROUP BY term),
+doc AS (SELECT doc_id, para_no, sum(tf) AS tokens, sum(tf * lse) AS fit FROM hd JOIN el USING (term) GROUP BY doc_id, para_no),
+g AS (SELECT doc_id, para_no, tokens, fit, k, 0.5 + tokens / k AS gamma FROM doc, kk)""",
+        f"SELECT doc_id, para_no, tokens::BIGINT AS tokens, round(tokens * {theta} + fit + k * ((0.5 - gamma) * {theta} + {_log_gamma('gamma')} - {_log_gamma('0.5')}) "
+        f"+ {_log_gamma('k * 0.5')} - {_log_gamma('gamma * k')}, 3) + 0.0 AS bound FROM g",
+    )
     sql["kmeans_stationary"] = (
         "SELECT cluster::INT AS cluster, true AS stationary, n AS n_rows FROM range(10) AS t(cluster), "
         "(SELECT count(*) AS n FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)"
