@@ -74,3 +74,12 @@ def test_vector_text_round_trip(spark):
     assert parse_word_vectors(lines).exceptAll(vectors).count() == 0
     twice = lines.union(spark.createDataFrame([("autre\t0.5,9",)], "value string"))
     assert parse_word_vectors(twice).where("word = 'autre'").first()["vec"] == [1.0, 0.0]
+
+
+def test_joined_means_sort_no_pairs(spark, weighted, known):
+    """Before: a vector aggregate, which sorts every (document, term) pair with its vector from 128 documents on."""
+    found = document_vectors(weighted, known, 3, KEY, 0)
+    assert "ObjectHashAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    many = spark.range(400).selectExpr("id as doc_id", "array(0, 1, 2) as ids", "array(1.0D, cast(id as double), 5.0D) as weights")
+    one, other = ({r["doc_id"]: r["vec"] for r in document_vectors(many, known, 3, KEY, size).collect()} for size in (0, 1 << 30))
+    assert len(one) == 400 and all(np.allclose(one[k], other[k], rtol=1e-12) for k in other)

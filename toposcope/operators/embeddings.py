@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,19 +64,23 @@ def joined_means(
 
     Up to ``join_bytes`` the vectors are a broadcast join's table (one copy per executor, not per
     Python worker); beyond that both sides are shuffled on the term. A document's pairs are next to
-    each other, so averaging per task leaves about one vector per document to shuffle.
+    each other, so summing per task leaves about one vector per document to shuffle. The sums are one
+    plain column per component: those fit a hash table, while a vector aggregate falls back to sorting
+    every pair with its vector, on disk.
     """
     pairs = rows.select(*key, F.inline(F.arrays_zip(F.col("ids").alias("term_id"), F.col("weights").alias("weight"))))
     width = term_vectors.agg(F.max(F.size("vec"))).first()[0] or width
-    vectors = term_vectors.select("term_id", array_to_vector("vec").alias("v"))
+    vectors = term_vectors.select("term_id", "vec")
     if n_terms * width * 8 <= join_bytes:
         vectors = F.broadcast(vectors)
+    sums = [F.sum(F.col("weight") * F.col("vec")[i]).alias(f"_{i}") for i in range(width)]
+    parts = [F.when(F.col("total") != 0, F.col(f"_{i}") / F.col("total")).otherwise(F.lit(0.0)) for i in range(width)]
     means = (
         pairs.where("weight <> 0")
         .join(vectors, "term_id")
         .groupBy(*key)
-        .agg(Summarizer.mean(F.col("v"), F.col("weight")).alias("v"), F.sum("weight").alias("total"))
-        .select(*key, vector_to_array("v").alias("vec"), "total")
+        .agg(*sums, F.sum("weight").alias("total"))
+        .select(*key, F.array(*parts).cast("array<double>").alias("vec"), "total")
     )
     zero = F.array_repeat(F.lit(0.0), width)
     return (
