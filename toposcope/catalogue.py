@@ -17,7 +17,7 @@ from toposcope.functions.text import term_counts
 from toposcope.functions.vectors import symmetric_divergence
 from toposcope.operators import audit, coherence, embeddings, heldout, lemma, nearest, paragraphs, randomised, report, split, terms, tfidf
 from toposcope.plans import workflows
-from toposcope.settings import checkpointed, row_count, small, spread, stored
+from toposcope.settings import checkpointed, computed_once, row_count, small, spread, stored
 from toposcope.sources.text import document_lines
 from toposcope.sources.words import parse_word_vectors
 
@@ -228,7 +228,8 @@ def weighted_vectors(weighting: str) -> Query:
 
 def tf_consistency(spark: SparkSession, folder: str) -> DataFrame:
     """Counted terms against the words of the same row; expects no bad one."""
-    rows = word_rows(spark, folder).select("words", term_counts(F.col("words")).alias("counted"))
+    pair = F.struct("words", term_counts(F.col("words")).alias("counted"))
+    rows = computed_once(word_rows(spark, folder).select("words"), pair, "pair").select("pair.*")
     bad = terms.inconsistent_counts(F.col("words"), F.col("counted"))
     n_words = F.aggregate("counted", F.lit(0).cast("long"), lambda s, t: s + t["tf"])
     return rows.agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from toposcope.functions.text import alphabetic_words, term_counts
+from toposcope.functions.text import alphabetic_words, let, term_counts
 from toposcope.settings import checkpointed, stored
 
 KEY = ("doc_id", "para_no")
@@ -216,4 +216,4 @@ def inconsistent_terms(doc_term: DataFrame, paragraphs: DataFrame, key: tuple[st
 def inconsistent_counts(words: Column, counted: Column) -> Column:
     """The same inside a row: those (term, tf) of ``counted`` whose term isn't among ``words`` or has no count."""
     absent = F.array_except(counted["term"], words)
-    return F.filter(counted, lambda t: F.array_contains(absent, t["term"]) | (t["tf"] <= 0))
+    return let(absent, lambda a: F.filter(counted, lambda t: F.array_contains(a, t["term"]) | (t["tf"] <= 0)))
