@@ -507,6 +507,16 @@ def test_every_verbatim_benchmark_item_is_found(spark):
     assert all(got.get(pair) == ("verbatim", True) for pair in want), sorted(p for p in want if got.get(p) != ("verbatim", True))[:5]
 
 
+def test_shards_follow_one_rule_for_any_number_of_groups(spark, monkeypatch):
+    """Before: up to DRIVER_GROUPS groups were packed one by one, more of them in crates, with other shards."""
+    docs = spark.range(5000).selectExpr("id as doc_id", "concat(id, repeat('x', cast(id % 37 as int))) as text")
+    got = []
+    for bound in (100, 100_000):
+        monkeypatch.setattr(sharding, "DRIVER_GROUPS", bound)
+        got.append({r.doc_id: (r.shard, r.slot) for r in sharding.pack(docs, shards=16).collect()})
+    assert got[0] == got[1]
+
+
 def test_shard_columns_against_plain_code(spark):
     """size, text_crc32, gapless slots per shard and equal texts together, by plain code over the whole table."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")

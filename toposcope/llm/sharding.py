@@ -1,10 +1,9 @@
 """Sharding by best-fit-decreasing bin packing of indivisible groups.
 
 Groups of rows that must stay together are sorted by size and each enters the shard whose remaining capacity
-is tightest, found in a balanced tree. The driver packs the groups themselves while they are at most
-``DRIVER_GROUPS``. Of more, it packs those above a 1024th of the data or a 16th of a shard by themselves, and the
-smaller ones in crates of the hash of their key, with exact sizes: some 32 crates a shard, 4,096 at least, and
-twice as many until none exceeds the capacity.
+is tightest, found in a balanced tree. The driver packs the groups above a 1024th of the data or a 16th of a shard
+by themselves, and the smaller ones in crates of the hash of their key, with exact sizes: some 32 crates a shard,
+4,096 at least, and twice as many until none exceeds the capacity. The rule is the same for any number of groups.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ from toposcope.settings import stored
 BIG_PARTS = 1024  # a group larger than a 1024th of all bytes is an item of its own
 CRATES = 4096
 SHARD_PARTS = 16  # and so is one larger than a 16th of a shard
-DRIVER_GROUPS = 100_000  # so many groups are packed one by one
+DRIVER_GROUPS = 100_000  # read no more: packing does not depend on the number of groups
 SLOT_ROWS = 50_000
 
 
@@ -119,11 +118,11 @@ def pack(docs: DataFrame, shards: int | None = None, capacity: int | None = None
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.md5(text)).alias("text_md5"))
     rows = stored(rows)
     groups = stored(rows.groupBy("text_md5", "size").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")))
-    total, n_groups = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
+    total = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     limit = capacity or max(1, total // shards)
     n_crates = max(CRATES, 2 * SHARD_PARTS * -(-total // limit))
     crate = lambda: F.pmod(F.xxhash64("text_md5", "size"), F.lit(n_crates)).cast("int")
-    alone = (F.col("bytes") * BIG_PARTS > total) | (F.col("bytes") * SHARD_PARTS > limit) if n_groups > DRIVER_GROUPS else F.lit(True)
+    alone = (F.col("bytes") * BIG_PARTS > total) | (F.col("bytes") * SHARD_PARTS > limit)
     big = groups.where(alone)
     while True:
         crates = groups.where(~alone).groupBy(crate().alias("crate")).agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")).orderBy("crate").collect()
