@@ -56,3 +56,11 @@ def test_removed_and_statistics(found):
         "scanned": 14, "pair_misses": 4, "form_misses": 3, "unknown_forms": 3,
     }
     assert {r["form"] for r in unknown_forms(found).collect()} == {"inconnu", "peut", "autre"}
+
+
+def test_removed_tokens_need_no_lexicon(spark):
+    """Before: every token was joined with the lexicon, which was made from all words, to list the removed ones."""
+    from toposcope import catalogue
+
+    plan = catalogue.removed_tokens(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "PythonUDF" not in plan

@@ -487,7 +487,7 @@ def lemma_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 def removed_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """Counts of the removed tokens, so that each (tag, text) is one row."""
-    found = lemma.removed_tokens(looked_up(spark, folder))
+    found = lemma.removed_tokens(lemma.with_fate(tagged_tokens(spark, folder)))
     return found.groupBy("Pos", "Text").agg(F.count("*").alias("n"))
 
 

@@ -42,14 +42,9 @@ def clean_tokens(tagged: DataFrame, tags: dict[str, str] = TREEBANK_TAGS) -> Dat
     )
 
 
-def look_up(tagged: DataFrame, lexicon: DataFrame, stop_tags: list[str] = STOP_TAGS) -> DataFrame:
-    """Every token with its fate and lemma.
-
-    ``fate``: ``removed`` (stop tag), ``upper`` (all upper case, kept as it is), ``lemma``, or
-    ``skipped`` (numbers and short tokens). ``match``: ``pair``, ``form`` or ``none`` for lemma tokens.
-    """
-    tokens = clean_tokens(tagged)
-    words = small(stored(lexicon_by_form(lexicon)))
+def with_fate(tagged: DataFrame, stop_tags: list[str] = STOP_TAGS) -> DataFrame:
+    """Every token with its ``fate``: ``removed`` (stop tag), ``upper`` (all upper case, kept as it is), ``lemma``, or
+    ``skipped`` (numbers and short tokens). It follows from the token alone, without the lexicon."""
     usable = ~F.col("raw").rlike("^[0-9]+$") & (F.length("raw") > 2)
     fate = (
         F.when(F.coalesce(F.col("pos").isin(stop_tags), F.lit(False)), "removed")
@@ -57,10 +52,19 @@ def look_up(tagged: DataFrame, lexicon: DataFrame, stop_tags: list[str] = STOP_T
         .when(F.upper("raw") == F.col("raw"), "upper")
         .otherwise("lemma")
     )
+    return clean_tokens(tagged).withColumn("fate", fate)
+
+
+def look_up(tagged: DataFrame, lexicon: DataFrame, stop_tags: list[str] = STOP_TAGS) -> DataFrame:
+    """Every token with its fate (see ``with_fate``) and lemma.
+
+    ``match``: ``pair``, ``form`` or ``none`` for lemma tokens.
+    """
+    words = small(stored(lexicon_by_form(lexicon)))
     pair = F.try_element_at("pos_lemmas", "pos")
     is_lemma = F.col("fate") == "lemma"
     return (
-        tokens.withColumn("fate", fate)
+        with_fate(tagged, stop_tags)
         .join(words, "form", "left")
         .withColumn("pair_lemma", pair)
         .withColumn(
@@ -77,9 +81,9 @@ def look_up(tagged: DataFrame, lexicon: DataFrame, stop_tags: list[str] = STOP_T
     )
 
 
-def removed_tokens(looked_up: DataFrame) -> DataFrame:
-    """``(Pos, Text)`` of each token dropped for its tag."""
-    return looked_up.where("fate = 'removed'").select(F.col("pos").alias("Pos"), F.col("form").alias("Text"))
+def removed_tokens(tokens: DataFrame) -> DataFrame:
+    """``(Pos, Text)`` of each token dropped for its tag, of ``with_fate`` (no join) or ``look_up``."""
+    return tokens.where("fate = 'removed'").select(F.col("pos").alias("Pos"), F.col("form").alias("Text"))
 
 
 def lemma_text(looked_up: DataFrame, ends: list[str] = SENTENCE_ENDS, key: tuple[str, ...] = LINE_KEY) -> DataFrame:

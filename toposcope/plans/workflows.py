@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from toposcope.operators import models
 from toposcope.operators.coherence import embedding_coherence, umass
 from toposcope.operators.embeddings import document_vectors, unknown_words, vector_width, vocabulary_vectors
-from toposcope.operators.lemma import lemma_statistics, lemma_text, look_up, removed_tokens, unknown_forms
+from toposcope.operators.lemma import lemma_statistics, lemma_text, look_up, removed_tokens, unknown_forms, with_fate
 from toposcope.operators.nearest import nearest_centres, nearest_rows
 from toposcope.operators.paragraphs import remove_stop_words, segment_documents
 from toposcope.operators.split import train_held_out
@@ -365,7 +365,7 @@ def lemmatise(tagged_tokens: DataFrame, lexicon: DataFrame) -> dict[str, DataFra
     looked_up = look_up(tagged_tokens, lexicon)
     return {
         "text": lemma_text(looked_up),
-        "removed": removed_tokens(looked_up),
+        "removed": removed_tokens(with_fate(tagged_tokens)),
         "statistics": lemma_statistics(looked_up),
         "unknown": unknown_forms(looked_up),
     }
