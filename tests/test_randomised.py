@@ -69,3 +69,32 @@ def test_topics_read_off_the_distributed_vectors(spark):
         got.setdefault(r["topic"], []).append((r["rank"], r["term"]))
     for k in range(3):
         assert [t for _, t in sorted(got[k])] == [f"t{i:03d}" for i in np.argsort(-dense[k], kind="stable")[:5]]
+
+
+def test_entries_are_multiplied_a_piece_at_a_time(monkeypatch):
+    """Before: a batch of 10,000 rows was multiplied at once, entries × width numbers several times over."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    begin = np.r_[0, np.cumsum(rng.integers(0, 400, 1000))]
+    at, weight, table = rng.integers(0, 50, begin[-1]), rng.standard_normal(begin[-1]), rng.standard_normal((50, 64))
+    tracemalloc.start()
+    got = randomised._sums(begin, at, weight, table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * randomised.PIECE * 64 * 8 < begin[-1] * 64 * 8
+    for r in (0, 17, 999):
+        assert np.allclose(got[r], weight[begin[r] : begin[r + 1]] @ table[at[begin[r] : begin[r + 1]]])
+
+
+def test_blocks_of_terms_do_not_change_the_result(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(sorted(rng.choice(80, 12, replace=False).tolist()), rng.random(12).tolist()) for _ in range(60)] + [([], [])]
+    df = spark.createDataFrame(rows, "ids array<int>, weights array<double>").coalesce(1)
+    vocab = spark.createDataFrame([(i, f"t{i}") for i in range(80)], "term_id int, term string")
+    fits = []
+    for entries in (1 << 30, 100):
+        monkeypatch.setattr(randomised, "BLOCK_ENTRIES", entries)
+        fits.append(randomised.RandomisedDecomposition.of(df, vocab, rank=5, power_steps=6, oversample=30))
+    assert (fits[0].matrix.blocks, fits[1].matrix.blocks) == (1, 8)
+    assert np.allclose(fits[0].sigma, fits[1].sigma, rtol=1e-6)
