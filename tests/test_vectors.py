@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from toposcope.functions.vectors import centre_scores, symmetric_divergence
@@ -83,3 +84,28 @@ def test_joined_means_sort_no_pairs(spark, weighted, known):
     many = spark.range(400).selectExpr("id as doc_id", "array(0, 1, 2) as ids", "array(1.0D, cast(id as double), 5.0D) as weights")
     one, other = ({r["doc_id"]: r["vec"] for r in document_vectors(many, known, 3, KEY, size).collect()} for size in (0, 1 << 30))
     assert len(one) == 400 and all(np.allclose(one[k], other[k], rtol=1e-12) for k in other)
+
+
+def test_stored_vectors_need_no_python(spark):
+    """Before: sparse vectors were made by a pandas function, in a second Python worker per task, and kept in memory."""
+    from toposcope.operators import terms, tfidf
+
+    words = spark.createDataFrame([(1, 0, ["b", "x", "a", "b"]), (2, 0, ["x"]), (3, 0, ["a"])], "doc_id long, para_no int, words array<string>")
+    vectors = tfidf.TermVectors(["b", "a", "c"], np.array([1.0, 2.0, 3.0]), 3)
+    rows = vectors.rows(terms.count_terms(words))
+    assert [tuple(r) for r in rows.orderBy("doc_id").collect()] == [(1, 0, [0, 1], [2.0, 1.0], [1.0, 2.0]), (3, 0, [1], [1.0], [2.0])]
+    found = vectors.vectors(rows, "tf", "tf")
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r["doc_id"]: r["tf"] for r in found.collect()} == {1: Vectors.sparse(3, {0: 2.0, 1: 1.0}), 3: Vectors.sparse(3, {1: 1.0})}
+
+
+def test_known_entries_in_pieces(spark, monkeypatch):
+    from toposcope.functions import vectors
+
+    monkeypatch.setattr(vectors, "PIECE_WORDS", 3)
+    rows = [(i, ["t%d" % j for j in range(i, -1, -1)], [j + 1 for j in range(i, -1, -1)]) for i in range(6)] + [(6, None, None), (7, [], [])]
+    df = spark.createDataFrame(rows, "i int, w array<string>, n array<long>").coalesce(1)
+    found = df.select("i", vectors.known_entries(spark, F.col("w"), F.col("n"), ["t0", "t2", "t4"], np.array([0.5, 1.5, 2.5])).alias("e"))
+    for r in found.collect():
+        want = [j for j in (0, 2, 4) if r["i"] < 6 and j <= r["i"]]
+        assert (r["e"]["ids"], r["e"]["counts"], r["e"]["idfs"]) == ([j // 2 for j in want], [j + 1.0 for j in want], [j / 2 + 0.5 for j in want])
