@@ -731,12 +731,13 @@ def lda_heldout_bound(spark: SparkSession, folder: str) -> DataFrame:
     """Per held-out paragraph: words and the LDA bound under fixed topics (the training paragraphs of each language,
     λ = 0.1 + counts) and the fixed uniform mixture (α = 0.5)."""
     counted = counted_rows(spark, folder, carry=("lang",))
-    vocab = doc_freqs(spark, folder).select("term")
-    rows = counted.select(*KEY, F.coalesce("lang", F.lit("")).alias("topic"), F.inline("terms")).join(vocab, "term")
+    pairs = counted.select(*KEY, F.coalesce("lang", F.lit("")).alias("topic"), F.inline("terms"))
+    vocab = stored(terms.document_frequency(pairs, MIN_DF).select("term"))
     bucket = split.split_bucket(KEY)
-    train, held = rows.where(bucket < 800), rows.where(bucket >= 800)
+    train = stored(pairs.where(bucket < 800).groupBy("term", "topic").agg(F.sum("tf").alias("tf")).join(vocab, "term"))
     topics = sorted(r[0] for r in train.select("topic").distinct().collect())
-    found = heldout.fixed_mixture_bounds(held, heldout.topic_expectations(train, vocab, topics, 0.1), KEY, len(topics), 0.5)
+    expectations = heldout.topic_expectations(train, vocab, topics, 0.1)
+    found = heldout.fixed_mixture_bounds(pairs.where(bucket >= 800), expectations, KEY, len(topics), 0.5)
     return found.select(*KEY, "tokens", (F.round("bound", 3) + 0.0).alias("bound"))
 
 

@@ -19,6 +19,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from toposcope.settings import stored
+
 SHIFT = 6
 
 
@@ -79,10 +81,11 @@ def variational_bound(counts: np.ndarray, elog_beta: np.ndarray, alpha: float, i
 def topic_expectations(train: DataFrame, vocab: DataFrame, topics: list, eta: float) -> DataFrame:
     """``(term, lse)``: log Σ_k exp E[log β_kw] for every vocabulary term, λ_kw = η + its count in topic k.
 
-    ``train`` has ``(term, topic, tf)``; ``topics`` names the k topics. One pivot per term, no cross join.
+    ``train`` has ``(term, topic, tf)``; ``topics`` names the k topics. One pivot per term, no cross join. The
+    parameters are stored: their sums and the terms both read them.
     """
     sums = train.groupBy("term").pivot("topic", topics).agg(F.sum("tf"))
-    lam = vocab.select("term").join(sums, "term", "left").select("term", F.array(*[F.coalesce(F.col(f"`{t}`"), F.lit(0)) + eta for t in topics]).alias("lam"))
+    lam = stored(vocab.select("term").join(sums, "term", "left").select("term", F.array(*[F.coalesce(F.col(f"`{t}`"), F.lit(0)) + eta for t in topics]).alias("lam")))
     totals = lam.agg(F.array(*[F.sum(F.element_at("lam", i + 1)) for i in range(len(topics))])).scalar()  # k sums, one subquery
     elog = [digamma(F.element_at("lam", i + 1)) - digamma(F.element_at(totals, i + 1)) for i in range(len(topics))]
     return lam.select("term", F.log(sum((F.exp(e) for e in elog), F.lit(0.0))).alias("lse"))
