@@ -24,6 +24,32 @@ def folder(spark, tmp_path):
     return str(tmp_path)
 
 
+def test_topic_weights_without_term_joins(spark, folder, monkeypatch):
+    """Before: every (document, term) row was joined with the vocabulary and shuffled again by document."""
+    monkeypatch.setattr(tfidf, "weigh_terms", None)
+    found = {(r["topic"], r["term"]): r["weight"] for r in catalogue.language_topics(spark, folder).collect()}
+    docs = [((d, lang), text.split()) for d, text, lang, _ in TEXTS]
+    df = defaultdict(int)
+    for _, words in docs:
+        for w in set(words):
+            df[w] += 1
+    total, want = defaultdict(int), defaultdict(float)
+    for key, words in docs:  # rows of equal keys share their total
+        total[key] += sum(df[w] > 1 for w in words)
+    for key, words in docs:
+        for w in words:
+            if df[w] > 1:
+                want[key[1], w] += math.log((len(docs) + 1) / (df[w] + 1)) / total[key]
+    assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_long_topics_weigh_once(spark, folder, monkeypatch):
+    """Before: the terms were weighed again for every topic length."""
+    calls, plain = [], catalogue.topics_of
+    monkeypatch.setattr(catalogue, "topics_of", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    assert catalogue.umass_long_topics(spark, folder).count() > 0 and len(calls) == 1
+
+
 def test_heldout_bound_reads_the_texts_once(spark, folder, monkeypatch):
     """Before: the vocabulary came from a second pass over the texts, repeated at each of its uses."""
     calls, plain = [], catalogue.word_rows
