@@ -50,6 +50,14 @@ def test_long_topics_weigh_once(spark, folder, monkeypatch):
     assert catalogue.umass_long_topics(spark, folder).count() > 0 and len(calls) == 1
 
 
+def test_divergence_without_topic_term_shuffle(spark, folder):
+    """Before: one row per (topic, term, language) was shuffled by topic and term."""
+    found = catalogue.divergence_words(spark, folder)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(topic#\d+, term#", plan) and "hashpartitioning(lang" not in plan
+    assert {(r["topic"], r["term"]) for r in found.collect()} == {(s, w) for s in ("web", "book") for w in ("alpha", "beta", "gamma", "delta")}
+
+
 def test_heldout_bound_reads_the_texts_once(spark, folder, monkeypatch):
     """Before: the vocabulary came from a second pass over the texts, repeated at each of its uses."""
     calls, plain = [], catalogue.word_rows

@@ -405,16 +405,20 @@ def nearest_words_euclidean(spark: SparkSession, folder: str) -> DataFrame:
     return raw_nearest_words(spark, folder, "sqeuclidean").withColumn("weight", r6(F.col("weight")))
 
 
-def language_profiles(counted: DataFrame) -> DataFrame:
-    """``(term, feature, w)``: a term's share of each language's words, for the terms of the vocabulary."""
-    pairs = terms.listed_terms(counted, (*KEY, "lang"))
-    counts = pairs.groupBy("lang", "term").agg(F.sum("tf").alias("tf"))
-    totals = checkpointed(pairs.groupBy("lang").agg(F.sum("tf").alias("total")))
-    return (
-        counts.join(small(totals), "lang")
-        .join(stored(terms.document_frequency(pairs, MIN_DF).select("term")), "term")
-        .select("term", F.col("lang").alias("feature"), (F.col("tf") / F.col("total")).alias("w"))
+def language_profiles(counted: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``(term, w)`` of the vocabulary and the languages: a term's share of each language's words, null for none.
+
+    One row per term from one count, so that no (language, term) rows are joined.
+    """
+    size = F.aggregate("terms.tf", F.lit(0).cast("long"), lambda s, x: s + x)
+    totals = counted.where("lang IS NOT NULL AND size(terms) > 0").groupBy("lang").agg(F.sum(size).alias("total")).orderBy("lang").collect()
+    pairs = terms.listed_terms(counted, ("lang",))
+    counts = pairs.groupBy("term").agg(
+        F.count("*").alias("df"), *[F.sum(F.when(F.col("lang") == r["lang"], F.col("tf"))).alias(f"n{i}") for i, r in enumerate(totals)]
     )
+    shares = [F.col(f"n{i}") / F.lit(r["total"]) for i, r in enumerate(totals)]
+    vocab = counts.where((F.col("df") >= MIN_DF) & F.col("term").isNotNull())
+    return vocab.select("term", F.array(*shares).cast("array<double>").alias("w")), [r["lang"] for r in totals]
 
 
 def divergence_words(spark: SparkSession, folder: str) -> DataFrame:
@@ -427,26 +431,29 @@ def divergence_words(spark: SparkSession, folder: str) -> DataFrame:
     centres = mix.join(totals, "source").select(
         F.col("source").alias("topic"), F.col("lang").alias("feature"), (F.col("n") / F.col("total")).alias("c")
     )
-    profiles = language_profiles(counted_rows(spark, folder, carry=("lang",)))
-    return divergence_from(profiles, checkpointed(centres))
+    return divergence_from(*language_profiles(counted_rows(spark, folder, carry=("lang",))), checkpointed(centres))
 
 
-def divergence_from(profiles: DataFrame, centres: DataFrame, n: int = 10) -> DataFrame:
-    """Long-table form: terms ``(term, feature, w)`` against centres ``(topic, feature, c)``.
+def divergence_from(profiles: DataFrame, features: list[str], centres: DataFrame, n: int = 10) -> DataFrame:
+    """Terms ``(term, w)``, one weight per name in ``features``, against centres ``(topic, feature, c)``.
 
     A feature that a term lacks still counts with the centre's part, c ln 2, so each centre's whole is
-    taken first and corrected by the features the term has.
+    taken first and corrected by the features the term has. A term meets every centre in its own row;
+    only each task's best ``n`` terms per topic are shuffled.
     """
     alone = symmetric_divergence(F.lit(0.0), F.col("c"))
-    whole = centres.groupBy("topic").agg(F.sum(alone).alias("whole"))
-    changes = (
-        profiles.join(small(centres), "feature")
-        .withColumn("change", symmetric_divergence(F.col("w"), F.col("c")) - alone)
-        .groupBy("topic", "term")
-        .agg(F.sum("change").alias("change"))
+    parts = [F.max(F.when(F.col("feature") == f, F.col("c"))) for f in features]
+    topics = centres.where("topic IS NOT NULL").groupBy("topic").agg(
+        F.sum(alone).alias("whole"), F.array(*parts).cast("array<double>").alias("c")
     )
-    scored = changes.join(small(whole), "topic").select(
-        "topic", "term", r6(F.col("change") + F.col("whole")).alias("weight")
+    found = profiles.crossJoin(small(topics))
+    changes = []
+    for i in range(len(features)):
+        w, c = F.get("w", F.lit(i)), F.get("c", F.lit(i))
+        change = symmetric_divergence(w, c) - symmetric_divergence(F.lit(0.0), c)
+        changes.append(F.when(w.isNotNull() & c.isNotNull(), change))
+    scored = found.where(F.exists(F.arrays_zip("w", "c"), lambda x: x["w"].isNotNull() & x["c"].isNotNull())).select(
+        "topic", "term", r6(sum((F.coalesce(x, F.lit(0.0)) for x in changes), F.lit(0.0)) + F.col("whole")).alias("weight")
     )
     return nearest.top_rows(scored, "topic", [F.asc("weight"), F.asc("term")], n).select(
         "topic", "rank", "term", "weight"
