@@ -374,6 +374,27 @@ def test_sampled_segmentations_follow_the_lattice():
         assert abs(seen.get(p, 0) / n - w / total) < 0.015
 
 
+@pytest.mark.skipif(not os.path.exists(queries.PIECE_MODEL), reason="no piece model")
+def test_pieces_are_sought_only_where_one_can_begin(monkeypatch):
+    """Before: every run of up to 16 characters of a word was looked up, nearly nine a character here."""
+    model, sought, find = pieces.load_model(queries.PIECE_MODEL), [], pieces.PieceModel.find
+    monkeypatch.setattr(pieces.PieceModel, "find", lambda self, h: sought.append(len(h)) or find(self, h))
+    points = pieces._code_points(" ".join(f"w{i * 7919 % 10007}ords{i}ing" for i in range(2000)).encode())
+    points = np.where(points == 32, np.uint32(pieces.SPACE), points)
+    pieces._sample(points, np.zeros(len(points), bool), np.array([0, len(points)]), np.zeros(1, np.uint64), model, 0)
+    assert sum(sought) < 2 * len(points)
+
+
+@pytest.mark.skipif(not os.path.exists(queries.PIECE_MODEL), reason="no piece model")
+def test_a_random_number_that_rounds_to_one_loses_no_text(spark):
+    """Before: the number of these keys passed every real piece, and a stretch without a piece kept one character."""
+    text = " internationalisation"
+    docs = spark.createDataFrame([(95445179, text), (98360967, text), (246132375, text)], "doc_id long, text string")
+    got = stored(pieces.encode(docs, queries.PIECE_MODEL))
+    assert got.where("not lossless").count() == 0
+    assert {r["text"] for r in pieces.decode(got, queries.PIECE_MODEL).collect()} == {text}
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(4, "http://a/x y", "<p>é</p>"), (2, "http://b", "<p>é</p>"), (9, None, None), (7, "u\nv", ""), (5, "http://c", "z\r\n\r\nWARC/1.0"), (None, "http://d", "<p>é</p>"), (5, "http://c", "z\r\n\r\nWARC/1.0")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("sha1", F.lit(0))

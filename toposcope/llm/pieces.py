@@ -26,6 +26,8 @@ SPACE = 0x2581
 CHUNK = 1 << 20
 LONGEST_UNIT = 256
 _SLOTS = 1 << 20
+_HINTS = 1 << 21
+_BLOCK = 1 << 16  # numbers that a core's cache holds
 
 
 def _code_points(text: bytes) -> np.ndarray:
@@ -43,14 +45,21 @@ class PieceModel:
     weight: np.ndarray
     surface: list[bytes]
     byte_ids: np.ndarray
+    hints: np.ndarray
+
+    def hint(self, h: np.ndarray) -> np.ndarray:
+        """Per hash of some characters: 1 if longer pieces may begin with them, plus 2 if they may be a piece."""
+        return self.hints[(h & np.uint64(len(self.hints) - 1)).astype(np.int64)]
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Piece id per hash, -1 for none."""
         out = np.full(len(h), -1, dtype=np.int32)
+        rest = np.arange(len(h))
         for k, slots in enumerate(self.slots):
             got = slots[((h >> np.uint64(20 * k)) & np.uint64(_SLOTS - 1)).astype(np.int64)]
-            same = (got >= 0) & (self.hashes[np.maximum(got, 0)] == h)
-            out[same] = got[same]
+            same = (got >= 0) & (self.hashes[got] == h)
+            out[rest[same]] = got[same]
+            rest, h = rest[~same], h[~same]
         return out
 
 
@@ -70,13 +79,16 @@ def load_model(path: str, smoothing: float = 10.0) -> PieceModel:
             surface[i] = bytes([int(pieces[i][1:-1], 16)])
     if (byte_ids < 0).any():
         raise ValueError("the model has no byte pieces, so decoding could lose characters")
-    hashes, weight = np.zeros(size, dtype=np.uint64), np.zeros(size)
+    hashes, weight, hints = np.zeros(size, dtype=np.uint64), np.zeros(size), np.zeros(_HINTS, dtype=np.uint8)
     scores = np.array([model.get_score(i) for i in range(size)])
     rank = np.empty(size)
     rank[np.argsort(-scores, kind="stable")] = np.arange(size)
     for i in plain:
         surface[i] = pieces[i].replace("▁", " ").encode()
-        hashes[i] = W.window_hashes(W.mix(_code_points(pieces[i].encode()).astype(np.uint64)), len(pieces[i]))[0] + np.uint64(len(pieces[i]))
+        sums = W.prefix_sums(W.mix(_code_points(pieces[i].encode()).astype(np.uint64)))
+        begun = W.mix(sums[1:]) + np.arange(1, len(sums), dtype=np.uint64)  # its first character, its first two, and so on
+        hashes[i] = begun[-1]
+        np.bitwise_or.at(hints, (begun & np.uint64(_HINTS - 1)).astype(np.int64), np.r_[np.ones(len(begun) - 1, np.uint8), np.uint8(2)])
     weight[:] = -np.log(rank + smoothing)
     slots, left = [], list(plain)
     for k in range(3):
@@ -91,7 +103,7 @@ def load_model(path: str, smoothing: float = 10.0) -> PieceModel:
         left = rest
     if left:
         raise ValueError("too many pieces for the hash table")
-    return PieceModel(max(len(pieces[i]) for i in plain), hashes, slots, weight, surface, byte_ids)
+    return PieceModel(max(len(pieces[i]) for i in plain), hashes, slots, weight, surface, byte_ids, hints)
 
 
 def _units(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,57 +138,71 @@ def _sample(points: np.ndarray, raw_space: np.ndarray, offsets: np.ndarray, keys
     take = np.arange(base[-1]) + np.repeat(start[first] - base[:-1], size)
     own, chars, real = values[take], points[take], raw_space[take]
     n, longest = len(own), min(model.longest, int(size.max()))
-    left = np.repeat(base[1:], size) - np.arange(n)  # characters from here to the unit's end
 
-    piece = np.full((n, longest), -1, dtype=np.int32)
-    for width in range(1, longest + 1):
-        at = np.flatnonzero(left >= width)
-        hashes = W.window_hashes(own, width)[at] + np.uint64(width)
-        piece[at, width - 1] = model.find(hashes)
+    # Characters by place in their unit, longer units first: the units with a place t are the first reach[t], so that
+    # character t of unit number k of that order is steps[t] + k, and steps over all units go through whole slices.
+    ranked = np.argsort(-size, kind="stable")
+    reach = len(size) - np.searchsorted(np.sort(size), np.arange(size.max()), side="right")
+    steps = np.r_[0, np.cumsum(reach)]
+    spot = np.concatenate([base[ranked[:m]] + t for t, m in enumerate(reach)])  # where it is in ``own``
+    place_of = np.empty(n, dtype=np.int64)
+    place_of[spot] = np.arange(n)
+    left = np.repeat(base[1:], size) - np.arange(n)  # characters from here to the unit's end, by ``own``
+
+    # Piece number + 1 by width and first character; a character goes on only while longer pieces begin like it.
+    piece, widest = np.zeros((longest, n), dtype=np.int32), 1
+    sums = W.prefix_sums(own)
+    for low in range(0, n, _BLOCK):
+        at = np.arange(low, min(n, low + _BLOCK))
+        for width in range(1, longest + 1):
+            hashes = W.window_hashes_at(sums, at, width) + np.uint64(width)
+            hint = model.hint(hashes)
+            some = np.flatnonzero(hint & 2)
+            piece[width - 1, place_of[at[some]]] = model.find(hashes[some]) + 1
+            widest = max(widest, width if len(some) else 0)
+            at = at[(hint & 1).astype(bool) & (left[at] > width)]
     byte_cost = model.weight[model.byte_ids].mean()
 
-    # Forward: log weight of all paths from the unit's start to each position (unit u has size[u] + 1 of them).
-    place = np.arange(n, dtype=np.int32) - np.repeat(base[:-1], size).astype(np.int32)
-    sums = np.full(n + len(size), -np.inf)
-    sums[base[:-1] + np.arange(len(size))] = 0.0
-    spot = np.arange(n) + np.repeat(np.arange(len(size)), size)  # position before character i
-    choice = np.full((n, longest), 2.0, dtype=np.float32)  # cumulative chances of the lengths of the piece that ends with character i
-    by_place = np.argsort(place.astype(np.int16), kind="stable")  # units have at most LONGEST_UNIT characters
-    steps = np.r_[0, np.cumsum(np.bincount(place))]
-    for t in range(len(steps) - 1):
-        i = by_place[steps[t] : steps[t + 1]]
-        widths = min(longest, t + 1)
-        w = np.full((widths, len(i)), -np.inf)
+    # Forward: log weight of all paths from the unit's start to behind each character. What is no piece has no
+    # weight, but a single character has its bytes.
+    weight, single = np.r_[-np.inf, model.weight], np.r_[2 * byte_cost, model.weight]
+    sums = np.empty(n)
+    # Cumulative chances of the widths of the piece that ends with a character, eight to a machine word.
+    choice = np.full((n, -(-widest // 8) * 8), 2.0, dtype=np.float32)
+    for t, m in enumerate(reach):
+        widths = min(widest, t + 1)
+        w = np.empty((widths, m))
         for width in range(1, widths + 1):
-            j = i - (width - 1)
-            ids = piece[j, width - 1]
-            own = np.flatnonzero(ids >= 0)
-            w[width - 1, own] = model.weight[ids[own]] + sums[spot[j[own]]]
-            if width == 1 and len(own) < len(i):
-                bare = np.flatnonzero(ids < 0)
-                w[0, bare] = 2 * byte_cost + sums[spot[i[bare]]]
+            begin = t + 1 - width
+            ids = piece[width - 1, steps[begin] : steps[begin] + m]
+            w[width - 1] = (single if width == 1 else weight)[ids]
+            if begin:
+                w[width - 1] += sums[steps[begin - 1] : steps[begin - 1] + m]
         top = w.max(axis=0)
         e = np.exp(w - top)
         total = e.sum(axis=0)
-        sums[spot[i] + 1] = top + np.log(total)
-        choice[i, :widths] = (np.cumsum(e, axis=0) / total).T
-        choice[i, widths - 1] = 2.0
+        sums[steps[t] : steps[t] + m] = top + np.log(total)
+        chance = (np.cumsum(e, axis=0) / total).astype(np.float32)
+        chance[chance >= 1] = 2.0  # a random number may round to 1
+        choice[steps[t] : steps[t] + m, :widths] = chance.T
 
     # Backward: all occurrences step from their ends to their starts together.
     order_in_row = np.arange(len(start)) - np.searchsorted(row, np.arange(rows))[row]
     stream = W.mix(keys[row] + np.uint64(seed)) ^ W.mix(order_in_row.astype(np.uint64))
-    at, who, step = base[unit] + size[unit] - 1, np.arange(len(start)), 0
+    number = np.empty(len(size), dtype=np.int64)
+    number[ranked] = np.arange(len(size))
+    last, lane, who, step = size[unit] - 1, number[unit], np.arange(len(start)), 0
     out_who, out_id, out_char = [], [], []
-    low = base[unit]
-    while len(at):
+    while len(who):
         u = (W.mix(stream[who] + np.uint64(step * 0x9E3779B97F4A7C15 % (1 << 64))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-        width = (choice[at] <= u[:, None].astype(np.float32)).argmin(axis=1) + 1
-        begin = at - width + 1
+        passed = choice[steps[last] + lane] <= u[:, None].astype(np.float32)  # chances grow: the first not passed is their number
+        begin = last - np.bitwise_count(passed.view(np.uint64)).sum(axis=1, dtype=np.int64)
+        place = steps[begin] + lane
         out_who.append(who)
-        out_id.append(piece[begin, width - 1])
-        out_char.append(begin)
-        more = begin > low[who]
-        at, who, step = begin[more] - 1, who[more], step + 1
+        out_id.append(piece[last - begin, place] - 1)
+        out_char.append(spot[place])
+        more = begin > 0
+        last, lane, who, step = begin[more] - 1, lane[more], who[more], step + 1
     # Step k of an occurrence is its k-th piece from the end.
     drawn = np.zeros(len(start), dtype=np.int64)
     for w in out_who:

@@ -141,6 +141,18 @@ def window_hashes(values: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """Running sums of the hash polynomial, for ``window_hashes_at``."""
+    sums = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * _powers_for(len(values) + 1)[0][: len(values)], out=sums[1:])
+    return sums
+
+
+def window_hashes_at(sums: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
+    """The ``window_hashes`` of some starts only, from the values' ``prefix_sums``."""
+    return mix((sums[start + width] - sums[start]) * _powers_for(len(sums))[1][start])
+
+
 def window_starts(words: Words, width: int) -> np.ndarray:
     """Word positions at which a window of ``width`` words of one row starts."""
     at = np.arange(len(words.start) - width + 1 if len(words.start) >= width else 0)
