@@ -1,6 +1,10 @@
 import pytest
 
+from pyspark.sql import functions as F
+
+from toposcope.operators import lemma
 from toposcope.operators.lemma import (
+    lemma_lines,
     lemma_statistics,
     lemma_text,
     lexicon_by_form,
@@ -64,3 +68,26 @@ def test_removed_tokens_need_no_lexicon(spark):
 
     plan = catalogue.removed_tokens(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "PythonUDF" not in plan
+
+
+@pytest.mark.parametrize("common", [0, 2, 100])
+def test_lines_of_tokens_give_the_same_text(spark, common):
+    """Forms shared with the tasks and forms joined; lines that come in parts, without a key, or with no token."""
+    tokens = [("Portes", "V"), ("portes", "ADV"), ("marche", "V"), ("rare", "V"), (".", "PUNC"), ("Leer", "V"), ("inconnu", None), ("peut-être", "V"), ("ACTE", "NC")]
+    rows = [(k, 0, i + j, t, tag) for k in (1, 1, None) for j in (0, 5) for i, (t, tag) in enumerate(tokens)] + [(1, 1, 0, "le", "DET"), (2, 0, 0, "rare", "XX")]
+    tagged = spark.createDataFrame(rows, "doc_id long, line_no int, tok_no int, token string, tag string")
+    lexicon = spark.createDataFrame([*LEXICON, ("leer", "v", None, 7)], "form string, pos string, lemma string, line_no long")
+    part = F.when(F.col("tok_no") > 5, 1).otherwise(0)
+    lines = tagged.groupBy("doc_id", "line_no", part.alias("part")).agg(F.collect_list(F.struct("tok_no", "token", "tag")).alias("tokens")).drop("part")
+    lines = lines.union(spark.createDataFrame([(9, 0, [])], lines.schema))
+    want = sorted(map(str, lemma_text(look_up(tagged, lexicon)).collect()))
+    assert sorted(map(str, lemma_lines(lines, lexicon, common=common).collect())) == want
+
+
+def test_lemmatise_sends_no_common_token_through_a_join(spark, monkeypatch):
+    """Before: every token met the lexicon in a join and was then sent on to its line."""
+    from toposcope import catalogue
+
+    monkeypatch.setattr(lemma, "look_up", None)
+    plan = catalogue.lemmatise(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "partial_collect_list(struct" not in plan and "ArrowEvalPython" in plan

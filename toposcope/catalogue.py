@@ -465,23 +465,29 @@ def divergence_from(profiles: DataFrame, features: list[str], centres: DataFrame
 TOKEN = r"[\p{L}\p{N}-]+|[.,!?;:]"
 
 
-def tagged_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """Tokens of every line with a tag made by rule from the token's form."""
+def tagged_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """``(doc_id, line_no, tokens)``: the (tok_no, token, tag) of every line, with a tag made by rule from the token's form."""
+
+    def tagged(token: Column, number: Column) -> Column:
+        size = F.length(token)
+        tag = (
+            F.when(token.rlike("^[.,!?;:]$"), "PUNC")
+            .when(size <= 3, "DET")
+            .when(size % 5 == 0, "NC")
+            .when(size % 5 == 1, "V")
+            .when(size % 5 == 2, "ADV")
+            .when(size % 5 == 3, "ADJ")
+            .otherwise("XX")
+        )
+        return F.struct(number.alias("tok_no"), token.alias("token"), tag.alias("tag"))
+
     lines = document_lines(documents(spark, folder))
-    found = lines.select(
-        "doc_id", "line_no", F.posexplode(F.regexp_extract_all("line", F.lit(TOKEN), F.lit(0))).alias("tok_no", "token")
-    )
-    size = F.length("token")
-    tag = (
-        F.when(F.col("token").rlike("^[.,!?;:]$"), "PUNC")
-        .when(size <= 3, "DET")
-        .when(size % 5 == 0, "NC")
-        .when(size % 5 == 1, "V")
-        .when(size % 5 == 2, "ADV")
-        .when(size % 5 == 3, "ADJ")
-        .otherwise("XX")
-    )
-    return found.withColumn("tag", tag)
+    return lines.select("doc_id", "line_no", F.transform(F.regexp_extract_all("line", F.lit(TOKEN), F.lit(0)), tagged).alias("tokens"))
+
+
+def tagged_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """The same, one token a row."""
+    return tagged_lines(spark, folder).select("doc_id", "line_no", F.inline("tokens"))
 
 
 def word_lexicon(spark: SparkSession, folder: str) -> DataFrame:
@@ -502,7 +508,7 @@ def looked_up(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lemmatise(spark: SparkSession, folder: str) -> DataFrame:
-    return lemma.lemma_text(looked_up(spark, folder))
+    return lemma.lemma_lines(tagged_lines(spark, folder), word_lexicon(spark, folder))
 
 
 def lemma_stats(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from toposcope.functions.text import cut_at, let
-from toposcope.settings import small, stored
+from toposcope.operators.terms import MAX_TERMS, common_rows
+from toposcope.settings import computed_once, small, stored
 from toposcope.sources.lexicon import SENTENCE_ENDS, STOP_TAGS, TREEBANK_TAGS
 
 LINE_KEY = ("doc_id", "line_no")
@@ -45,14 +49,17 @@ def clean_tokens(tagged: DataFrame, tags: dict[str, str] = TREEBANK_TAGS) -> Dat
 def with_fate(tagged: DataFrame, stop_tags: list[str] = STOP_TAGS) -> DataFrame:
     """Every token with its ``fate``: ``removed`` (stop tag), ``upper`` (all upper case, kept as it is), ``lemma``, or
     ``skipped`` (numbers and short tokens). It follows from the token alone, without the lexicon."""
-    usable = ~F.col("raw").rlike("^[0-9]+$") & (F.length("raw") > 2)
-    fate = (
-        F.when(F.coalesce(F.col("pos").isin(stop_tags), F.lit(False)), "removed")
+    return clean_tokens(tagged).withColumn("fate", token_fate(F.col("raw"), F.col("pos"), stop_tags))
+
+
+def token_fate(raw: Column, pos: Column, stop_tags: list[str] = STOP_TAGS) -> Column:
+    usable = ~raw.rlike("^[0-9]+$") & (F.length(raw) > 2)
+    return (
+        F.when(F.coalesce(pos.isin(stop_tags), F.lit(False)), "removed")
         .when(~usable, "skipped")
-        .when(F.upper("raw") == F.col("raw"), "upper")
+        .when(F.upper(raw) == raw, "upper")
         .otherwise("lemma")
     )
-    return clean_tokens(tagged).withColumn("fate", fate)
 
 
 def look_up(tagged: DataFrame, lexicon: DataFrame, stop_tags: list[str] = STOP_TAGS) -> DataFrame:
@@ -92,12 +99,20 @@ def lemma_text(looked_up: DataFrame, ends: list[str] = SENTENCE_ENDS, key: tuple
     An input line with n sentence ends gives n + 1 text lines, the last one often empty (which later
     separates paragraphs). The only group is one input line.
     """
-    is_end = (F.col("pos") == "puncts") & F.col("form").isin(ends)
     token = F.struct(
-        F.col("tok_no"), F.coalesce((F.col("fate") == "removed") & is_end, F.lit(False)).alias("ends"), F.col("lemma")
+        F.col("tok_no"), F.coalesce((F.col("fate") == "removed") & is_end(F.col("pos"), F.col("form"), ends), F.lit(False)).alias("ends"), F.col("lemma")
     )
     # Tokens without a lemma stay in the group: a line of nothing else still gives its (empty) text lines.
     lines = looked_up.groupBy(*key).agg(F.sort_array(F.collect_list(token)).alias("tokens"))
+    return text_lines(lines, key)
+
+
+def is_end(pos: Column, form: Column, ends: list[str] = SENTENCE_ENDS) -> Column:
+    return (pos == "puncts") & form.isin(ends)
+
+
+def text_lines(lines: DataFrame, key: tuple[str, ...] = LINE_KEY) -> DataFrame:
+    """``(key, sentence_no, text)`` of lines with ``tokens``, an array of (tok_no, ends, lemma) in order."""
 
     def texts(items: Column) -> Column:
         def one(span: Column) -> Column:
@@ -109,6 +124,85 @@ def lemma_text(looked_up: DataFrame, ends: list[str] = SENTENCE_ENDS, key: tuple
     return lines.select(*key, F.posexplode(let(F.col("tokens"), texts)).alias("sentence_no", "text"))
 
 
+def common_lemmas(words: DataFrame, forms: Column, tags: Column, raws: Column) -> Column:
+    """Lemma of each token of arrays whose form is among ``words`` (form, default_lemma, pos_lemmas), else null.
+
+    ``words`` is of bounded size; it is shared with the tasks and looked up by Arrow.
+    """
+    table = words.select("form", "default_lemma", F.map_keys("pos_lemmas").alias("tags"), F.map_values("pos_lemmas").alias("lemmas")).toArrow()
+    names, first, pair_tags, pair_lemmas = (table[c].combine_chunks() for c in ("form", "default_lemma", "tags", "lemmas"))
+    tag_names = pc.unique(pair_tags.flatten())
+    own = pc.list_parent_indices(pair_tags).to_numpy().astype(np.int64) * len(tag_names)
+    pairs = pa.array(own + pc.index_in(pair_tags.flatten(), value_set=tag_names).to_numpy(zero_copy_only=False).astype(np.int64))
+    shared = words.sparkSession.sparkContext.broadcast((names, first, tag_names, pairs, pair_lemmas.flatten()))
+
+    @F.arrow_udf("array<string>")
+    def find(forms: pa.Array, tags: pa.Array, raws: pa.Array) -> pa.Array:
+        names, first, tag_names, pairs, lemmas = shared.value
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(forms), 0).to_numpy(zero_copy_only=False))
+        at = pc.index_in(forms.flatten(), value_set=names)
+        tag = pc.index_in(tags.flatten(), value_set=tag_names)
+        pair = pc.add(pc.multiply(at.cast(pa.int64()), len(tag_names)), tag.cast(pa.int64()))
+        lemma = pc.coalesce(lemmas.take(pc.index_in(pair, value_set=pairs)), first.take(at), raws.flatten())
+        lemma = pc.if_else(pc.is_valid(at), lemma, pa.scalar(None, lemma.type))
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), lemma)
+
+    return find(forms, tags, raws)
+
+
+def lemma_lines(
+    lines: DataFrame, lexicon: DataFrame, ends: list[str] = SENTENCE_ENDS, key: tuple[str, ...] = LINE_KEY, common: int = MAX_TERMS
+) -> DataFrame:
+    """``lemma_text`` of lines whose tokens are in the row: ``(key, tokens)``, an array of (tok_no, token, tag).
+
+    The ``common`` most frequent forms are shared with the tasks and looked up in the row, with or without a lemma in
+    the lexicon; only tokens of other forms cross the join. What has no text is left out of the row, and the rows are
+    stored; lines are grouped once by ``key`` (parts of a line may come in several rows).
+    """
+    tokens = F.transform(
+        "tokens",
+        lambda t: let(
+            F.struct(t["tok_no"].alias("tok_no"), F.split(t["token"], "-")[0].alias("raw"), tag_to_pos(t["tag"]).alias("pos")),
+            lambda c: F.struct(
+                c["tok_no"].alias("tok_no"), c["raw"].alias("raw"), F.lower(c["raw"]).alias("form"), c["pos"].alias("pos"),
+                token_fate(c["raw"], c["pos"]).alias("fate"),
+            ),
+        ),
+    )
+    # Tested after the generator: Spark would move the test below it and work the tokens out twice.
+    clean = computed_once(lines.select(*key, "tokens"), tokens, "tokens").where(F.size("tokens") > 0)
+    wanted = F.transform(
+        F.filter("tokens", lambda t: t["fate"] == "lemma"), lambda t: F.struct(t["tok_no"].alias("tok_no"), t["raw"].alias("raw"), t["form"].alias("form"), t["pos"].alias("pos"))
+    )
+    text = F.filter(
+        F.transform(
+            "tokens",
+            lambda t: F.struct(
+                t["tok_no"].alias("tok_no"),
+                F.coalesce((t["fate"] == "removed") & is_end(t["pos"], t["form"], ends), F.lit(False)).alias("ends"),
+                F.when(t["fate"] == "upper", t["raw"]).alias("lemma"),
+            ),
+        ),
+        lambda t: t["ends"] | t["lemma"].isNotNull(),
+    )
+    split = stored(clean.select(*key, text.alias("text"), wanted.alias("wanted")))
+    counts = split.select(F.explode("wanted.form").alias("form")).groupBy("form").agg(F.count("*").alias("n"))
+    words = stored(counts.join(lexicon_by_form(lexicon), "form", "left"))
+    is_common = common_rows(words, "n", common)
+
+    lemmas = common_lemmas(words.where(is_common), F.col("wanted.form"), F.col("wanted.pos"), F.col("wanted.raw"))
+    found = computed_once(split, lemmas, "found")
+    paired = F.zip_with("wanted", "found", lambda t, m: F.struct(t["tok_no"].alias("tok_no"), F.lit(False).alias("ends"), m.alias("lemma")))
+    near = found.select(*key, F.concat("text", F.filter(paired, lambda t: t["lemma"].isNotNull())).alias("part"))
+    open_ = F.filter(F.zip_with("wanted", "found", lambda t, m: F.when(m.isNull(), t)), lambda t: t.isNotNull())
+    far = found.select(*key, F.inline(open_)).join(words.where(~is_common), "form", "left")
+    lemma = F.coalesce(F.try_element_at("pos_lemmas", "pos"), "default_lemma", "raw")
+    far = far.select(*key, F.array(F.struct("tok_no", F.lit(False).alias("ends"), lemma.alias("lemma"))).alias("part"))
+    # Dealt out before the grouping: hardly any two rows of a task have the same key.
+    parts = near.unionByName(far).repartition(*key)
+    return text_lines(parts.groupBy(*key).agg(F.sort_array(F.flatten(F.collect_list("part"))).alias("tokens")), key)
+
+
 def lemma_statistics(looked_up: DataFrame) -> DataFrame:
     """One row: scanned tokens, misses of (form, pos), misses of the form, different unknown forms."""
     unknown = F.col("match") == "none"
