@@ -9,7 +9,8 @@ from collections import defaultdict
 import pytest
 
 from toposcope import catalogue
-from toposcope.operators import tfidf
+from toposcope.operators import terms, tfidf
+from toposcope.settings import row_count
 
 TEXTS = [
     (1, "alpha beta beta gamma", "en", "web"), (2, "alpha gamma rare delta", "en", "book"), (3, "delta alpha alpha", "fr", "web"),
@@ -24,6 +25,25 @@ def folder(spark, tmp_path):
     return str(tmp_path)
 
 
+@pytest.mark.parametrize("weighting", ["relative", "tfidf", "tf2idf", "ntc"])
+@pytest.mark.parametrize("common", [0, 2, 100])
+def test_rows_weigh_as_long_tables_do(spark, folder, weighting, common):
+    """Terms shared with the tasks and terms joined; rows of equal keys or without one."""
+    counted = catalogue.counted_rows(spark, folder)
+    counts = terms.listed_terms(counted)
+    freq, n = terms.document_frequency(counts, 2), row_count(counted)
+    want = tfidf.weigh_terms(counts, freq, n, weighting).collect()
+    found = tfidf.weigh_rows(counted, freq, n, weighting, common=common).collect()
+    assert [tuple(r)[:3] for r in sorted(found, key=str)] == [tuple(r)[:3] for r in sorted(want, key=str)]
+    assert all(abs(a["weight"] - b["weight"]) < 1e-12 for a, b in zip(sorted(found, key=str), sorted(want, key=str), strict=True))
+
+
+def test_weights_without_a_window_over_terms(spark, folder):
+    """Before: every (document, term) row was joined by term, then shuffled and sorted again by document for its sum."""
+    plan = catalogue.SQL_CHECKED["tfidf_lsa"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
 def test_topic_weights_without_term_joins(spark, folder, monkeypatch):
     """Before: every (document, term) row was joined with the vocabulary and shuffled again by document."""
     monkeypatch.setattr(tfidf, "weigh_terms", None)

@@ -202,8 +202,8 @@ def idf(spark: SparkSession, folder: str) -> DataFrame:
 def weighted(weighting: str) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         counted = counted_rows(spark, folder)
-        counts = terms.listed_terms(counted)
-        out = tfidf.weigh_terms(counts, terms.document_frequency(counts, MIN_DF), row_count(counted), weighting)
+        frequencies = terms.document_frequency(terms.listed_terms(counted), MIN_DF)
+        out = tfidf.weigh_rows(counted, frequencies, row_count(counted), weighting)
         return out.select(*KEY, "term", r6(F.col("weight")).alias("weight"))
 
     return run

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from toposcope.functions.text import let
 from toposcope.functions.vectors import known_entries, norm, sparse_entries
 from toposcope.functions.weights import idf, relative_tfidf, tf2idf
-from toposcope.operators.terms import KEY, MAX_TERMS
+from toposcope.operators.terms import KEY, MAX_TERMS, common_rows
 from toposcope.settings import computed_once, stored
 
 
@@ -49,6 +49,42 @@ def weigh_terms(
     return rows.select(*key, "term", weight.alias("weight"))
 
 
+def weigh_rows(
+    counted: DataFrame, doc_freq: DataFrame, n_docs: int | Column, weighting: str, key: tuple[str, ...] = KEY, common: int = MAX_TERMS
+) -> DataFrame:
+    """``weigh_terms`` of counted rows (see ``count_terms``, stored): no window over terms, few of them shuffled.
+
+    The ``common`` most frequent terms are shared with the tasks and met in the rows' own order; only the others are
+    joined by term. The sum that a weight is divided by is added up per task, and joined to the rows before their
+    terms are listed. Rows of equal keys share their sum.
+    """
+    frequencies = stored(inverse_document_frequency(doc_freq, n_docs).select("term", "df", "idf"))
+    is_common = common_rows(frequencies, "df", common)
+    shared, others = (frequencies.where(c).select("term", "idf") for c in (is_common, ~is_common))
+    tf, value = F.col("tf"), F.col("idf")
+    sums = {"relative": F.sum("tf"), "tf2idf": F.sum("tf"), "ntc": F.sqrt(F.sum((tf * value) * (tf * value))), "tfidf": None}
+    if weighting not in sums:
+        raise ValueError(f"unknown weighting {weighting!r}")
+
+    def known(rows: DataFrame, *carried: str) -> DataFrame:
+        pairs = rows.select(*key, *carried, F.inline("terms"))
+        rest = pairs.join(F.broadcast(shared.select("term")), "term", "left_anti").join(others, "term")
+        return pairs.join(F.broadcast(shared), "term").unionByName(rest)
+
+    if weighting == "tfidf":
+        return known(counted).select(*key, "term", (tf * value).alias("weight"))
+    totals = known(counted).groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(sums[weighting].alias("total"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
+    rows = counted.select(*key, "terms").join(totals, same)
+    total = F.col("total")
+    weight = {
+        "relative": relative_tfidf(tf, value, total),
+        "tf2idf": tf2idf(tf, value, total),
+        "ntc": F.when(total > 0, tf * value / total).otherwise(F.lit(0.0)),
+    }[weighting]
+    return known(rows, "total").select(*key, "term", weight.alias("weight"))
+
+
 @dataclass(frozen=True)
 class TermVectors:
     """A bounded vocabulary that turns documents into (id, count, idf) arrays and sparse vectors.
