@@ -64,6 +64,16 @@ def test_svd_equals_dense_svd(spark, corpus):
     assert best["u"] == pytest.approx((a @ svd.v[:, 0] / svd.sigma[0]).max())
 
 
+def test_the_solver_keeps_no_rows_in_memory(corpus, monkeypatch):
+    """Before: the rows were kept in memory and on disk; what had gone to disk was read whole into buffers each time."""
+    from toposcope.operators import svd
+
+    levels, matrix = [], svd.RowMatrix
+    monkeypatch.setattr(svd, "RowMatrix", lambda rows: levels.append(rows.storageLevel) or matrix(rows))
+    workflows.decompose(corpus, 3)
+    assert [(level.useMemory, level.useDisk) for level in levels] == [(False, True)]
+
+
 def test_lda_invariants_and_repeatability(corpus):
     rows = corpus.vector("tf", "tf")
     first, again = (models.fit_lda(rows, 3, max_iter=3) for _ in range(2))

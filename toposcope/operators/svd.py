@@ -33,8 +33,9 @@ class Decomposition:
 
     @classmethod
     def of(cls, rows: DataFrame, vector: str, terms: list[str], rank: int = 200) -> Decomposition:
-        # The solver multiplies by the matrix many times, once per iteration.
-        matrix = MLUtils.convertVectorColumnsFromML(rows.select(vector), vector).persist(StorageLevel.MEMORY_AND_DISK)
+        # The solver multiplies by the matrix many times, once per iteration. Its rows stay on the executors' disks: those
+        # that memory can't hold would each be read whole into buffers, to be put back there, and push others out.
+        matrix = MLUtils.convertVectorColumnsFromML(rows.select(vector), vector).persist(StorageLevel.DISK_ONLY)
         svd = RowMatrix(matrix).computeSVD(rank, computeU=False)
         v = svd.V.toArray()
         matrix.unpersist()

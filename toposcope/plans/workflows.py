@@ -22,7 +22,7 @@ from toposcope.operators.split import train_held_out
 from toposcope.operators.svd import Decomposition
 from toposcope.operators.terms import KEY, MAX_TERMS, count_terms, document_frequency, listed_terms, vocabulary
 from toposcope.operators.tfidf import TermVectors
-from toposcope.settings import checkpointed, spread, stored
+from toposcope.settings import checkpointed, collected, discard_stored, spread, stored
 
 DISTANCES = {"cosine": "cosine", "euclidean": "sqeuclidean"}
 
@@ -88,7 +88,9 @@ def prepare_paragraphs(
     n_docs = counted.count()
     vocab = checkpointed(vocabulary(document_frequency(listed_terms(counted, key), min_df), max_terms))
     vectors = TermVectors.of(vocab, n_docs, max_terms)
-    return Corpus(stored(vectors.rows(counted, key, min_nonzeros)), vocab, vectors, key)
+    rows = stored(vectors.rows(counted, key, min_nonzeros))
+    discard_stored(counted)
+    return Corpus(rows, vocab, vectors, key)
 
 
 def prepare(docs: DataFrame, stop_words: list[str], keep_trailing: bool = False, **options) -> Corpus:
@@ -191,6 +193,7 @@ def sweep_lda(
 
 def decompose(corpus: Corpus, rank: int = 200) -> Decomposition:
     """Truncated SVD of the documents' idf-weighted term shares."""
+    collected(corpus.spark)  # shuffles of the vocabulary, before the solver keeps its rows on disk
     return Decomposition.of(corpus.vectors.vectors(corpus.rows, "relative", "relative", corpus.key), "relative", corpus.terms, rank)
 
 
