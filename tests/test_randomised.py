@@ -98,3 +98,38 @@ def test_blocks_of_terms_do_not_change_the_result(spark, monkeypatch):
         fits.append(randomised.RandomisedDecomposition.of(df, vocab, rank=5, power_steps=6, oversample=30))
     assert (fits[0].matrix.blocks, fits[1].matrix.blocks) == (1, 8)
     assert np.allclose(fits[0].sigma, fits[1].sigma, rtol=1e-6)
+
+
+def test_panels_give_the_same_and_only_the_last_tables_stay(spark, monkeypatch):
+    """Before: every step's rows stayed on disk, and all columns of all blocks crossed one shuffle."""
+    from pathlib import Path
+
+    from toposcope.settings import ensure_checkpoint_dir
+
+    rng = np.random.default_rng(7)
+    rows = [(sorted(rng.choice(40, 9, replace=False).tolist()), rng.random(9).tolist()) for _ in range(50)] + [([], []), (None, None)]
+    df = spark.createDataFrame(rows, "ids array<int>, weights array<double>").coalesce(2)
+    vocab = spark.createDataFrame([(i, f"t{i}") for i in range(40)], "term_id int, term string")
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:")) / "tables"
+    laid = lambda: {name: {p.parent for p in folder.glob(f"*/{name}=*")} for name in ("panel", "block")}
+    before = laid()
+    monkeypatch.setattr(randomised, "PANEL", 20)
+    monkeypatch.setattr(randomised, "GROUP_BYTES", 4000)
+    fit = randomised.RandomisedDecomposition.of(df, vocab, rank=24, power_steps=1, oversample=16)
+    assert {name: len(found - before[name]) for name, found in laid().items()} == {"panel": 1, "block": 1}
+    assert fit.source.groups > 1 and len(fit.source.slices) == 2
+    dense = np.zeros((50, 40))
+    for i, (ids, weights) in enumerate(rows[:50]):
+        dense[i, ids] = weights
+    s = np.linalg.svd(dense, compute_uv=False)
+    assert np.allclose(fit.sigma, s[:24], rtol=1e-9)
+    assert fit.gram_defect().max() < 1e-9 and all(abs(r["u_size"] - 1) < 1e-9 for r in fit.left_sizes().collect())
+    v = np.array([r["vec"] for r in fit.v.orderBy("term_id").collect()])
+    assert v.shape == (40, 24) and np.allclose(v.T @ v, np.eye(24), atol=1e-9) and (v.sum(axis=0) > 0).all()
+
+
+def test_parts_that_come_early_wait():
+    import pyarrow as pa
+
+    batches = [pa.record_batch({"kind": pa.array(k, pa.int32()), "x": pa.array(x)}) for k, x in (([1, 0], [1, 2]), ([2, 2], [3, 4]), ([0, 1], [5, 6]))]
+    assert [(k, rows["x"].to_pylist()) for k, rows in randomised._in_turn(iter(batches), [2, 2, 2])] == [(0, [2]), (0, [5]), (1, [1]), (1, [6]), (2, [3, 4])]
